@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: ASCII white space; words are maximal runs of anything else.
@@ -47,7 +48,14 @@ def written(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
+    # its shuffle files are of no use once the table stands
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, "false")
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -126,3 +134,92 @@ def _base_powers(n: int) -> np.ndarray:
                 done += take
         _FORWARD[:] = [out]
     return _FORWARD[0]
+
+
+def text_words(text: bytes, lower: bool = True, block: int = 1 << 20) -> np.ndarray:
+    """Hashes of the words of one text, in order; a long text is taken in blocks cut at white space."""
+    if len(text) <= block:
+        return word_hashes(np.frombuffer(text, np.uint8), lower)[0]
+    parts, at = [], 0
+    while at < len(text):
+        end = min(at + block, len(text))
+        while end < len(text) and text[end] not in b" \t\n\x0b\x0c\r":
+            end += 1
+        parts.append(word_hashes(np.frombuffer(text[at:end], np.uint8), lower)[0])
+        at = end
+    return np.concatenate(parts)
+
+
+def chunks(texts: list[bytes], most: int = 1 << 19) -> list[tuple[int, int]]:
+    """Runs [i, j) of texts of about ``most`` bytes together; a longer text stands alone."""
+    out, i, held = [], 0, 0
+    for j, t in enumerate(texts):
+        if j > i and held + len(t) > most:
+            out.append((i, j))
+            i, held = j, 0
+        held += len(t)
+    if len(texts) > i:
+        out.append((i, len(texts)))
+    return out
+
+
+def words_of_many(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of several texts in one array, and the number of words of each."""
+    if len(texts) == 1:
+        words = text_words(texts[0], lower)
+        return words, np.array([len(words)])
+    data = np.frombuffer(b"\n".join(texts), np.uint8)
+    words, start, _ = word_hashes(data, lower)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return words, np.diff(np.searchsorted(start, np.concatenate(([0], ends))))
+
+
+def shingles(words: np.ndarray, counts: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of ``width`` words inside each text, and how many each has.
+
+    A text of fewer words, but one at least, has its whole sequence as the only one.
+    """
+    first = np.concatenate(([0], np.cumsum(counts)))[:-1]
+    have = np.where(counts >= width, counts - width + 1, np.minimum(counts, 1))
+    total = int(have.sum())
+    owner = np.repeat(np.arange(len(counts)), have)
+    at = np.arange(total) - np.repeat(np.cumsum(have) - have, have) + first[owner]
+    take = np.minimum(counts, width)[owner]
+    out = np.zeros(total, U64)
+    factors = stream(0x51, width)
+    with np.errstate(over="ignore"):
+        for k in range(width):
+            live = take > k
+            out[live] = mix(out[live] + words[at[live] + k] * (factors[k] | U64(1)))
+        out = mix(out + take.astype(U64))
+    return out, have
+
+
+def distinct_parts(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values of each part, joined, and their numbers."""
+    parts, at = [], 0
+    for n in counts.tolist():
+        parts.append(np.unique(values[at : at + n]) if n > 1 else values[at : at + n])
+        at += n
+    return (np.concatenate(parts) if parts else values[:0]), np.array([len(p) for p in parts], dtype=np.int64)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): connected components of edges (a, b), component being the smallest node.
+
+    Alternating large-star and small-star steps, each a grouped minimum and a join, until nothing moves.
+    Edges stay distributed; each round is written to the shared folder.
+    """
+    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    mark = None
+    while True:
+        both = e.union(e.select("v", "u"))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        e = written(small)
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == mark:
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        mark = now
