@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, quality, sharding, url_filter, warc
+from . import minhash, quality, sharding, suffix_dedup, url_filter, warc
 from .common import table
 
 
@@ -26,10 +26,14 @@ def op6_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text")).withColumnRenamed("id", "doc_id")
 
 
+def op7_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ruled = quality.apply_rules(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
     return ruled.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op3_warc, op4_jump_sharding, op6_lsh_forest, op8_host_rules)}
+    return {f.__name__: f for f in (op2_url_filter, op3_warc, op4_jump_sharding, op6_lsh_forest, op7_suffix_arrays, op8_host_rules)}
