@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash, quality, sharding, suffix_dedup, url_filter, warc
+from . import decontaminate, minhash, quality, sharding, suffix_dedup, url_filter, warc
 from .common import table
 
 
@@ -35,5 +36,11 @@ def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ruled.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
+    found = decontaminate.find_items(docs, items)
+    return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.size("items").cast("long").alias("n_items"), "items")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op3_warc, op4_jump_sharding, op6_lsh_forest, op7_suffix_arrays, op8_host_rules)}
+    return {f.__name__: f for f in (op2_url_filter, op3_warc, op4_jump_sharding, op6_lsh_forest, op7_suffix_arrays, op8_host_rules, op10_cgk_decontamination)}
