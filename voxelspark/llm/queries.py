@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, quality, sharding, suffix_dedup, url_filter, warc
+from . import decontaminate, minhash, pieces, quality, sharding, suffix_dedup, url_filter, warc
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op4_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op5_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text")).withColumnRenamed("id", "doc_id")
 
@@ -43,4 +47,4 @@ def op10_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op3_warc, op4_jump_sharding, op6_lsh_forest, op7_suffix_arrays, op8_host_rules, op10_cgk_decontamination)}
+    return {f.__name__: f for f in (op2_url_filter, op3_warc, op4_jump_sharding, op5_sampled_pieces, op6_lsh_forest, op7_suffix_arrays, op8_host_rules, op10_cgk_decontamination)}
