@@ -353,7 +353,8 @@ def covered(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     """
     docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("k"), F.xxhash64(F.col(text)).alias("r"), F.col(text).alias("t"))
     places = written(_anchor_rows(docs))
-    again = places.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    # written, so that the join reads plain shuffles, which adaptive execution can split where an anchor is hot
+    again = written(places.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
     spots = places.join(again, "h").groupBy("k", "r").agg(F.collect_list(F.struct("at", "n", "h")).alias("places"))
     cut = written(_segments(docs.join(spots, ["k", "r"]).select("k", "r", "t", "places")))
     sent = cut.where("seen < 2").select("h", "s", "segment")
