@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import positional, written
 
 MIN_WORDS = 50
 #: Soft rules: more symbols than a tenth of the words, more than 3 of 10 lines repeated, mean word length outside 3 to 12.
@@ -20,7 +20,7 @@ STRICT_RATE = 0.5
 #: So many hosts at most are broadcast; beyond, they are joined by shuffle.
 BROADCAST_HOSTS = 100_000
 
-_WORDS = r"filter(split(translate(_t, '\t\n\u000b\f\r', '     '), ' '), w -> w != '')"
+_WORDS = r"filter(split(translate(_t, '\u0009\u000a\u000b\u000c\u000d', '     '), ' '), w -> w != '')"
 #: Windows of three words as longs: 38 bits of hash above 25 bits of position, so that a sort of longs
 #: puts equal windows side by side, in order. Longer texts (2^25 words) shift by 31 bits.
 _BITS = "if(size(_w) < 33554432, 25, 31)"
@@ -111,7 +111,8 @@ def apply_rules(df: DataFrame, host: str = "source", text: str = "text") -> Data
 
 def keep_documents(df: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
     """The rows that the rules keep, with the columns they came with."""
-    return apply_rules(df, host, text).where("kept").select(*df.columns)
+    rows, (host, text) = positional(df, host, text)
+    return apply_rules(rows, host, text).where("kept").select(*rows.columns).toDF(*df.columns)
 
 
 __all__ = ["apply_rules", "host_rates", "keep_documents", "with_metrics"]

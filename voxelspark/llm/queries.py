@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, pieces, quality, sharding, suffix_dedup, url_filter, warc
+from . import decontaminate, html_text, lm_score, minhash, pieces, quality, sharding, suffix_dedup, url_filter, warc
 from .common import table
 
 
+def op1_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents", "doc_id", "text"), lm_score.labelled_good(spark, sf_dir))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages", "page_id", "url"))
 
@@ -40,11 +44,21 @@ def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ruled.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_page_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op10_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
     found = decontaminate.find_items(docs, items)
     return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.size("items").cast("long").alias("n_items"), "items")
 
 
+ALL = (
+    op1_cross_entropy, op2_url_filter, op3_warc, op4_jump_sharding, op5_sampled_pieces, op6_lsh_forest,
+    op7_suffix_arrays, op8_host_rules, op9_page_difference, op10_cgk_decontamination,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filter, op3_warc, op4_jump_sharding, op5_sampled_pieces, op6_lsh_forest, op7_suffix_arrays, op8_host_rules, op10_cgk_decontamination)}
+    return {f.__name__: f for f in ALL}
