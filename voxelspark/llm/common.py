@@ -22,6 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def positional(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """The rows under the column names c0, c1, ..., and the new names of some columns.
+
+    Operators that hand on all columns work on these, so no column of the input can clash with theirs.
+    """
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns)))), [f"c{df.columns.index(n)}" for n in names]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir of the session.
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, components, distinct_parts, mix, shingles, stream, words_of_many, written
+from .common import U64, chunks, components, distinct_parts, mix, positional, shingles, stream, words_of_many, written
 
 TREES, DEPTH, MIN_DEPTH = 20, 6, 3
 #: Neighbours in an order that pair up, and as many in regions of more members than that.
@@ -136,7 +136,8 @@ def shingle_sets(df: DataFrame, ids: DataFrame, key: str = "doc_id", text: str =
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(raw, pa.binary())], names=["id", "set"])
 
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
-    return rows.join(ids, "id", "left_semi").mapInArrow(pack, schema)
+    # a shuffle join at every size: the ids are a share of the corpus
+    return rows.join(ids.hint("merge"), "id", "left_semi").mapInArrow(pack, schema)
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -201,5 +202,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 def keep_first(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of one document of each component, with the columns they came with."""
-    gone = near_duplicates(df, key, text).where("not kept").select(F.col("id").alias(key)).distinct()
-    return df.join(gone, key, "left_anti").select(*df.columns)
+    rows, (key, text) = positional(df, key, text)
+    # a shuffle join at every size: what goes is a share of the corpus
+    gone = near_duplicates(rows, key, text).where("not kept").select(F.col("id").alias(key)).distinct().hint("merge")
+    return rows.join(gone, key, "left_anti").select(*rows.columns).toDF(*df.columns)
