@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, U64, chunks, mix, stream
+from .common import _BYTE, U64, chunks, mix, positional, stream
 
 #: Edits allowed per 100 bytes of the item's normalised text.
 EDITS_PER_100 = 6
@@ -245,6 +245,8 @@ def find_items(df: DataFrame, items: DataFrame, text: str = "text", item: str =
     nowhere. A column of the input with the name of the new one is replaced. Item ids must not be null.
     """
     df = df.drop(out) if out in df.columns else df
+    names = df.columns
+    df, (text,) = positional(df, text)
     columns, place = df.columns, df.columns.index(text)
     df = df.withColumn(out, F.array().cast("array<long>"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
@@ -267,9 +269,11 @@ def find_items(df: DataFrame, items: DataFrame, text: str = "text", item: str =
         if len(block) == BLOCK_ITEMS:
             df = df.mapInArrow(finder(block), schema)
             block = []
-    return df.mapInArrow(finder(block), schema) if block else df
+    df = df.mapInArrow(finder(block), schema) if block else df
+    return df.toDF(*names, out)
 
 
 def keep_clean(df: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """The rows whose text holds no item, with the columns they came with."""
-    return find_items(df, items, text, out="_items").where(F.size("_items") == 0).select(*df.columns)
+    rows, (text,) = positional(df, text)
+    return find_items(rows, items, text).where(F.size("items") == 0).select(*rows.columns).toDF(*df.columns)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, U64, chunks, mix, stream, written
+from .common import _BYTE, U64, chunks, mix, positional, stream, written
 
 LENGTH = 200
 GRAM = 32
@@ -441,5 +441,6 @@ def digest(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows, all columns, with repeated bytes cut from the text."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return _apply(df, key, text, schema, _Text(df.columns.index(text)))
+    rows, (key, text) = positional(df, key, text)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return _apply(rows, key, text, schema, _Text(rows.columns.index(text))).toDF(*df.columns)

@@ -101,13 +101,14 @@ def calibrate(scored: DataFrame) -> DataFrame:
     below = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(F.lit(0))
     cut = bins.select(
-        "bin",
+        # halfway to the next lower score that was seen
+        ((F.col("bin") + F.coalesce(F.lag("bin").over(Window.orderBy("bin")), F.col("bin") - 1)) / 2).alias("bin"),
         (F.coalesce(F.sum("a").over(below), F.lit(0)) / F.sum("a").over(every)).alias("lost"),
         (1 - F.coalesce(F.sum("r").over(below), F.lit(0)) / F.sum("r").over(every)).alias("let"),
         (F.sum("a").over(every) * F.sum("r").over(every)).alias("both"),
     ).where("both > 0")
     best = cut.agg(F.min(F.struct((F.col("lost") + F.col("let")).alias("e"), F.abs("bin").alias("d"), "bin")).alias("m"))
-    return best.select(F.coalesce(F.col("m.bin") * F.lit(BIN) - BIN / 2, F.lit(0.0)).alias("cut"))
+    return best.select(F.coalesce(F.col("m.bin") * F.lit(BIN), F.lit(0.0)).alias("cut"))
 
 
 def judge_urls(
