@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from .common import U64, mix
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED = 17
 #: Units remembered by a task are dropped beyond so many lattice nodes; that costs time, no result.
-MAX_NODES = 4_000_000
+MAX_NODES = 2_500_000
 #: Weight of a byte; longest unit that is filtered together with others and remembered.
 RARE, SHORT = 1e-5, 40
 UNIT = re.compile(r"\n| *[^ \n]+| +")
@@ -68,7 +69,7 @@ class _Grown:
 
 
 class Lattice:
-    """Edges of the units seen so far. A node's edges lie together, the likeliest first.
+    """Edges of the units seen so far. A node's edges lie together, the longest piece first.
 
     ``first`` has a node's first edge (-1 where a unit starts); ``share`` the sum of the shares up to an
     edge, ``piece`` its id and ``back`` the node it comes from.
@@ -104,23 +105,26 @@ class Lattice:
 
     def clear(self) -> None:
         self.last: dict[str, int] = {}
-        self.first, self.share, self.piece, self.back = _Grown(np.int32), _Grown(np.float64), _Grown(np.int32), _Grown(np.int32)
+        self.first, self.share, self.piece, self.back = _Grown(np.int32), _Grown(np.float32), _Grown(np.int32), _Grown(np.int32)
 
-    def _store(self, node: np.ndarray, weight: np.ndarray, piece: np.ndarray, back: np.ndarray, nodes: int) -> None:
-        """Take edges into new nodes 0 to nodes - 1 (back counts from there too); nodes without edges start units."""
+    def _store(self, node: np.ndarray, length: np.ndarray, weight: np.ndarray, piece: np.ndarray, back: np.ndarray, nodes: int) -> None:
+        """Take edges into new nodes 0 to nodes - 1 (back counts from there too); nodes without edges start units.
+
+        The longest piece of a node comes first.
+        """
         base = self.first.size
-        order = np.lexsort((piece, -weight, node))
+        order = np.argsort(node * 64 - np.minimum(length, 63), kind="stable")
         node, weight, piece, back = node[order], weight[order], piece[order], back[order]
         number = np.bincount(node, minlength=nodes)
         begin = np.cumsum(number) - number
-        rank = np.arange(len(node)) - begin[node]
-        total, share = np.zeros(nodes), np.zeros(len(node))
+        share, some, total = weight.astype(np.float64), np.flatnonzero(number), np.zeros(nodes)
+        rest = some
         for k in range(int(number.max(initial=0))):  # in this order whatever else is in the batch
-            now = np.flatnonzero(rank == k)
-            total[node[now]] += weight[now]
-            share[now] = total[node[now]]
+            rest = rest[number[rest] > k]
+            total[rest] += weight[begin[rest] + k]
+            share[begin[rest] + k] = total[rest]
         share /= total[node]
-        share[(begin + number - 1)[number > 0]] = 2.0
+        share[(begin + number - 1)[some]] = 2.0
         self.first.extend(np.where(number > 0, begin + self.share.size, -1))
         self.share.extend(share)
         self.piece.extend(piece)
@@ -163,7 +167,7 @@ class Lattice:
                 alpha[:, k + 1] = np.bincount(own[e], alpha[own[e], begin[e]] * weight[e], len(plain))
             base = np.cumsum(sizes + 1) - (sizes + 1)
             offset = self.first.size
-            self._store(base[own] + end, alpha[own, begin] * weight, piece, base[own] + begin, int((sizes + 1).sum()))
+            self._store(base[own] + end, n, alpha[own, begin] * weight, piece, base[own] + begin, int((sizes + 1).sum()))
             for k, node in zip(plain, (base + sizes + offset).tolist(), strict=True):
                 out[k] = node
         for k, u in enumerate(units):
@@ -174,7 +178,7 @@ class Lattice:
     def _add_long(self, unit: str) -> int:
         """A unit that is long, or has characters without a piece: these go by their bytes, one after the other."""
         nodes, alpha, made = [0], [1.0], 1
-        edges: list[tuple[int, float, int, int]] = []
+        edges: list[tuple[int, int, float, int, int]] = []
         for end in range(1, len(unit) + 1):
             total, own = 0.0, []
             for begin in range(max(0, end - self.longest), end):
@@ -182,15 +186,15 @@ class Lattice:
                 if got:
                     weight = alpha[begin] * got[1]
                     total += weight
-                    own.append((weight, got[0], nodes[begin]))
+                    own.append((end - begin, weight, got[0], nodes[begin]))
             if unit[end - 1] not in self.known:
                 weight, back = alpha[end - 1] * RARE, nodes[end - 1]
                 raw = unit[end - 1].encode()
                 for value in raw[:-1]:
-                    edges.append((made, 1.0, self.of_byte[value], back))
+                    edges.append((made, 1, 1.0, self.of_byte[value], back))
                     back, made = made, made + 1
                 total += weight
-                own.append((weight, self.of_byte[raw[-1]], back))
+                own.append((1, weight, self.of_byte[raw[-1]], back))
             edges += [(made, *e) for e in own]
             nodes.append(made)
             made += 1
@@ -198,23 +202,26 @@ class Lattice:
             if total < 1e-200:  # only ratios of the latest weights matter
                 low = max(0, len(alpha) - self.longest - 1)
                 alpha[low:] = [a * 1e200 for a in alpha[low:]]
-        node, weight, piece, back = (np.array(x) for x in zip(*edges, strict=True))
+        node, length, weight, piece, back = (np.array(x) for x in zip(*edges, strict=True))
         offset = self.first.size
-        self._store(node, weight, piece, back, made)
+        self._store(node, length, weight, piece, back, made)
         return nodes[-1] + offset
 
     def sample(self, units: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(piece ids of all units in order, pieces of each unit); keys: a 64-bit state of each unit."""
         if self.first.size > MAX_NODES:
             self.clear()
-        last = self.last
-        new = list({u: None for u in units if u not in last})
-        rest: dict[str, int] = {}
-        for low in range(0, len(new), 20_000):
-            some = new[low : low + 20_000]
-            for u, at in zip(some, self.add(some), strict=True):
-                (last if len(u) <= SHORT else rest)[u] = at
-        node = np.fromiter((last[u] if u in last else rest[u] for u in units), np.int64, len(units))
+        get = self.last.get
+        node = np.fromiter((get(u, -1) for u in units), np.int64, len(units))
+        missing = np.flatnonzero(node < 0)
+        if len(missing):
+            new = list(dict.fromkeys(units[k] for k in missing.tolist()))
+            found: dict[str, int] = {}
+            for low in range(0, len(new), 20_000):
+                some = new[low : low + 20_000]
+                found.update(zip(some, self.add(some), strict=True))
+            node[missing] = np.fromiter((found[units[k]] for k in missing.tolist()), np.int64, len(missing))
+            self.last.update((u, at) for u, at in found.items() if len(u) <= SHORT)
         first, share, piece, back = self.first.data, self.share.data, self.piece.data, self.back.data
         live, got, step = np.arange(len(units)), [], 0
         count = np.zeros(len(units), np.int64)
@@ -238,6 +245,12 @@ class Lattice:
         return out, count
 
 
+@functools.lru_cache(maxsize=1)
+def lattice(model: str) -> Lattice:
+    """The lattice of this Python process: tasks that run in it one after the other share what it knows."""
+    return Lattice(model)
+
+
 def _with(df: DataFrame, column: str, kind: str, make) -> DataFrame:
     """The rows with one more column (one of that name is replaced) made of whole batches."""
     df = df.drop(column) if column in df.columns else df
@@ -255,16 +268,16 @@ def _with(df: DataFrame, column: str, kind: str, make) -> DataFrame:
 
 class _Encode:
     def __init__(self, text: int, key: int, model: str, seed: int):
-        self.text, self.key, self.seed, self.lattice = text, key, seed, Lattice(model)
+        self.text, self.key, self.seed, self.lattice = text, key, seed, lattice(model)
 
     def cuts(self, batch: pa.RecordBatch) -> list[tuple[int, int]]:
         """Runs of rows of about a megabyte of text."""
         out, low, held = [], 0, 0
-        for k, n in enumerate(batch.column(self.text).cast(pa.binary()).to_pylist()):
+        for k, n in enumerate(pc.binary_length(batch.column(self.text)).to_pylist()):
             if held > 1 << 20:
                 out.append((low, k))
                 low, held = k, 0
-            held += len(n or b"")
+            held += n or 0
         return [*out, (low, batch.num_rows)] if batch.num_rows else []
 
     def __call__(self, batch: pa.RecordBatch) -> pa.Array:
@@ -285,14 +298,23 @@ class _Encode:
 
 class _Decode:
     def __init__(self, ids: int, model: str):
-        self.ids, self.spelled = ids, pieces(model)[2]
+        self.ids, self.spelled = ids, pa.array(pieces(model)[2], pa.large_binary())
 
     def cuts(self, batch: pa.RecordBatch) -> list[tuple[int, int]]:
         return [(k, min(k + 1000, batch.num_rows)) for k in range(0, batch.num_rows, 1000)]
 
     def __call__(self, batch: pa.RecordBatch) -> pa.Array:
-        get = self.spelled.__getitem__
-        return pa.array([None if x is None else b"".join(map(get, x))[1:].decode() for x in batch.column(self.ids).to_pylist()], pa.string())
+        column = batch.column(self.ids)
+        spelled = self.spelled.take(column.flatten())
+        # a row's text is the run of its pieces' bytes: the joined buffer, cut at the rows' ends
+        ends = np.concatenate(([0], np.cumsum(np.nan_to_num(pc.list_value_length(column).to_numpy(zero_copy_only=False)).astype(np.int64))))
+        at = np.frombuffer(spelled.buffers()[1], np.int64)[: len(spelled) + 1][ends] if len(spelled) else np.zeros(len(ends), np.int64)
+        whole = np.frombuffer(spelled.buffers()[2] or b"", np.uint8)[: at[-1]]
+        marks = np.diff(at) > 0  # the mark that stands before a text goes
+        rest = np.delete(whole, at[:-1][marks])
+        at = at - np.concatenate(([0], np.cumsum(marks)))
+        texts = pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(at), pa.py_buffer(rest)).cast(pa.string())
+        return pc.if_else(column.is_valid(), texts, pa.scalar(None, pa.string()))
 
 
 def encode(df: DataFrame, text: str = "text", key: str = "doc_id", out: str = "ids", model: str = MODEL, seed: int = SEED) -> DataFrame:
