@@ -243,7 +243,8 @@ def extract(df: DataFrame, key: str = "page_id", url: str = "url", page: str = "
     rows = written(base.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html").mapInArrow(lines, _ROW))
     by = ["host", "path", "page_id"]
     order = rows.repartitionByRange(*by).sortWithinPartitions(*by)
-    rims = order.mapInArrow(_rims, _ROW + ", rim boolean").coalesce(1).sortWithinPartitions(*by)
+    # four rows of each partition, whatever its size, meet in one task
+    rims = order.mapInArrow(_rims, _ROW + ", rim boolean").repartition(1).sortWithinPartitions(*by)
     kind = "page_id long, url string, text string"
     rest = order.mapInArrow(_differences(False), kind).union(rims.mapInArrow(_differences(True), kind))
     return direct.union(rest).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

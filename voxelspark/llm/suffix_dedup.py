@@ -415,13 +415,13 @@ class _Digest:
 
 
 class _Text:
-    """The rows with their remaining text; bytes of a character that was cut through become U+FFFD."""
+    """The rows with their remaining text; bytes left of a character that was cut through go too."""
 
     def __init__(self, place: int):
         self.place = place
 
     def __call__(self, whole: bytes | None, kept: bytes, cuts: list[tuple[int, int]]) -> str | None:
-        return None if whole is None else kept.decode(errors="replace")
+        return None if whole is None else kept.decode(errors="ignore")
 
     def batches(self, batch: pa.RecordBatch, made: list[str | None]) -> Iterator[pa.RecordBatch]:
         columns = [batch.column(i) for i in range(batch.num_columns - 1)]
