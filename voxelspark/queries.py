@@ -1,9 +1,622 @@
-"""Queries of the volume engine over the driver's tables, with their SQL."""
+"""Queries of the volume engine over the driver's tables, each with the SQL that says the same."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from .functions import address, values
+from .functions.values import ErrorPolicy
+from .meta import AXES, VolumeMeta
+from .operators import codec, extents, leaves, replicas, requests, scores, stats, verify
+from .operators.volume import Volume
+from .plans import formats, layout, strategy
+from .sources import generate, tables
+
+EMBED = "e AS (SELECT vec_id // 25 AS x, vec_id % 25 AS y, r.i AS z, embedding[r.i + 1] AS v FROM embeddings, range(64) r(i))"
+EVENTS = "e AS (SELECT event_id // 500 AS x, (event_id // 25) % 20 AS y, event_id % 25 AS z, CAST(value AS FLOAT) AS v FROM events)"
+DIMS = "d AS (SELECT max(x) + 1 AS nx, max(y) + 1 AS ny, max(z) + 1 AS nz FROM e)"
+_SPREAD = (
+    "list_reduce([{c} & 2097151, 32, 16, 8, 4, 2], lambda a, s: (a | (a << s)) & CASE s WHEN 32 THEN 8725724278095871 WHEN 16 THEN 8725728556220671 "
+    "WHEN 8 THEN 1157144660301377551 WHEN 4 THEN 1207822528635744451 ELSE 1317624576693539401 END)"
+)
+
+
+def _morton_sql(x: str, y: str, z: str) -> str:
+    s = lambda c: _SPREAD.format(c=f"CAST({c} AS BIGINT)")
+    return f"({s(x)} | ({s(y)} << 1) | ({s(z)} << 2))"
+
+
+LEAF_MORTON = _morton_sql("(x % 8) // 4", "(y % 8) // 4", "(z % 8) // 4")
+SB = "((z // 8) * ((ny + 7) // 8) + y // 8) * ((nx + 7) // 8) + x // 8"
+CELL = "((z % 4) * 4 + y % 4) * 4 + x % 4"
+#: A reconstruction that SQL can make as well: values rounded to 1/1024.
+GOT = "CAST(floor(CAST(v AS DOUBLE) * 1024 + 0.5) / 1024 AS FLOAT)"
+CLASS = "CASE WHEN isnan(v) THEN 'nan' WHEN isinf(v) THEN 'inf' WHEN v = 0 THEN 'zero' WHEN abs(CAST(v AS DOUBLE)) < 1.1754943508222875e-38 THEN 'subnormal' ELSE 'normal' END"
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function as a query, with its SQL if there is one."""
+
+    def take(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return take
+
+
+# --- slices, lines, ranges, points
+
+
+@query(f"WITH {EVENTS} SELECT y, z, v, y * 25 + z AS out_idx FROM e WHERE x = 3")
+def slice_x(spark, sf_dir):
+    return tables.cube_events(spark, sf_dir).slice("x", 3)
+
+
+@query(f"WITH {EMBED} SELECT x, z, v, x * 64 + z AS out_idx FROM e WHERE y = 11")
+def slice_y(spark, sf_dir):
+    return tables.cube_embed(spark, sf_dir).slice("y", 11)
+
+
+@query(f"WITH {EMBED} SELECT x, y, v, x * 25 + y AS out_idx FROM e WHERE z = 17")
+def slice_z(spark, sf_dir):
+    return tables.cube_embed(spark, sf_dir).slice("z", 17)
+
+
+@query(f"WITH {EMBED} SELECT x, y, z, v FROM e WHERE z BETWEEN 20 AND 29")
+def slice_range(spark, sf_dir):
+    return tables.cube_embed(spark, sf_dir).slice_range("z", 20, 10)
+
+
+@query(f"WITH {EVENTS} SELECT x AS i, v FROM e WHERE y = 7 AND z = 9")
+def line_x(spark, sf_dir):
+    return tables.cube_events(spark, sf_dir).line("x", 7, 9)
+
+
+@query(f"WITH {EMBED} SELECT y AS i, v FROM e WHERE x = 5 AND z = 40")
+def line_y(spark, sf_dir):
+    return tables.cube_embed(spark, sf_dir).line("y", 5, 40)
+
+
+@query(f"WITH {EMBED} SELECT z AS i, v FROM e WHERE x = 5 AND y = 3")
+def line_z(spark, sf_dir):
+    return tables.cube_embed(spark, sf_dir).line("z", 5, 3)
+
+
+@query(f"WITH {EMBED} SELECT (x * 25 + y) * 64 + z AS idx, v FROM e")
+def full_linear_scan(spark, sf_dir):
+    return tables.cube_embed(spark, sf_dir).full()
+
+
+@query(f"""WITH {EVENTS}, s AS (SELECT s AS sample, s % 25 AS x, (s * 7) % 20 AS y, (s * 11) % 27 AS z FROM range(200) r(s))
+SELECT sample, s.x, s.y, s.z, v FROM s LEFT JOIN e ON e.x = s.x AND e.y = s.y AND e.z = s.z""")
+def point_lookup(spark, sf_dir):
+    s = spark.range(200).select(F.col("id").alias("sample"), address.mod("id", 25).alias("x"), address.mod(F.col("id") * 7, 20).alias("y"), address.mod(F.col("id") * 11, 27).alias("z"))
+    return tables.cube_events(spark, sf_dir).points(s).select("sample", "x", "y", "z", "v")
+
+
+@query(f"WITH {EMBED} SELECT x, y, z, v FROM e WHERE x IN (2, 9, 17) AND (z BETWEEN 0 AND 7 OR z BETWEEN 30 AND 39)")
+def plane_sample(spark, sf_dir):
+    return tables.cube_embed(spark, sf_dir).sampled_planes([2, 9, 17], [(0, 8), (30, 40)])
+
+
+@query(f"WITH {EMBED} SELECT (z * 25 + y) * (SELECT max(x) + 1 FROM e) + x AS idx, v FROM e WHERE x < 3")
+def legacy_linear_scan(spark, sf_dir):
+    v = tables.cube_embed(spark, sf_dir)
+    return v.cells(F.col("x") < 3).select(address.linear_x_fastest(v.meta).alias("idx"), "v")
+
+
+# --- batches of requests
+
+_REQ = """r AS (SELECT * FROM (VALUES ('x', 'random', 0, 1), ('x', 'random', 1, 12), ('x', 'random', 2, 1), ('y', 'random', 0, 3), ('z', 'random', 0, 20),
+  ('z', 'continuous', 0, 8), ('z', 'continuous', 1, 9), ('y', 'continuous', 0, 18)) t(axis, type, seq, "index"))"""
+_BATCH = """SELECT axis, type, seq, CAST(r."index" AS BIGINT) AS "index", CASE axis WHEN 'x' THEN y * 25 + z WHEN 'y' THEN x * 25 + z ELSE x * 20 + y END AS out_idx, v
+FROM r JOIN e ON CASE axis WHEN 'x' THEN x WHEN 'y' THEN y ELSE z END = r."index" """
+
+
+def _asked(spark) -> DataFrame:
+    rows = [("x", "random", 0, 1), ("x", "random", 1, 12), ("x", "random", 2, 1), ("y", "random", 0, 3), ("z", "random", 0, 20), ("z", "continuous", 0, 8), ("z", "continuous", 1, 9), ("y", "continuous", 0, 18)]
+    return spark.createDataFrame(rows, "axis string, type string, seq int, index long")
+
+
+@query(f"WITH {EVENTS}, {_REQ} {_BATCH} WHERE NOT (axis = 'x' AND seq = 2)")
+def slice_batch_join(spark, sf_dir):
+    return tables.cube_events(spark, sf_dir).batch(_asked(spark).where("not (axis = 'x' and seq = 2)"))
+
+
+@query(f"WITH {EVENTS}, {_REQ}, o AS ({_BATCH}) SELECT axis, type, seq, \"index\", count(*) AS cells, round(sum(CAST(v AS DOUBLE)), 4) AS total FROM o GROUP BY ALL")
+def slice_batch_dup_fanout(spark, sf_dir):
+    rows = tables.cube_events(spark, sf_dir).batch(_asked(spark))
+    return rows.groupBy("axis", "type", "seq", "index").agg(F.count("*").alias("cells"), F.round(F.sum(F.col("v").cast("double")), 4).alias("total"))
+
+
+@query(f"WITH {EVENTS} SELECT x, count(*) AS cells, round(sum(CAST(v AS DOUBLE)), 4) AS total FROM e WHERE x % 3 = 0 GROUP BY x")
+def stride_plane_hits(spark, sf_dir):
+    rows = replicas.planes(tables.cube_events(spark, sf_dir), "x", 3)
+    return rows.groupBy("x").agg(F.count("*").alias("cells"), F.round(F.sum(F.col("v").cast("double")), 4).alias("total"))
+
+
+@query(f"""WITH {EVENTS}, {_REQ} SELECT axis, type, seq, CAST(r."index" AS BIGINT) AS "index",
+  CASE WHEN axis = 'x' AND r."index" % 2 = 0 THEN 0 WHEN axis = 'z' THEN 1 ELSE -1 END AS replica, count(*) AS cells, round(sum(CAST(v AS DOUBLE)), 4) AS total
+FROM r JOIN e ON CASE axis WHEN 'x' THEN x WHEN 'y' THEN y ELSE z END = r."index" GROUP BY ALL""")
+def replica_hit_miss_split(spark, sf_dir):
+    base = tables.cube_events(spark, sf_dir)
+    of = lambda axis, stride: replicas.Replica(axis, Volume(base.meta, voxels=replicas.planes(base, axis, stride)), stride)
+    rows = replicas.batch(base, [of("x", 2), of("z", 1)], _asked(spark))
+    return rows.groupBy("axis", "type", "seq", "index", "replica").agg(F.count("*").alias("cells"), F.round(F.sum(F.col("v").cast("double")), 4).alias("total"))
+
+
+@query("SELECT CAST(s AS BIGINT) AS x, s % 8 % 4 = 0 AS panel_hit, s % 3 = 0 AND s // 3 < 5 AS stride_hit FROM range(40) r(s)")
+def panel_membership(spark, sf_dir):
+    return spark.range(40).select(F.col("id").alias("x"), (address.mod(address.mod("id", 8), 4) == 0).alias("panel_hit"), address.on_stride("id", 3, 5).alias("stride_hit"))
+
+
+# --- addresses
+
+
+@query(f"WITH {EVENTS} SELECT (x * 20 + y) * 25 + z AS cell, x, y, z, 4 * ((x * 20 + y) * 25 + z) AS byte, x * 2000 AS plane FROM e")
+def addr_linear_roundtrip(spark, sf_dir):
+    v = tables.cube_events(spark, sf_dir)
+    rows = v.cells().select(address.linear(v.meta).alias("cell"))
+    x, y, z = address.delinear(v.meta)
+    rows = rows.select("cell", x.alias("x"), y.alias("y"), z.alias("z"))
+    return rows.withColumns({"byte": address.byte_offset(v.meta), "plane": address.plane_offset(v.meta)})
+
+
+@query(f"WITH {EVENTS} SELECT x, y, z, {_morton_sql('x', 'y', 'z')} AS morton FROM e")
+def addr_morton(spark, sf_dir):
+    rows = tables.cube_events(spark, sf_dir).cells().select(address.morton().alias("morton"))
+    x, y, z = address.unmorton()
+    return rows.select(x.alias("x"), y.alias("y"), z.alias("z"), "morton")
+
+
+@query(f"WITH {EVENTS}, {DIMS} SELECT x, y, z, {SB} AS sb_id FROM e, d")
+def addr_superblock_zyx(spark, sf_dir):
+    v = tables.cube_events(spark, sf_dir)
+    return v.cells().select("x", "y", "z", address.block_id(v.meta).alias("sb_id"))
+
+
+@query(f"WITH {EVENTS}, {DIMS} SELECT x // 8 AS bx, y // 8 AS by, z // 8 AS bz, ((y // 8) * 4 + z // 8) * ((nx + 7) // 8) + x // 8 AS sb_id, count(*) AS cells FROM e, d GROUP BY ALL")
+def addr_superblock_yzx(spark, sf_dir):
+    v = tables.cube_events(spark, sf_dir)
+    rows = v.cells().select(address.block_id(v.meta, "yzx").alias("sb_id")).groupBy("sb_id").agg(F.count("*").alias("cells"))
+    at = address.block_coords(v.meta, "sb_id", "yzx")
+    return rows.select(*(at[a].alias(f"b{a}") for a in AXES), "sb_id", "cells")
+
+
+@query(f"WITH {EVENTS} SELECT x // 4 AS slab, {CELL} AS cell, count(*) AS n FROM e GROUP BY ALL")
+def addr_axis_leaf(spark, sf_dir):
+    v = tables.cube_events(spark, sf_dir)
+    return v.cells().select(address.leaf(v.meta, "x").alias("slab"), address.cell_in_leaf(v.meta).alias("cell")).groupBy("slab", "cell").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {EVENTS} SELECT x // 4 AS lx, y // 4 AS ly, z // 4 AS lz, count(*) AS cells FROM e GROUP BY ALL")
+def edge_valid_cells(spark, sf_dir):
+    return leaves.edge_cells(spark, tables.cube_events(spark, sf_dir).meta)
+
+
+@query("SELECT codec, size, codec * 8192 + size AS descriptor FROM (SELECT s % 6 AS codec, (s * 37) % 8192 AS size FROM range(500) r(s))")
+def descriptor_pack(spark, sf_dir):
+    rows = spark.range(500).select(address.mod("id", 6).alias("codec"), address.mod(F.col("id") * 37, 8192).alias("size")).select(address.descriptor().alias("descriptor"))
+    kind, size = address.descriptor_parts()
+    return rows.select(kind.alias("codec"), size.alias("size"), "descriptor")
+
+
+# --- leaves
+
+
+@query(f"""WITH {EVENTS}, {DIMS} SELECT {SB} AS sb_id, {LEAF_MORTON} AS morton, bit_or(CASE WHEN {CELL} = 63 THEN (-9223372036854775807 - 1) ELSE CAST(1 AS BIGINT) << CAST(least({CELL}, 62) AS INT) END) AS mask,
+  count(*) AS cells, round(sum(CAST(v AS DOUBLE)), 4) AS total FROM e, d GROUP BY ALL""")
+def leaf_pack_stats(spark, sf_dir):
+    v = tables.cube_events(spark, sf_dir)
+    packed = leaves.pack(v.meta, v.cells())
+    total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return packed.select("sb_id", "morton", "mask", F.bit_count("mask").cast("long").alias("cells"), F.round(total, 4).alias("total"))
+
+
+@query(f"WITH {EVENTS} SELECT x, y, z, v FROM e")
+def leaf_unpack_roundtrip(spark, sf_dir):
+    v = tables.cube_events(spark, sf_dir)
+    return leaves.unpack(v.meta, leaves.pack(v.meta, v.cells()))
+
+
+@query(f"""WITH {EVENTS}, {DIMS}, c AS (SELECT {SB} AS sb_id, {LEAF_MORTON} AS morton, v, {CLASS} AS k FROM e, d)
+SELECT sb_id, morton, count(*) AS cells, count(*) FILTER (k = 'zero') AS zeros, CASE WHEN count(*) FILTER (k = 'zero') = count(*) THEN 'zero'
+  WHEN count(*) FILTER (k NOT IN ('zero', 'normal')) > 0 THEN 'special' WHEN min(v) = max(v) THEN 'constant' ELSE 'mixed' END AS kind FROM c GROUP BY ALL""")
+def leaf_classify(spark, sf_dir):
+    v = tables.cube_events(spark, sf_dir)
+    return leaves.stats(v.meta, v.cells()).select("sb_id", "morton", "cells", "zeros", "kind")
+
+
+@query(f"""WITH {EMBED}, {DIMS}, c AS (SELECT {SB} AS sb_id, {LEAF_MORTON} AS morton, CAST(v AS DOUBLE) AS v, {CLASS} AS k FROM e, d)
+SELECT sb_id, morton, min(abs(v)) FILTER (k = 'normal') AS least, CAST(floor(log2(min(abs(v)) FILTER (k = 'normal') * 7.5e-4)) AS INT) AS exponent FROM c GROUP BY ALL""")
+def leaf_min_abs_tolerance(spark, sf_dir):
+    v = tables.cube_embed(spark, sf_dir)
+    return leaves.stats(v.meta, v.cells()).select("sb_id", "morton", "least", "exponent")
+
+
+@query(f"""WITH {EVENTS}, {_REQ}, l AS (SELECT DISTINCT x // 4 AS lx, y // 4 AS ly, z // 4 AS lz FROM e)
+SELECT lx, ly, lz, count(*) AS targets FROM l JOIN r ON CASE axis WHEN 'x' THEN lx WHEN 'y' THEN ly ELSE lz END = r."index" // 4 GROUP BY ALL""")
+def leaf_task_dedup(spark, sf_dir):
+    return leaves.tasks(tables.cube_events(spark, sf_dir).meta, _asked(spark), spark)
+
+
+@query(f"""WITH {EVENTS}, {_REQ}, l AS (SELECT DISTINCT x // 4 AS lx, y // 4 AS ly, z // 4 AS lz FROM e), t AS (
+SELECT lx, ly, lz, count(*) AS n FROM l JOIN r ON CASE axis WHEN 'x' THEN lx WHEN 'y' THEN ly ELSE lz END = r."index" // 4 GROUP BY ALL)
+SELECT CAST(sum(n) AS BIGINT) AS logical, count(*) AS leaves, round((sum(n) - count(*)) / sum(n), 9) AS dedup_ratio FROM t""")
+def dedup_ratio(spark, sf_dir):
+    rows = leaves.tasks(tables.cube_events(spark, sf_dir).meta, _asked(spark), spark).agg(F.sum("targets").alias("logical"), F.count("*").alias("leaves"))
+    return rows.select("logical", "leaves", F.round(scores.dedup_ratio(F.col("logical") - F.col("leaves"), "logical"), 9).alias("dedup_ratio"))
+
+
+_RECORDS = f"p AS (SELECT {SB} AS sb_id, {LEAF_MORTON} AS morton, CAST(count(*) + 4 AS BIGINT) AS size FROM e, d GROUP BY ALL)"
+
+
+@query(f"WITH {EVENTS}, {DIMS}, {_RECORDS} SELECT sb_id, morton, size, CAST(coalesce(sum(size) OVER (PARTITION BY sb_id ORDER BY morton ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM p")
+def prefix_offsets(spark, sf_dir):
+    v = tables.cube_events(spark, sf_dir)
+    sizes = leaves.stats(v.meta, v.cells()).select("sb_id", "morton", (F.col("cells") + 4).alias("size"))
+    return leaves.record_offsets(sizes)
+
+
+# --- extents
+
+_EXT = "x AS (SELECT l_suppkey % 10 AS file, CAST(l_partkey % 500 AS BIGINT) * 100 AS \"offset\", CAST(l_quantity AS BIGINT) * 2 + 20 AS size FROM lineitem WHERE l_orderkey % 5 = 0)"
+
+
+def _extents(spark, sf_dir) -> DataFrame:
+    rows = tables.table(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0")
+    return rows.select((F.col("l_suppkey") % 10).alias("file"), ((F.col("l_partkey") % 500).cast("long") * 100).alias("offset"), (F.col("l_quantity").cast("long") * 2 + 20).alias("size"))
+
+
+def _islands(gap: int) -> str:
+    return f"""SELECT file, min("offset") AS "offset", CAST(max(e) - min("offset") - {gap} AS BIGINT) AS size FROM (
+  SELECT *, sum(n) OVER (PARTITION BY file ORDER BY "offset", size DESC ROWS UNBOUNDED PRECEDING) AS island FROM (
+    SELECT *, CASE WHEN "offset" > max(e) OVER (PARTITION BY file ORDER BY "offset", size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS n
+    FROM (SELECT *, "offset" + size + {gap} AS e FROM x))) GROUP BY file, island"""
+
+
+@query(f"WITH {_EXT} {_islands(0)}")
+def merge_extents(spark, sf_dir):
+    return extents.merge_extents(_extents(spark, sf_dir), "file")
+
+
+@query(f"WITH {_EXT} {_islands(64)}")
+def merge_extents_gap(spark, sf_dir):
+    return extents.merge_with_gap(_extents(spark, sf_dir), 64, "file")
+
+
+@query()
+def merge_windows(spark, sf_dir):
+    return extents.build_windows(_extents(spark, sf_dir), 4096, 64, "file")
+
+
+@query("SELECT CAST(s * 4096 AS BIGINT) AS \"offset\", CAST(100 AS BIGINT) AS size FROM range(50) r(s) WHERE s % 7 = 0")
+def extent_coverage(spark, sf_dir):
+    needed = spark.range(50).select((F.col("id") * 4096).alias("offset"), F.lit(100).cast("long").alias("size"))
+    planned = spark.range(50).where("id % 7 <> 0").select((F.col("id") * 4096 - 16).alias("offset"), F.lit(200).cast("long").alias("size"))
+    return extents.covers(planned, needed)
+
+
+@query()
+def read_plan(spark, sf_dir):
+    asked = [(k % 11, k % 5, (k * 7919) % 40_000 * 8, (k % 4) * 64, False) for k in range(500)]
+    plan = extents.plan_reads(asked, window=1 << 16, max_gap=4096)
+    return spark.createDataFrame(plan["extents"], "offset long, size long, records long")
+
+
+# --- errors and verification
+
+
+def _pairs(spark, sf_dir) -> DataFrame:
+    rows = tables.cube_embed(spark, sf_dir).cells()
+    got = (F.floor(F.col("v").cast("double") * 1024 + 0.5) / 1024).cast("float")
+    return rows.select("x", "y", "z", F.col("v").alias("ref"), got.alias("got"))
+
+
+_P = f"p AS (SELECT x, y, z, CAST(v AS DOUBLE) AS r, CAST({GOT} AS DOUBLE) AS g FROM e)"
+_STRICT = "CASE WHEN r = 0 THEN g = 0 ELSE abs(g - r) / abs(r) < 1e-3 END"
+_LEGACY = "CASE WHEN abs(r) <= 1e-6 THEN abs(g - r) <= 1e-6 ELSE abs(g - r) / abs(r) < 1e-3 END"
+
+
+@query(f"WITH {EMBED}, {_P} SELECT x, y, z, round(abs(g - r), 12) AS abs_err, {_STRICT} AS passed FROM p")
+def err_pointwise_strict(spark, sf_dir):
+    rows = verify.pointwise(_pairs(spark, sf_dir), ErrorPolicy("strict"))
+    return rows.select("x", "y", "z", F.round("abs_err", 12).alias("abs_err"), "passed")
+
+
+@query(f"WITH {EMBED}, {_P} SELECT x, y, z, round(abs(g - r), 12) AS abs_err, {_LEGACY} AS passed FROM p")
+def err_pointwise_legacy(spark, sf_dir):
+    rows = verify.pointwise(_pairs(spark, sf_dir), ErrorPolicy("legacy"))
+    return rows.select("x", "y", "z", F.round("abs_err", 12).alias("abs_err"), "passed")
+
+
+@query(f"""WITH {EMBED}, {DIMS}, {_P}, q AS (SELECT {SB} AS sb_id, {LEAF_MORTON} AS morton, {_STRICT} AS ok, abs(g - r) AS a FROM p, d)
+SELECT sb_id, morton, count(*) AS valid_count, count(*) FILTER (NOT ok) AS violation_count, round(max(a), 12) AS max_abs, count(*) FILTER (NOT ok) = 0 AS passed FROM q GROUP BY ALL""")
+def err_block_stats(spark, sf_dir):
+    rows = verify.by_leaf(tables.cube_embed(spark, sf_dir).meta, _pairs(spark, sf_dir), ErrorPolicy())
+    return rows.select("sb_id", "morton", "valid_count", "violation_count", F.round("max_abs", 12).alias("max_abs"), "passed")
+
+
+_MAXREL = "max(CASE WHEN r = 0 THEN CASE WHEN g = 0 THEN 0 END ELSE abs(g - r) / abs(r) END)"
+
+
+@query(f"WITH {EMBED}, {_P} SELECT count(*) AS valid_count, count(*) FILTER (NOT {_STRICT}) AS violation_count, round(max(abs(g - r)), 12) AS max_abs, round({_MAXREL}, 9) AS max_rel FROM p")
+def err_volume_stats(spark, sf_dir):
+    rows = verify.summary(_pairs(spark, sf_dir), ErrorPolicy())
+    return rows.select("valid_count", "violation_count", F.round("max_abs", 12).alias("max_abs"), F.round("max_rel", 9).alias("max_rel"))
+
+
+@query(f"WITH {EMBED}, {_P} SELECT 'tool' AS policy, count(*) FILTER (NOT CASE WHEN abs(r) <= 1e-6 THEN abs(g - r) <= 1e-6 ELSE abs(g - r) / greatest(abs(r), 1e-12) < 1e-3 END) AS violations FROM p UNION ALL SELECT 'api', count(*) FILTER (CASE WHEN r = 0 THEN abs(g - r) ELSE abs(g - r) / abs(r) END > 1e-3) FROM p")
+def err_other_policies(spark, sf_dir):
+    pairs = _pairs(spark, sf_dir)
+    count = lambda p: verify.summary(pairs, ErrorPolicy(p)).select(F.lit(p).alias("policy"), F.col("violation_count").alias("violations"))
+    return count("tool").union(count("api"))
+
+
+@query(f"""WITH {EVENTS}, o AS (SELECT x, y, z, v AS ref, CASE WHEN (x * 500 + y * 25 + z) % 97 = 0 THEN CAST(v + 1 AS FLOAT) ELSE v END AS got FROM e WHERE (x * 500 + y * 25 + z) % 89 <> 0)
+SELECT (SELECT count(*) FROM e) AS valid_count, (SELECT count(*) FROM e) - (SELECT count(*) FROM o WHERE CASE WHEN ref = 0 THEN got = 0 ELSE abs(CAST(got AS DOUBLE) - ref) / abs(CAST(ref AS DOUBLE)) < 1e-3 END) AS violation_count, false AS passed""")
+def verify_raw_vs_raw(spark, sf_dir):
+    v = tables.cube_events(spark, sf_dir)
+    cell = address.linear(v.meta)
+    other = v.cells().where(F.pmod(cell, F.lit(89)) != 0).withColumn("v", F.when(F.pmod(cell, F.lit(97)) == 0, (F.col("v") + F.lit(1).cast("float"))).otherwise(F.col("v")).cast("float"))
+    return verify.summary(verify.paired(v.cells(), other), ErrorPolicy()).select("valid_count", "violation_count", "passed")
+
+
+@query(f"""WITH {EMBED}, {_P} SELECT count(*) AS valid_count, count(*) FILTER (NOT {_STRICT}) AS violation_count FROM p
+WHERE ((((x * 25 + y) * 64 + z) * 2654435761 + 7) % 1048576) < 1048576 // 16""")
+def verify_sampled(spark, sf_dir):
+    v = tables.cube_embed(spark, sf_dir)
+    return verify.summary(verify.sampled(_pairs(spark, sf_dir), v.meta, 16), ErrorPolicy()).select("valid_count", "violation_count")
+
+
+# --- statistics
+
+
+@query(f"WITH {EVENTS} SELECT count(*) AS n, round(100.0 * count(*) FILTER (v = 0) / count(*), 9) AS zero_percent, CAST(min(v) AS DOUBLE) AS low, CAST(max(v) AS DOUBLE) AS high, round(avg(CAST(v AS DOUBLE)), 6) AS mean, round(stddev_pop(CAST(v AS DOUBLE)), 6) AS deviation FROM e")
+def global_stats(spark, sf_dir):
+    rows = stats.overview(tables.cube_events(spark, sf_dir).cells())
+    return rows.select("n", F.round("zero_percent", 9).alias("zero_percent"), "low", "high", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"))
+
+
+@query(f"""WITH {EMBED}, o AS (SELECT abs(CAST(v AS DOUBLE)) AS a, row_number() OVER (ORDER BY abs(v)) - 1 AS k, count(*) OVER () AS n FROM e), t AS (SELECT greatest(1e-30, max(a) * 1e-3) AS t FROM o WHERE k = floor(0.01 * n))
+SELECT count(*) AS n, round(avg(CAST(a = 0 AS DOUBLE)), 9) AS zero, round(avg(CAST(a < t AS DOUBLE)), 9) AS near_zero, 0.0::DOUBLE AS non_finite FROM o, t""")
+def zero_fractions(spark, sf_dir):
+    rows = stats.fractions(tables.cube_embed(spark, sf_dir).cells())
+    return rows.select("n", *(F.round(c, 9).alias(c) for c in ("zero", "near_zero", "non_finite")))
+
+
+def _corr_sql(axis: str) -> str:
+    on = " AND ".join(f"a.{c} = b.{c}" + (" - 1" if c == axis else "") for c in AXES)
+    return f"WITH {EMBED} SELECT count(*) AS n, round(corr(CAST(a.v AS DOUBLE), CAST(b.v AS DOUBLE)), 8) AS corr FROM e a JOIN e b ON {on}"
+
+
+def _corr(axis: str):
+    def run(spark, sf_dir):
+        return stats.neighbour_correlation(tables.cube_embed(spark, sf_dir).cells(), axis).select("n", F.round("corr", 8).alias("corr"))
+
+    run.__name__ = f"neighbor_corr_{axis}"
+    return query(_corr_sql(axis))(run)
+
+
+for _axis in AXES:
+    _corr(_axis)
+
+
+@query(f"""WITH {EVENTS}, o AS (SELECT CAST(v AS DOUBLE) AS v, row_number() OVER (ORDER BY v) - 1 AS k, count(*) OVER () AS n FROM e)
+SELECT max(v) FILTER (k = least(n - 1, floor(0.95 * n))) AS p95, max(v) FILTER (k = floor(0.95 * (n - 1))) AS q95, max(v) FILTER (k = n // 2) AS median, max(v) FILTER (k = n * 10 // 100) AS p10, max(v) FILTER (k = least(n - 1, n * 90 // 100)) AS p90 FROM o""")
+def percentiles_index(spark, sf_dir):
+    rows = tables.cube_events(spark, sf_dir).cells().select(F.col("v").cast("double").alias("v"))
+    return stats.ranked(rows, "v", {"p95": stats.clamped(0.95), "q95": stats.lower(0.95), **stats.PROBE})
+
+
+_LINE = "SELECT o_orderpriority AS g, o_totalprice AS t FROM orders"
+
+
+@query(f"""WITH s AS ({_LINE}), o AS (SELECT g, t, row_number() OVER (PARTITION BY g ORDER BY t) - 1 AS k, count(*) OVER (PARTITION BY g) AS n FROM s)
+SELECT g, max(t) FILTER (k = n // 2) AS median, max(t) FILTER (k = n * 10 // 100) AS p10, max(t) FILTER (k = least(n - 1, n * 90 // 100)) AS p90 FROM o GROUP BY g""")
+def percentiles_by_group(spark, sf_dir):
+    rows = tables.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("g"), F.col("o_totalprice").alias("t"))
+    return stats.ranked(rows, "t", stats.PROBE, "g")
+
+
+@query("""WITH s AS (SELECT l_discount * 1000 + 100 AS c, l_quantity * 40 + 200 AS w FROM lineitem WHERE l_linenumber = 1), r AS (SELECT sum(c) / sum(w) AS r, count(*) AS n FROM s), d AS (
+SELECT sqrt(avg(pow(c / w - r, 2))) AS d FROM s, r) SELECT n, round(r, 9) AS ratio, round(d, 7) AS spread, round(greatest(0, r - 1.96 * d / sqrt(n)), 7) AS low, round(r + 1.96 * d / sqrt(n), 7) AS high FROM r, d""")
+def ratio_ci(spark, sf_dir):
+    rows = tables.table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select((F.col("l_discount") * 1000 + 100).alias("c"), (F.col("l_quantity") * 40 + 200).alias("w"))
+    out = stats.ratio_interval(rows, "c", "w")
+    return out.select("n", F.round("ratio", 9).alias("ratio"), *(F.round(c, 7).alias(c) for c in ("spread", "low", "high")))
+
+
+@query(f"WITH s AS ({_LINE}) SELECT g, count(*) AS n, round(sum(t), 2) AS total, min(t) AS least, round(avg(t), 4) AS mean, round(median(t), 4) AS median, max(t) AS most, round(stddev_samp(t) / avg(t), 9) AS cv FROM s GROUP BY g")
+def cv_summary(spark, sf_dir):
+    rows = tables.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("g"), F.col("o_totalprice").alias("t"))
+    out = scores.summary(rows, "g", seconds="t")
+    return out.select("g", "n", F.round("total", 2).alias("total"), "least", F.round("mean", 4).alias("mean"), F.round("median", 4).alias("median"), "most", F.round("cv", 9).alias("cv"))
+
+
+@query("WITH s AS (SELECT l_quantity AS t, row_number() OVER (ORDER BY l_quantity) - 1 AS k, count(*) OVER () AS n FROM lineitem WHERE l_orderkey < 40) SELECT round(avg(t), 9) AS mean FROM s WHERE k >= n // 10 AND k < n - n // 10")
+def trimmed_mean(spark, sf_dir):
+    rows = tables.table(spark, sf_dir, "lineitem").where("l_orderkey < 40").select(F.col("l_quantity").alias("t"))
+    return stats.trimmed_mean(rows, "t").select(F.round("mean", 9).alias("mean"))
+
+
+@query()
+def bootstrap_ci(spark, sf_dir):
+    low, high = stats.bootstrap_mean([float((k * 37) % 101) for k in range(200)])
+    return spark.createDataFrame([(low, high)], "low double, high double")
+
+
+# --- codec
+
+
+@query()
+def codec_histogram(spark, sf_dir):
+    v = tables.cube_embed(spark, sf_dir)
+    return codec.encode(leaves.pack(v.meta, v.cells())).groupBy("codec").agg(F.count("*").alias("leaves"), F.sum("size").alias("bytes"))
+
+
+@query(f"WITH {EMBED} SELECT count(*) AS valid_count, CAST(0 AS BIGINT) AS violation_count, true AS passed FROM e")
+def encode_roundtrip(spark, sf_dir):
+    v = tables.cube_embed(spark, sf_dir)
+    back = leaves.unpack(v.meta, codec.decode(codec.encode(leaves.pack(v.meta, v.cells()))))
+    return verify.summary(verify.paired(v.cells(), back), ErrorPolicy()).select("valid_count", "violation_count", "passed")
+
+
+# --- scores, plans, requests
+
+
+@query("""SELECT r AS ratio, greatest(0, 20 - greatest(0, CAST(ceil(round((r - 1.5) / 0.1, 9)) AS INT))) AS score, round(100.0 / (1 + r) * 60, 9) AS performance FROM (SELECT CAST(s AS DOUBLE) / 20 AS r FROM range(90) t(s))""")
+def storage_score(spark, sf_dir):
+    rows = spark.range(90).select((F.col("id").cast("double") / 20).alias("ratio"))
+    return rows.select("ratio", scores.storage_score("ratio").alias("score"), F.round(scores.performance_score(F.lit(100.0), 1 + F.col("ratio")), 9).alias("performance"))
+
+
+_TIMES = "t AS (SELECT CASE o_custkey % 3 WHEN 0 THEN 'x' WHEN 1 THEN 'y' ELSE 'z' END AS axis, CASE WHEN o_custkey % 3 = 2 OR o_orderkey % 2 = 0 THEN 'random' ELSE 'continuous' END AS type, avg(o_totalprice) AS seconds FROM orders GROUP BY ALL)"
+
+
+def _times(spark, sf_dir) -> DataFrame:
+    axis = F.when(F.col("o_custkey") % 3 == 0, "x").when(F.col("o_custkey") % 3 == 1, "y").otherwise("z").alias("axis")
+    kind = F.when((F.col("o_custkey") % 3 == 2) | (F.col("o_orderkey") % 2 == 0), "random").otherwise("continuous").alias("type")
+    return tables.table(spark, sf_dir, "orders").groupBy(axis, kind).agg(F.avg("o_totalprice").alias("seconds"))
+
+
+_AXIS_T = "max(t) FILTER (axis = '{a}')"
+
+
+@query(f"WITH {_TIMES}, a AS (SELECT axis, avg(seconds) AS t FROM t GROUP BY axis) SELECT {', '.join(f'round(max(t) FILTER (axis = {chr(39)}{a}{chr(39)}), 4) AS t_{a}' for a in AXES)}, round(avg(t), 4) AS t_composite FROM a")
+def t_composite(spark, sf_dir):
+    return scores.composite(_times(spark, sf_dir)).select(*(F.round(c, 4).alias(c) for c in ("t_x", "t_y", "t_z", "t_composite")))
+
+
+@query(f"WITH {_TIMES} SELECT {', '.join(f'round(sum(seconds) FILTER (axis = {chr(39)}{a}{chr(39)}) / 2, 4) AS t_{a}' for a in AXES)}, round(sum(seconds) / 6, 4) AS t_composite FROM t")
+def t_composite_sixth(spark, sf_dir):
+    return scores.composite_sixth(_times(spark, sf_dir)).select(*(F.round(c, 4).alias(c) for c in ("t_x", "t_y", "t_z", "t_composite")))
+
+
+@query("WITH g AS (SELECT o_orderpriority AS grp, count(*) AS slices FROM orders GROUP BY ALL) SELECT grp, slices, round(12.5 * slices / sum(slices) OVER (), 9) AS seconds FROM g")
+def merged_attribution(spark, sf_dir):
+    rows = tables.table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("grp")).agg(F.count("*").alias("slices")).withColumn("total_seconds", F.lit(12.5))
+    return scores.attributed(rows).select("grp", "slices", F.round("seconds", 9).alias("seconds"))
+
+
+@query("WITH r AS (SELECT o_orderpriority AS axis, o_orderstatus AS type, o_orderkey AS iteration, o_totalprice AS seconds FROM orders) SELECT axis, type, arg_min(iteration, seconds) AS iteration, min(seconds) AS seconds FROM r GROUP BY ALL")
+def best_of_repeats(spark, sf_dir):
+    rows = tables.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("axis"), F.col("o_orderstatus").alias("type"), F.col("o_orderkey").alias("iteration"), F.col("o_totalprice").alias("seconds"))
+    return scores.best_of(rows)
+
+
+@query("SELECT l_returnflag AS file, CAST(sum(l_quantity) AS BIGINT) AS calls, max(l_extendedprice) AS peak, CASE WHEN sum(l_tax) = 0 THEN 1.0 ELSE round(sum(l_discount) / sum(l_tax), 6) END AS amplification FROM lineitem GROUP BY ALL")
+def profile_merge(spark, sf_dir):
+    rows = tables.table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("file"), F.col("l_quantity").alias("calls"), F.col("l_discount").alias("read"), F.col("l_tax").alias("asked"), F.col("l_extendedprice").alias("peak"), F.col("l_orderkey").alias("at"))
+    out = scores.merged_profiles(rows, ["calls", "read", "asked"], ["peak"], [], "at", "file")
+    return out.select("file", F.col("calls").cast("long").alias("calls"), "peak", F.round(scores.amplification("read", "asked"), 6).alias("amplification"))
+
+
+_DIMS3 = "(VALUES ('x', 801, 2405, 2501), ('y', 801, 2405, 2501), ('z', 801, 2405, 2501)) t(axis, nx, ny, nz)"
+
+
+@query(f"""WITH g AS (SELECT *, (nx + 63) // 64 AS gx, (ny + 63) // 64 AS gy, (nz + 63) // 64 AS gz FROM {_DIMS3}), h AS (SELECT *, CASE axis WHEN 'x' THEN gy * gz WHEN 'y' THEN gx * gz ELSE gx * gy END AS hit,
+  CASE axis WHEN 'x' THEN ny * nz WHEN 'y' THEN nx * nz ELSE nx * ny END * 4 AS slice_bytes FROM g)
+SELECT axis, CAST(hit AS BIGINT) AS blocks_touched, CAST(hit AS BIGINT) * 1048576 AS bytes_read, CAST(slice_bytes AS BIGINT) AS slice_bytes, CAST(CASE axis WHEN 'x' THEN gy * gz WHEN 'y' THEN gz ELSE gy END AS BIGINT) AS contiguous_runs,
+  round(CAST(hit AS DOUBLE) * 1048576 / slice_bytes, 9) AS read_amplification, round((256 + CAST(gx AS BIGINT) * gy * gz * 1048576) / (CAST(nx AS DOUBLE) * ny * nz * 4), 9) AS storage_ratio FROM h""")
+def layout_sim(spark, sf_dir):
+    rows = layout.simulate(spark, 801, 2405, 2501).where("layout = 'superblock'")
+    return rows.select("axis", "blocks_touched", "bytes_read", "slice_bytes", "contiguous_runs", F.round("read_amplification", 9).alias("read_amplification"), F.round("storage_ratio", 9).alias("storage_ratio"))
+
+
+@query()
+def layout_sim_all(spark, sf_dir):
+    return layout.simulate(spark, 801, 2405, 2501)
+
+
+@query("SELECT * FROM (VALUES ('slow', 'whole', true), ('real advantage', 'full', false), ('fast', 'full', false), ('hysteresis', 'whole', false), ('clear', 'selective', false), ('pilot', 'whole', false)) t(\"case\", selected, full_blocked)")
+def strategy_cost(spark, sf_dir):
+    g, m = strategy.GIB, strategy.MIB
+    free = strategy.Limits(full_min_advantage=0.20)
+    cases = [
+        ("slow", strategy.choose((6 * g, 100), (5 * g, 20), (21 * g, 42), mb_s=66, seek_ms=12)),
+        ("real advantage", strategy.choose((30 * g, 100), (28 * g, 50), (21 * g, 42), mb_s=150, seek_ms=9)),
+        ("fast", strategy.choose((30 * g, 100), (29 * g, 50), (21 * g, 42), mb_s=300, seek_ms=7)),
+        ("hysteresis", strategy.choose((100 * m, 0), (80 * m, 25), (2 * g, 4), mb_s=100, seek_ms=10)),
+        ("clear", strategy.choose((80 * m, 0), (120 * m, 0), (2 * g, 4), mb_s=100, seek_ms=10, limits=free)),
+        ("pilot", strategy.after_pilot(strategy.choose((100 * m, 100), (180 * m, 1), (2 * g, 4), mb_s=80, seek_ms=10), 400)),
+    ]
+    return spark.createDataFrame([(n, c.selected, c.full_blocked) for n, c in cases], "case string, selected string, full_blocked boolean")
+
+
+@query("""WITH c AS (SELECT 801.0 * 2405 * 2501 * 4 / 1048576 AS raw), t AS (SELECT raw * 0.43 / 250 + 1 AS main, raw * 0.1075 / 250 + 4 AS side, raw * 0.6 / 250 + 1 AS leaf FROM c)
+SELECT 'block' AS name, true AS feasible, round(((side * 0.5 + main * 0.5) * 1.08 + main * 1.06 * 2) / 6, 9) AS t_composite FROM t UNION ALL SELECT 'leaf', true, round((leaf * 1.08 + leaf * 1.06 * 2) / 6, 9) FROM t""")
+def format_choice(spark, sf_dir):
+    found = formats.plan_format(801, 2405, 2501, 0.43, 0.45, 0.6, 0.62)
+    return spark.createDataFrame([(c.name, c.feasible, round(c.t_composite, 9)) for c in found], "name string, feasible boolean, t_composite double")
+
+
+_SET = """q AS (SELECT 'x' AS axis, 'random' AS type, CAST(s AS INT) AS seq, CASE WHEN s = 5 THEN 4 ELSE s END AS "index" FROM range(12) r(s)
+UNION ALL SELECT 'z', 'continuous', CAST(s AS INT), CASE WHEN s >= 6 THEN s + 21 ELSE s + 10 END FROM range(10) r(s))"""
+
+
+@query(f"""WITH {_SET}, p AS (SELECT axis, type, count(*) AS c, count(*) FILTER (axis = 'z' AND "index" >= 25) AS o, count(*) - count(DISTINCT "index") AS d FROM q GROUP BY ALL),
+b AS (SELECT count(*) AS n FROM (SELECT "index" - lag("index") OVER (ORDER BY seq) AS s FROM q WHERE type = 'continuous') WHERE s <> 1)
+SELECT axis, type, 'count' AS problem, c AS n FROM p WHERE type = 'random' AND c <> 100 UNION ALL SELECT axis, type, 'out of bounds', o FROM p WHERE o > 0
+UNION ALL SELECT axis, type, 'duplicate', d FROM p WHERE type = 'random' AND d > 0 UNION ALL SELECT 'z', 'continuous', 'not sequential', n FROM b WHERE n > 0""")
+def positions_validate(spark, sf_dir):
+    rows = [("x", "random", s, 4 if s == 5 else s) for s in range(12)] + [("z", "continuous", s, s + 21 if s >= 6 else s + 10) for s in range(10)]
+    asked = spark.createDataFrame(rows, "axis string, type string, seq int, index long")
+    return requests.problems(asked, tables.cube_events(spark, sf_dir).meta)
+
+
+@query("""SELECT * FROM (VALUES (3, 'x', 'random', 12, NULL), (5, 'y', 'continuous', 7, NULL), (6, 'z', 'random', 1, NULL), (7, 'w', 'random', 3, 'unknown axis/type: w/random'),
+  (8, 'x', 'random', NULL, 'expected "axis,type,index", got "x random"'), (9, 'x', 'random', NULL, 'expected "axis,type,index", got "x random 3 4"')) t(line, axis, type, "index", error)""")
+def positions_parse(spark, sf_dir):
+    text = ["﻿# head", "axis,type,index", "X,Random,12\r", "", "y\tcontinuous\t7", "  z random 1", "w,random,3", "x,random", "x,random,3,4"]
+    lines = spark.createDataFrame(list(enumerate(text, 1)), "line int, value string")
+    return requests.parse(lines).select("line", "axis", "type", F.col("index").cast("int").alias("index"), "error")
+
+
+@query(f"SELECT s.seq, s.\"index\", coalesce(s.\"index\" - lag(s.\"index\") OVER (ORDER BY s.seq) = 1, true) AS follows FROM (WITH {_SET} SELECT * FROM q WHERE type = 'continuous') s")
+def continuous_check(spark, sf_dir):
+    from pyspark.sql import Window
+
+    rows = spark.range(10).select(F.col("id").cast("int").alias("seq"), F.when(F.col("id") >= 6, F.col("id") + 21).otherwise(F.col("id") + 10).alias("index"))
+    return rows.select("seq", "index", F.coalesce(F.col("index") - F.lag("index").over(Window.orderBy("seq")) == 1, F.lit(True)).alias("follows"))
+
+
+@query()
+def random_sample(spark, sf_dir):
+    return requests.generate(spark, tables.cube_embed(spark, sf_dir).meta, 42, 10, 5)
+
+
+@query("SELECT CAST(5557350936618639655 AS BIGINT) AS fingerprint")
+def positions_fingerprint(spark, sf_dir):
+    groups = {"x_random": [1, 2, 3, 4, 5], "y_random": [10, 20, 30, 40, 50], "z_random": [100, 200, 300, 400, 500], "x_continuous": [1000, 1001], "y_continuous": [2000, 2001], "z_continuous": [3000, 3001]}
+    return spark.createDataFrame([(requests.fingerprint(groups),)], "fingerprint long")
+
+
+@query("SELECT CAST(g AS INT) AS grp, CAST(p AS INT) AS phase FROM (VALUES (0, 0), (3, 1), (1, 2), (2, 3), (4, 4), (5, 5)) t(g, p)")
+def phase_plan(spark, sf_dir):
+    phases = formats.plan_phases([100, 120, 130, 50, 80, 70], ["x", "y", "z", "x", "y", "z"], ["random"] * 3 + ["continuous"] * 3, 149)
+    return spark.createDataFrame([(g, k) for k, p in enumerate(phases) for g in p], "grp int, phase int")
+
+
+@query("""WITH c AS (SELECT s // 400 AS x, (s // 20) % 20 AS y, s % 20 AS z FROM range(8000) r(s)) SELECT x, y, z, CAST(sin(0.1 * x) * cos(0.05 * y) * sin(0.07 * z) AS FLOAT) AS v FROM c WHERE x = 3""")
+def synthetic_smooth(spark, sf_dir):
+    return generate.smooth(spark, VolumeMeta(20, 20, 20)).cells(F.col("x") == 3).select("x", "y", "z", "v")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+__all__ = ["oracle_sql", "queries", "values"]
