@@ -40,7 +40,7 @@ def _repeats() -> str:
 
 
 def with_metrics(df: DataFrame, text: str = "text") -> DataFrame:
-    """The rows with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and soft (failures).
+    """The rows with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and soft (failures), and _fence.
 
     All from the whole text; a null or empty one counts 0 everywhere and fails for want of words. A column
     of the input that has one of these names is replaced. One pass, no shuffle; work per text is
@@ -73,7 +73,10 @@ def with_metrics(df: DataFrame, text: str = "text") -> DataFrame:
         100 * F.col("n_dup_lines") > DUP_LINES_PER_100 * F.col("_lines"),
         (F.col("word_chars") < WORD_LENGTH[0] * words) | (F.col("word_chars") > WORD_LENGTH[1] * words),
     ]
-    return out.withColumn("soft", sum((x.cast("int") for x in soft), F.lit(0))).drop("_t", "_w", "_k", "_r", "_l", "_lines")
+    # a row number makes this projection one that filters are not pushed through: pushed, they would repeat
+    # the work of the arrays above for every place they are named in
+    out = out.withColumns({"soft": sum((x.cast("int") for x in soft), F.lit(0)), "_fence": F.monotonically_increasing_id()})
+    return out.drop("_t", "_w", "_k", "_r", "_l", "_lines")
 
 
 def host_rates(metrics: DataFrame, host: str = "source") -> DataFrame:
@@ -106,7 +109,7 @@ def apply_rules(df: DataFrame, host: str = "source", text: str = "text") -> Data
     side = F.broadcast(side) if hosts.count() <= BROADCAST_HOSTS else side
     out = with_metrics(df, text).drop("host_rate", "kept").join(side, F.col(host).eqNullSafe(F.col("_host")), "left").drop("_host")
     limit = F.when(F.col("host_rate") > STRICT_RATE, 1).otherwise(2)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("soft") < limit))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("soft") < limit) & (F.col("_fence") >= 0)).drop("_fence")
 
 
 def keep_documents(df: DataFrame, host: str = "source", text: str = "text") -> DataFrame:
