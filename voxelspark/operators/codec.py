@@ -62,7 +62,7 @@ def _bits(numbers: np.ndarray, width: int) -> np.ndarray:
     if not width:
         return np.empty((len(numbers), 0), np.uint8)
     bits = (numbers[:, :, None] >> np.arange(width)) & 1
-    return np.packbits(bits.astype(np.uint8).reshape(len(numbers), -1), axis=1, bitorder="little")
+    return np.packbits(bits.astype(np.uint8).reshape(len(numbers), numbers.shape[1] * width), axis=1, bitorder="little")
 
 
 def _numbers(raw: np.ndarray, width: int, cells: int) -> np.ndarray:

@@ -30,3 +30,14 @@ def smooth(spark: SparkSession, meta: VolumeMeta) -> Volume:
 def decimal(spark: SparkSession, meta: VolumeMeta, x: float = 10_000, y: float = 100, z: float = 1) -> Volume:
     """Values that tell their coordinates."""
     return formula(spark, meta, F.col("x") * float(x) + F.col("y") * float(y) + F.col("z") * float(z))
+
+
+def blocky(spark: SparkSession, meta: VolumeMeta, seed: int = 42) -> Volume:
+    """Few values in blocks of 8 x 8 x 32 cells, some blocks zero: compresses well.
+
+    Fixed values: block sizes, factors 13, 7, 3 and 1, 3, 5, modulus 97, 1024 codes of 1/32.
+    """
+    bx, by, bz = address.idiv("x", 8), address.idiv("y", 8), address.idiv("z", 32)
+    code = (bx * 13 + by * 7 + bz * 3 + seed).bitwiseAND(F.lit(1023))
+    empty = F.pmod(bx + by * 3 + bz * 5 + seed, F.lit(97)) == 0
+    return formula(spark, meta, F.when(empty, F.lit(0.0)).otherwise(code / F.lit(32.0)))
