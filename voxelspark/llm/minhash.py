@@ -189,10 +189,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
         pairs.join(best, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
         .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     )
-    # rows that repeat an id with another text are one node too: their ids tie the sets together
-    copies = members.join(groups, sets).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
-    tied = copies.groupBy("a").agg(F.min("b").alias("m"), F.max("b").alias("x")).where("m <> x").select(F.col("m").alias("a"), F.col("x").alias("b"))
-    linked = linked.union(written(confirm(apart, full))).union(tied)
+    linked = linked.union(written(confirm(apart, full)))
+    # rows that repeat an id with another text are one node too: the id ties their sets together
+    several = written(members.groupBy("id").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo <> hi").select("id"))
+    if not several.isEmpty():
+        own = members.join(several, "id").join(groups, sets).select("id", "rep").distinct()
+        least = own.groupBy("id").agg(F.min("rep").alias("a"))
+        linked = linked.union(own.join(least, "id").select("a", F.col("rep").alias("b")))
     same = components(linked)
     nodes = groups.join(same, F.col("rep") == F.col("node"), "left").select(*sets, F.coalesce("component", "rep").alias("_c"))
     out = signed.select("id", *sets).join(nodes, sets, "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("_c")).otherwise(F.col("id")))
