@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions.values import ErrorPolicy
 from .meta import AXES, VolumeMeta
-from .operators import leaves, scores, stats, verify
+from .operators import probe, scores, stats, verify
 from .operators.replicas import Replica
 from .operators.replicas import batch as replica_batch
 from .operators.volume import Volume, read_volume
@@ -69,15 +69,13 @@ def check(original: Volume, rebuilt: Volume, policy: ErrorPolicy | None = None)
     return verify.summary(verify.paired(original.cells(), rebuilt.cells()), policy or ErrorPolicy())
 
 
-def plan(volume: Volume, one_in: int = 16, budget: float = 1.5) -> list[formats.Candidate]:
-    """Format candidates from a sample of leaves: what they take as compressed bytes and under the error bound."""
-    from .operators import codec
-
-    packed = leaves.pack(volume.meta, volume.cells().where(F.pmod(F.xxhash64(F.col("x")), F.lit(max(1, one_in))) == 0) if one_in > 1 else volume.cells())
-    sizes = codec.encode(packed).select(F.col("size").cast("double").alias("part"), F.lit(256.0).alias("whole"))
-    got = stats.ratio_interval(sizes, "part", "whole").first()
-    # without another compressor at hand the blocks' own ratio is bounded by the raw size
-    return formats.plan_format(*volume.meta.dims, 1.0, 1.0, got.ratio, got.high, budget=budget)
+def plan(volume: Volume, budget: float = 1.5, threads: int = 8, leaves_wanted: int = 20_000) -> list[formats.Candidate]:
+    """Format candidates, the recommended first, from samples of superblocks and of leaves."""
+    block = stats.ratio_interval(probe.block_ratios(volume), "packed", "raw").first()
+    cells = volume.meta.leaf[0] * volume.meta.leaf[1] * volume.meta.leaf[2]
+    sizes = probe.leaf_probe(volume, leaves_wanted).select("size", F.lit(cells * 4).alias("raw"))
+    leaf = stats.ratio_interval(sizes, "size", "raw").first()
+    return formats.plan_format(*volume.meta.dims, block.ratio, block.high, leaf.ratio, leaf.high, threads, budget)
 
 
 __all__ = ["benchmark", "check", "convert", "open_converted", "plan", "reader", "restore"]

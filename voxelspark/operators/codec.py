@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..functions.values import BOUND, INTERNAL_BOUND
+from ..meta import VolumeMeta
 
 RAW, ZERO, CONSTANT, STEPS, EXCEPTIONS, MANTISSA = range(6)
 NAMES = ("raw", "zero", "constant", "steps", "exceptions", "mantissa")
@@ -212,3 +213,28 @@ def decode(records: DataFrame, cells: int = 64) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, flat), batch.column(2)], names=["sb_id", "morton", "values", "mask"])
 
     return records.select("sb_id", "morton", "mask", "codec", "size", "payload").mapInArrow(run, "sb_id long, morton long, values array<float>, mask long")
+
+
+def write_encoded(meta: VolumeMeta, cells: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Write a volume's records, clustered by superblock; nothing stays there if a cell would come back wrong.
+
+    The records are written beside the path, decoded from there and compared with the cells; only then are
+    they moved. The comparison is one full join by coordinate.
+    """
+    from ..functions.values import ErrorPolicy
+    from . import leaves, verify
+
+    spark = cells.sparkSession
+    records = encode(leaves.pack(meta, cells))
+    side = f"{path.rstrip('/')}.unverified"
+    records.repartitionByRange("sb_id", "morton").sortWithinPartitions("sb_id", "morton").write.mode("overwrite").parquet(side)
+    written = spark.read.parquet(side)
+    back = leaves.unpack(meta, decode(written))
+    found = verify.summary(verify.paired(cells, back), ErrorPolicy()).first()
+    store = spark._jvm.org.apache.hadoop.fs.Path(side).getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        if not found.passed:
+            raise ValueError(f"{found.violation_count} cells would break the error bound")
+        written.write.mode(mode).parquet(path)
+    finally:
+        store.delete(spark._jvm.org.apache.hadoop.fs.Path(side), True)

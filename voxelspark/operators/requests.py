@@ -85,6 +85,15 @@ def fingerprint(groups: dict[str, list[int]]) -> int:
     return state
 
 
+#: Basis of the hash that links a sidecar to its volume, one digit short of the usual one. Fixed value.
+LINK_BASIS = 1469598103934665603
+
+
+def link_hash(descriptors: list[int]) -> int:
+    """Hash of record descriptors (16 bits, little endian), by which a copy names the volume it was made of."""
+    return fnv1a(b"".join(d.to_bytes(2, "little") for d in descriptors), LINK_BASIS)
+
+
 def generate(spark: SparkSession, meta: VolumeMeta, seed: int, random: int = RANDOM_COUNT, continuous: int = CONTINUOUS_COUNT) -> DataFrame:
     """A request set: random indices without repeats (in hash order) and a run at a hashed start, for each axis."""
     parts = []

@@ -117,6 +117,13 @@ class Volume:
             inside = inside | F.col("z").between(low, high - 1)
         return rows.where(inside)
 
+    def cached(self) -> Volume:
+        """The volume with its rows kept in memory, spilling to disk: for many batches over one region."""
+        from pyspark import StorageLevel
+
+        keep = lambda df: None if df is None else df.persist(StorageLevel.MEMORY_AND_DISK)
+        return Volume(self.meta, keep(self.voxels), keep(self.traces))
+
     def stored(self) -> DataFrame:
         """The voxels with their leaf and block columns, as a table is written."""
         m = self.meta

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import address, values
 from .functions.values import ErrorPolicy
 from .meta import AXES, VolumeMeta
-from .operators import codec, extents, leaves, replicas, requests, scores, stats, verify
+from .operators import codec, extents, leaves, probe, replicas, requests, scores, stats, verify
 from .operators.volume import Volume
 from .plans import formats, layout, strategy
 from .sources import generate, tables
@@ -470,6 +470,22 @@ def encode_roundtrip(spark, sf_dir):
     return verify.summary(verify.paired(v.cells(), back), ErrorPolicy()).select("valid_count", "violation_count", "passed")
 
 
+@query()
+def plane_codec_probe(spark, sf_dir):
+    return probe.plane_probe(tables.cube_embed(spark, sf_dir), "z")
+
+
+@query()
+def block_ratio_probe(spark, sf_dir):
+    return probe.block_ratios(tables.cube_events(spark, sf_dir)).select("sb_id", "raw", "packed", "compressed")
+
+
+@query()
+def leaf_probe_interval(spark, sf_dir):
+    rows = probe.leaf_probe(tables.cube_embed(spark, sf_dir)).select("size", F.lit(256).alias("raw"))
+    return stats.ratio_interval(rows, "size", "raw")
+
+
 # --- scores, plans, requests
 
 
