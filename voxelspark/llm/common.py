@@ -41,7 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
         return str(here.get())
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         os.makedirs("/tmp/checkpoints", exist_ok=True)
         base = f"file://{tempfile.mkdtemp(dir='/tmp/checkpoints')}"
