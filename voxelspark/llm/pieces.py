@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ from .common import U64, mix
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED = 17
 #: Units remembered by a task are dropped beyond so many lattice nodes; that costs time, no result.
-MAX_NODES = 2_500_000
+MAX_NODES = 4_000_000
 #: Weight of a byte; longest unit that is filtered together with others and remembered.
 RARE, SHORT = 1e-5, 40
 UNIT = re.compile(r"\n| *[^ \n]+| +")
@@ -336,11 +337,26 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", model: str = M
 
 
 def round_trip(df: DataFrame, key: str = "doc_id", text: str = "text", model: str = MODEL, seed: int = SEED) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, ids_hash, lossless) of every row, after encoding and decoding."""
-    rows = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    done = decode(encode(rows, model=model, seed=seed), model=model)
-    return done.select(
-        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
-        F.coalesce(F.array_size("ids"), F.lit(0)).cast("long").alias("n_tokens"),
-        F.xxhash64("ids").alias("ids_hash"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"),
-    )
+    """(doc_id, n_bytes, n_tokens, ids_hash, lossless) of every row, after encoding and decoding.
+
+    Both steps of a batch run one after the other in one Python process, and only the digest leaves it.
+    ids_hash is that of the ids as little-endian 32 bits; a null text counts as empty.
+    """
+    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.xxhash64(F.col(key)).alias("_key"))
+    names = ["doc_id", "n_bytes", "n_tokens", "ids_hash", "lossless"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = _Encode(1, 2, model, seed), _Decode(0, model)
+        for batch in batches:
+            for low, high in encoder.cuts(batch):
+                part = batch.slice(low, high - low)
+                ids = encoder(part)
+                spelled = decoder(pa.RecordBatch.from_arrays([ids], names=["ids"]))
+                flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
+                marks = [xxhash.xxh3_64_intdigest(flat[a:b].tobytes()) - (1 << 63) for a, b in zip(ends, ends[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pc.binary_length(part.column(1)).cast(pa.int64()), pa.array(np.diff(ends).astype(np.int64)), pa.array(marks, pa.int64()), pc.equal(part.column(1), spelled)],
+                    names=names,
+                )
+
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, ids_hash long, lossless boolean")
