@@ -590,11 +590,11 @@ def positions_validate(spark, sf_dir):
 
 
 @query("""SELECT * FROM (VALUES (3, 'x', 'random', 12, NULL), (5, 'y', 'continuous', 7, NULL), (6, 'z', 'random', 1, NULL), (7, 'w', 'random', 3, 'unknown axis/type: w/random'),
-  (8, 'x', 'random', NULL, 'expected "axis,type,index", got "x random"'), (9, 'x', 'random', NULL, 'expected "axis,type,index", got "x random 3 4"')) t(line, axis, type, "index", error)""")
+  (8, 'x', 'random', -1, 'expected "axis,type,index", got "x random"'), (9, 'x', 'random', -1, 'expected "axis,type,index", got "x random 3 4"')) t(line, axis, type, "index", error)""")
 def positions_parse(spark, sf_dir):
     text = ["﻿# head", "axis,type,index", "X,Random,12\r", "", "y\tcontinuous\t7", "  z random 1", "w,random,3", "x,random", "x,random,3,4"]
     lines = spark.createDataFrame(list(enumerate(text, 1)), "line int, value string")
-    return requests.parse(lines).select("line", "axis", "type", F.col("index").cast("int").alias("index"), "error")
+    return requests.parse(lines).select("line", "axis", "type", F.coalesce("index", F.lit(-1)).cast("int").alias("index"), "error")
 
 
 @query(f"SELECT s.seq, s.\"index\", coalesce(s.\"index\" - lag(s.\"index\") OVER (ORDER BY s.seq) = 1, true) AS follows FROM (WITH {_SET} SELECT * FROM q WHERE type = 'continuous') s")
