@@ -95,13 +95,35 @@ class Volume:
         for axis in AXES:
             mine = requests.where(F.col("axis") == axis)
             inside = (F.col("index") >= 0) & (F.col("index") < self.meta.size(axis))
-            mine = mine.select("axis", "type", "seq", F.when(inside, F.col("index")).otherwise(F.raise_error(F.lit(f"{axis} index outside the volume")).cast("long")).alias("index"))
-            mine = F.broadcast(mine) if small else mine
-            cells = self.cells()
-            rows = cells.join(mine, cells[axis] == mine["index"])
+            checked = F.when(inside, F.col("index")).otherwise(F.raise_error(F.lit(f"{axis} index outside the volume")).cast("long"))
+            mine = mine.select("axis", "type", "seq", checked.alias("index"))
+            rows = self._wanted(axis, mine, small)
             parts.append(rows.select("axis", "type", "seq", "index", address.out_index(self.meta, axis).alias("out_idx"), "v"))
         return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
+    def _wanted(self, axis: str, mine: DataFrame, small: bool) -> DataFrame:
+        """Cells of an axis's requests with the request's columns; x, y, z, v stay.
+
+        Traces of X and Y requests are joined before they are unfolded; a Z request takes its elements from
+        each trace. From a stored table only the wanted leaves are read. ``small``: few requests, whose
+        distinct indices may be asked for.
+        """
+        side = F.broadcast(mine) if small else mine
+        if self.traces is not None and axis != "z":
+            rows = self.traces.join(side, self.traces[axis] == side["index"])
+            return rows.select("*", F.posexplode("values").alias("_z", "v")).withColumn("z", F.col("_z").cast("long"))
+        if not small:
+            cells = self.cells()
+            return cells.join(side, cells[axis] == side["index"])
+        index = sorted(r[0] for r in mine.select("index").distinct().collect())
+        if self.traces is not None:
+            picked = F.transform(F.lit(index or [0]).cast("array<int>"), lambda k: F.struct(k.cast("long").alias("z"), F.element_at("values", k + 1).alias("v")))
+            cells = self.traces.select("x", "y", F.explode(picked).alias("c")).select("x", "y", "c.z", "c.v")
+        else:
+            leaves = sorted({k // self.meta.leaf[AXES.index(axis)] for k in index})
+            cells = self.cells(*([F.col(f"{axis}_leaf").isin(leaves)] if f"{axis}_leaf" in self._stored() and leaves else []))
+        return cells.join(side, cells[axis] == side["index"])
+
     def sampled_planes(self, planes: list[int], ranges: list[tuple[int, int]] | None = None) -> DataFrame:
         """Cells of some X planes, of some Z ranges [from, to) of them; without ranges the whole planes."""
         for x in planes:
