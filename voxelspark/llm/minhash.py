@@ -175,7 +175,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     sets = ["n_shingles", "k1", "k2"]
     real = signed.where("n_shingles > 0 and id is not null")
     members = real.select("id", *sets)
-    groups = members.groupBy(*sets).agg(F.min("id").alias("rep"))
+    # written, so that joins by set read plain shuffles, which adaptive execution can split at a large group of copies
+    groups = written(members.groupBy(*sets).agg(F.min("id").alias("rep")))
     reps = real.groupBy(*sets).agg(F.min("id").alias("id"), F.first("sig").alias("sig"))
     pairs = written(candidates(reps))
     ends = pairs.select(F.col("a").alias("id"), F.col("b").alias("o"), "trees").union(pairs.select("b", "a", "trees"))
@@ -197,7 +198,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
         least = own.groupBy("id").agg(F.min("rep").alias("a"))
         linked = linked.union(own.join(least, "id").select("a", F.col("rep").alias("b")))
     same = components(linked)
-    nodes = groups.join(same, F.col("rep") == F.col("node"), "left").select(*sets, F.coalesce("component", "rep").alias("_c"))
+    nodes = written(groups.join(same, F.col("rep") == F.col("node"), "left").select(*sets, F.coalesce("component", "rep").alias("_c")))
     out = signed.select("id", *sets).join(nodes, sets, "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("_c")).otherwise(F.col("id")))
     out = out.withColumn("component_id", F.when(F.col("id").isNotNull(), F.col("component_id")))
     return out.select("id", "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
