@@ -53,6 +53,34 @@ def test_near_duplicates_of_odd_tables(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0 and minhash.keep_first(clash.limit(0)).count() == 0
 
 
+def test_large_groups_of_one_template_against_all_pairs(spark, monkeypatch):
+    r = random.Random(3)
+    base = words(77, 400)
+    rows = []
+    for k in range(1000):
+        copy = list(base)
+        for at in r.sample(range(400), r.randrange(6, 10)):
+            copy[at] = f"y{r.randrange(10**6)}"
+        rows.append((k, " ".join(copy)))
+    monkeypatch.setattr(minhash, "BLOCK", 60_000)  # several blocks to a region
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.id: r.component_id for r in minhash.near_duplicates(df).collect()}
+    ids, texts = [i for i, _ in rows], [t.encode() for _, t in rows]
+    sets = [np.unique(common.shingles(*common.words_of_many([t]), minhash.WORDS)[0]) for t in texts]
+    _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    table = np.zeros((len(sets), column.max() + 1), np.float32)
+    table[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), column] = 1
+    both, n = table @ table.T, np.array([len(s) for s in sets])
+    links = 100 * both >= minhash.SIMILARITY * (n[:, None] + n[None, :] - both)
+    comp = np.array(ids)
+    while True:  # the least id that a row is linked to, until nothing moves
+        new = np.where(links, comp[None, :], len(ids)).min(axis=1)
+        if (new == comp).all():
+            break
+        comp = new
+    assert got == dict(zip(ids, comp.tolist(), strict=True)) and 1 < len(set(got.values())) < 1000
+
+
 def test_candidates_do_not_depend_on_partitions(spark):
     rows = [(k, " ".join(words(5, 200)[k % 3 :])) for k in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")

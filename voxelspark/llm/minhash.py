@@ -4,7 +4,8 @@ A tree is a sorted order of one slice of the signatures. Neighbours in an order
 candidates; where many signatures crowd together only the nearest ones in the order pair up, and these
 share the longest prefixes there, so the depth follows the region. The orders are range-partitioned, so
 a crowded region spreads over tasks, and neighbours across the partitions' edges are paired in a second,
-small pass.
+small pass. What crowded regions leave is settled exactly: rows of a region that are still in different
+components are compared all with all, in blocks.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ REACH, CROWDED = 16, 3
 WORDS = 5
 #: A link: 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 75
+#: Shingles of a block of rows that one task compares with another block.
+BLOCK = 400_000
 _KEY = 1 + 4 * DEPTH
 _PREFIX = 1 + 4 * MIN_DEPTH
 
@@ -161,12 +164,93 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.mapInArrow(check, "a long, b long")
 
 
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of a with each of b; exact, as floats hold whole numbers to 2 ** 24."""
+    values, column = np.unique(np.concatenate((*a, *b)), return_inverse=True)
+    split = sum(map(len, a))
+    left, right = column[:split], column[split:]
+    # only shingles of both sides count
+    shared = (np.bincount(left, minlength=len(values)) > 0) & (np.bincount(right, minlength=len(values)) > 0)
+    place = np.cumsum(shared) - 1
+    rows = [np.repeat(np.arange(len(x)), [len(y) for y in x]) for x in (a, b)]
+    sides = [(r[shared[c]], place[c[shared[c]]]) for r, c in zip(rows, (left, right), strict=True)]
+    out, most = np.zeros((len(a), len(b)), np.float32), max(1, (1 << 22) // (len(a) + len(b)))
+    sides = [(r[o], c[o]) for r, c in sides for o in (np.argsort(c, kind="stable"),)]
+    for low in range(0, int(shared.sum()), most):
+        tables = []
+        for (r, c), x in zip(sides, (a, b), strict=True):
+            i, j = np.searchsorted(c, (low, low + most))
+            t = np.zeros((len(x), most), np.float32)
+            t[r[i:j], c[i:j] - low] = 1
+            tables.append(t)
+        out += tables[0] @ tables[1].T
+    return out
+
+
+def crowded_links(reps: DataFrame, same: DataFrame, full: DataFrame) -> DataFrame:
+    """(a, b): links between components within crowded regions, enough to tie all that are linked there.
+
+    Every pair of rows that share a prefix in a region of more than REACH + 1 rows and are in different
+    components is compared on the full sets. Regions of one component are done, so a group of copies that
+    its neighbours have tied costs nothing here. The others are cut into blocks of BLOCK shingles, large
+    components into blocks of their own, and pairs of blocks with more than one component go to tasks.
+    """
+    rows = reps.join(same.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("c"), F.col("n_shingles").cast("long").alias("w"), "sig")
+    cuts = F.array(*[F.concat(F.unhex(F.lit(f"{t:02x}")), F.substring("sig", 4 * DEPTH * t + 1, 4 * MIN_DEPTH)) for t in range(TREES)])
+    rows = rows.select("id", "c", "w", F.explode(cuts).alias("r"))
+    crowded = rows.groupBy("r").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where(f"n > {REACH + 1} and lo <> hi")
+    rows = written(rows.join(crowded.select("r").hint("merge"), "r"))
+    parts = rows.groupBy("r", "c").agg(F.sum("w").alias("cw"))
+    parts = parts.join(parts.where(f"cw <= {BLOCK}").groupBy("r").agg(F.sum("cw").alias("rest")), "r", "left")
+    number = lambda of, weight: F.pmod(F.xxhash64(of), F.greatest(F.lit(1), F.ceil(F.col(weight) / BLOCK)).cast("long"))
+    # (component, number) for a large component, (null, number) for the others
+    large = F.col("cw") > BLOCK
+    placed = rows.join(parts, ["r", "c"]).select(
+        "r", "id", "c", F.struct(F.when(large, F.col("c")).alias("of"), F.when(large, number("id", "cw")).otherwise(number("c", "rest")).alias("k")).alias("block")
+    )
+    placed = written(placed)
+    blocks = written(placed.groupBy("r", "block").agg(F.min("c").alias("lo"), F.max("c").alias("hi")))
+    x, y = (blocks.select("r", *(F.col(c).alias(f"{c}{s}") for c in ("block", "lo", "hi"))) for s in "xy")
+    pairs = x.join(y, "r").where("blockx <= blocky and (lox <> hix or loy <> hiy or lox <> loy)").select("r", "blockx", "blocky")
+    sides = F.when(F.col("blockx") == F.col("blocky"), F.array("blockx")).otherwise(F.array("blockx", "blocky"))
+    pairs = pairs.select("r", F.xxhash64("r", "blockx", "blocky").alias("p"), F.posexplode(sides).alias("side", "block"))
+    wanted = pairs.join(placed, ["r", "block"]).select("r", "p", "side", "id", "c").join(full, "id")
+
+    def compare(t: pa.Table) -> pa.Table:
+        side, ids, comps = (t.column(n).to_numpy() for n in ("side", "id", "c"))
+        sets = [np.frombuffer(x, U64) for x in t.column("set").to_pylist()]
+        n = np.array([len(x) for x in sets])
+        first = np.flatnonzero(side == 0)
+        second = np.flatnonzero(side == 1) if side.any() else first
+        both = _overlaps([sets[i] for i in first], [sets[i] for i in second]).astype(np.int64)
+        hit = 100 * both >= SIMILARITY * (n[first][:, None] + n[second][None, :] - both)
+        hit &= comps[first][:, None] != comps[second][None, :]
+        at: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while (up := at.get(c, c)) != c:
+                at[c] = c = at.get(up, up)
+            return c
+
+        out = []
+        for i, j in zip(*(x.tolist() for x in np.nonzero(hit)), strict=True):
+            i, j = first[i], second[j]
+            u, v = root(int(comps[i])), root(int(comps[j]))
+            if u != v:  # links that tie nothing new stay away
+                at[u] = v
+                out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+
+    return wanted.select("r", "p", "side", "id", "c", "set").groupBy("r", "p").applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) per row.
 
     Rows whose sets are equal are one node before the forest is built, whatever their number, so groups of
     exact copies cost one row each. Each node's likeliest pair (found in most trees) is confirmed first;
-    of the other pairs only those between different components remain to be confirmed, all of them.
+    of the other pairs only those between different components remain to be confirmed, all of them. Last
+    come the pairs of crowded regions that are no candidates, where they could still tie components.
 
     A text without words, or null, is linked with nothing. A null id takes no part: its component is null
     and it is kept. Rows that repeat an id are one node. An empty table gives an empty result.
@@ -190,7 +274,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
         pairs.join(best, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
         .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     )
-    linked = linked.union(written(confirm(apart, full)))
+    linked = written(linked.union(written(confirm(apart, full))))
+    linked = linked.union(written(crowded_links(reps, components(linked), full)))
     # rows that repeat an id with another text are one node too: the id ties their sets together
     several = written(members.groupBy("id").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo <> hi").select("id"))
     if not several.isEmpty():
