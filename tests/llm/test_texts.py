@@ -173,6 +173,19 @@ def test_losses_are_laws_and_scores_rank(spark):
     assert none.count() == 0 and lm_score.score(df, labels.limit(0)).where("score is not null").count() == 21
 
 
+def test_rare_words_tell_texts_apart(spark, monkeypatch):
+    # 3,000 words of one count: a vocabulary of 2,048 words knew two thirds of them
+    rows = [(k, " ".join(f"w{k * 10 + j}" for j in range(10))) for k in range(300)]
+    df = spark.createDataFrame([*rows, *((k + 300, t) for k, t in rows), (None, "w1 w2")], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k,) for k in range(0, 300, 2)], "doc_id long")
+    got = {r.doc_id: r for r in lm_score.score(df, labels).collect()}
+    assert len(got) == 601 and min(got[k].score for k in range(0, 600, 2)) > max(got[k].score for k in range(1, 600, 2)) + 3
+    monkeypatch.setattr(lm_score, "BATCH", 3000)  # several batches, more buckets
+    monkeypatch.setattr(lm_score, "BUCKET", 1000)
+    more = {r.doc_id: r for r in lm_score.score(df, labels).collect()}
+    assert all(abs(more[k].score - got[k].score) < 1e-9 for k in got)
+
+
 def test_scores_against_a_plain_model(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     good = lm_score.labelled_good(spark, "/root/testdata/sf0.001")
