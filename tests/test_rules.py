@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
-from voxelspark import cli
+from voxelspark import cli, queries
 from voxelspark.functions import address, values
 from voxelspark.functions.values import ErrorPolicy
 from voxelspark.meta import VolumeMeta, align_up
@@ -199,3 +199,12 @@ def test_task_files():
     assert cli.parse_tasks(text) == [["slice", "--input", "a.raw", "--nx", "1", "--verbose"], ["info", "--input", "b"]]
     with pytest.raises(ValueError):
         cli.parse_tasks("input=a")
+
+
+def test_windows_take_the_whole_table(spark):
+    sf, fold = "/root/testdata/sf0.001", extents.fold_windows
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr("l_suppkey % 10 as f", "l_partkey % 500 * 100 as o", "cast(l_quantity as bigint) * 2 + 20 as s").collect()
+    ordered = {f: sorted(((r.o, r.s) for r in lines if r.f == f), key=lambda b: (b[0], -b[1])) for f in {r.f for r in lines}}
+    want = sorted((f, *w) for f, blocks in ordered.items() for w in fold(blocks, 4096, 64))
+    got = sorted(tuple(r) for r in queries.queries()["merge_windows"](spark, sf).collect())
+    assert got == want and sum(r[3] for r in got) == len(lines)

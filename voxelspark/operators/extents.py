@@ -27,21 +27,22 @@ def merge_with_gap(extents: DataFrame, gap: int, *by: str) -> DataFrame:
     return wide.withColumn("size", F.col("size") - gap)
 
 
-def fold_windows(blocks: Iterable[tuple[int, int]], window: int, gap: int) -> list[tuple[int, int, int]]:
-    """(offset, bytes, extents) of greedy windows over extents sorted by offset.
+def fold_windows(blocks: Iterable[tuple[int, ...]], window: int, gap: int) -> list[tuple[int, int, int]]:
+    """(offset, bytes, extents) of greedy windows over extents sorted by offset, each (offset, size) or (offset, size, times).
 
     The next extent joins while it starts inside the window, or no more than ``gap`` behind it and the
     window stays within ``window`` bytes. A first extent is taken whatever its size.
     """
     out: list[tuple[int, int, int]] = []
     start = end = count = 0
-    for offset, size in blocks:
+    for offset, size, *times in blocks:
+        n = times[0] if times else 1  # a repeat always joins the first of its kind
         if count and (offset < end or (offset - end <= gap and offset + size - start <= window)):
-            end, count = max(end, offset + size), count + 1
+            end, count = max(end, offset + size), count + n
             continue
         if count:
             out.append((start, end - start, count))
-        start, end, count = offset, offset + size, 1
+        start, end, count = offset, offset + size, n
     if count:
         out.append((start, end - start, count))
     return out
@@ -50,14 +51,14 @@ def fold_windows(blocks: Iterable[tuple[int, int]], window: int, gap: int) -> li
 def build_windows(extents: DataFrame, window: int, gap: int, *by: str) -> DataFrame:
     """(by..., offset, size, extents): greedy read windows of each group.
 
-    The fold is sequential by its rule; exact duplicates go first, and a group is one file's plan.
+    The fold is sequential by its rule; exact duplicates are counted first, and a group is one file's plan.
     """
     keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in extents.select(*by).schema)
     rows = extents.groupBy(*by, "offset", "size").agg(F.count("*").alias("n"))
 
     def fold(key, pdf):
         pdf = pdf.sort_values(["offset", "size"], ascending=[True, False])
-        made = fold_windows(((o, s) for o, s, n in zip(pdf["offset"].tolist(), pdf["size"].tolist(), pdf["n"].tolist(), strict=True) for _ in range(n)), window, gap)
+        made = fold_windows(zip(pdf["offset"].tolist(), pdf["size"].tolist(), pdf["n"].tolist(), strict=True), window, gap)
         import pandas as pd
 
         return pd.DataFrame([(*key, *m) for m in made], columns=[*by, "offset", "size", "extents"])

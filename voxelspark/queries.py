@@ -271,8 +271,8 @@ def prefix_offsets(spark, sf_dir):
 _EXT = "x AS (SELECT l_suppkey % 10 AS file, CAST(l_partkey % 500 AS BIGINT) * 100 AS \"offset\", CAST(l_quantity AS BIGINT) * 2 + 20 AS size FROM lineitem WHERE l_orderkey % 5 = 0)"
 
 
-def _extents(spark, sf_dir) -> DataFrame:
-    rows = tables.table(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0")
+def _extents(spark, sf_dir, which: str = "l_orderkey % 5 = 0") -> DataFrame:
+    rows = tables.table(spark, sf_dir, "lineitem").where(which)
     return rows.select((F.col("l_suppkey") % 10).alias("file"), ((F.col("l_partkey") % 500).cast("long") * 100).alias("offset"), (F.col("l_quantity").cast("long") * 2 + 20).alias("size"))
 
 
@@ -295,7 +295,7 @@ def merge_extents_gap(spark, sf_dir):
 
 @query()
 def merge_windows(spark, sf_dir):
-    return extents.build_windows(_extents(spark, sf_dir), 4096, 64, "file")
+    return extents.build_windows(_extents(spark, sf_dir, "true"), 4096, 64, "file")
 
 
 @query("SELECT CAST(s * 4096 AS BIGINT) AS \"offset\", CAST(100 AS BIGINT) AS size FROM range(50) r(s) WHERE s % 7 = 0")
