@@ -208,3 +208,16 @@ def test_windows_take_the_whole_table(spark):
     want = sorted((f, *w) for f, blocks in ordered.items() for w in fold(blocks, 4096, 64))
     got = sorted(tuple(r) for r in queries.queries()["merge_windows"](spark, sf).collect())
     assert got == want and sum(r[3] for r in got) == len(lines)
+
+
+def test_trimmed_mean_of_a_whole_table(spark):
+    lines = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
+    for column in ("l_quantity", "l_extendedprice"):
+        v = sorted(r[0] for r in lines.select(column).collect())
+        kept = v[len(v) // 10 : len(v) - len(v) // 10]
+        out = stats.trimmed_mean(lines, column)
+        assert out.first().mean == pytest.approx(sum(kept) / len(kept), rel=1e-12)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "row_number" not in plan  # no window sorts all rows in one task
+    some = lambda *v: stats.trimmed_mean(spark.createDataFrame([(x,) for x in v], "t double"), "t").first().mean
+    assert some() is None and some(None, 3.0) == 3.0 and some(*map(float, range(10))) == 4.5 and some(*[1.0] * 15, 100.0, None) == 1.0

@@ -12,9 +12,19 @@ from ..functions import values
 def ranked(df: DataFrame, column: str, at: dict[str, str], *by: str) -> DataFrame:
     """Order statistics by index: ``at`` names each and gives its index as SQL over n.
 
+    Nothing is collected into arrays.
+    """
+    rows = counted(df, column, *by)
+    here = lambda index: F.expr(f"cast({index} as bigint) >= _end - _c and cast({index} as bigint) < _end")
+    return rows.groupBy(*by).agg(*(F.max(F.when(here(index), F.col("_v"))).alias(name) for name, index in at.items()))
+
+
+def counted(df: DataFrame, column: str, *by: str) -> DataFrame:
+    """(by..., _v, _c, _end, n): distinct values, their counts, the sum of counts up to them in order, and all rows.
+
     Values are counted first (that combines before the shuffle). In groups the counts are summed up in
     order; over all rows they are sorted in ranges, each range's start being the sum of those before it,
-    so no task sees all values. Nothing is collected into arrays.
+    so no task sees all values. Null is no value.
     """
     rows = df.select(*by, F.col(column).alias("_v")).where("_v is not null").groupBy(*by, "_v").agg(F.count("*").alias("_c"))
     if by:
@@ -27,8 +37,7 @@ def ranked(df: DataFrame, column: str, at: dict[str, str], *by: str) -> DataFram
         before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
         sums = sums.select("_p", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_b"), F.sum("_s").over(Window.partitionBy(F.lit(0))).alias("n"))
         rows = rows.join(F.broadcast(sums), "_p").withColumn("_end", F.col("_b") + F.sum("_c").over(Window.partitionBy("_p").orderBy("_v")))
-    here = lambda index: F.expr(f"cast({index} as bigint) >= _end - _c and cast({index} as bigint) < _end")
-    return rows.groupBy(*by).agg(*(F.max(F.when(here(index), F.col("_v"))).alias(name) for name, index in at.items()))
+    return rows
 
 
 #: Index rules over n values: clamped floor(p n), floor(p (n - 1)), and those of the ratio probe.
@@ -93,10 +102,10 @@ def overview(cells: DataFrame) -> DataFrame:
 
 
 def trimmed_mean(df: DataFrame, column: str) -> DataFrame:
-    """Mean without the n/10 least and n/10 greatest values: of a device's samples, a short list."""
-    rows = df.select(F.col(column).alias("_v")).where("_v is not null")
-    rows = rows.withColumn("_k", F.row_number().over(Window.orderBy("_v")) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(F.lit(0))))
-    return rows.where("_k >= _n div 10 and _k < _n - _n div 10").agg(F.avg("_v").alias("mean"))
+    """Mean without the n/10 least and n/10 greatest values, from counted values: no task sorts all rows."""
+    kept = F.expr("least(_end, n - n div 10) - greatest(_end - _c, n div 10)")
+    rows = counted(df, column).withColumn("_k", kept).where("_k > 0")
+    return rows.agg((F.sum(F.col("_v") * F.col("_k")) / F.sum("_k")).alias("mean"))
 
 
 def bootstrap_mean(sample: list[float], level: float = 0.95, rounds: int = 1000, seed: int = 42) -> tuple[float, float]:
