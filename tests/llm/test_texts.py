@@ -77,6 +77,17 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <div class="cookie-notice">ok?</div><footer>&copy; foot</footer></body></html>"""
 
 
+def test_items_within_edited_items():
+    r = random.Random(12)
+    for _ in range(20):
+        whole = "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(300)).strip()
+        index = decontaminate.Index([(1, whole[:100].strip()), (2, whole)])
+        held = list(whole)
+        for at in r.sample(range(100, len(held)), r.randrange(10, 16)):
+            held[at] = r.choice("0123456789")
+        assert index.search([decontaminate.normal("before " + "".join(held) + " after")]) == [[1, 2]]
+
+
 def test_article_blocks():
     own, other = html_text.blocks(PAGE)
     assert own == ["Title & more", "Onetwo three four five", "Next <x> é", "item", "Last"] and other == []

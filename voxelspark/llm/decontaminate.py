@@ -198,42 +198,38 @@ class Index:
         data = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
         ends = np.cumsum([len(t) + 1 for t in texts])
         starts = ends - np.array([len(t) + 1 for t in texts])
-        hashes, hit = grams(data), self.hits(data)
+        hashes = grams(data)
         seen: set[tuple[int, int]] = set()
 
-        def check(place: int, k: int) -> bool:
-            """Is item k at this place? Its grams there are settled if so, and items akin to it are checked too."""
+        def check(place: int, k: int) -> None:
+            """Is item k at this place? Items akin to it are checked too if so. Grams stay: another item may need the same ones."""
             d = int(np.searchsorted(ends, place, "right"))
             item, t = self.items[k]
             if item in found[d] or (place, k) in seen:
-                return False
+                return
             seen.add((place, k))
             most, at = int(self.edits[k]), place - int(starts[d])
             low, high = max(int(starts[d]), place - most), place + len(t) + 2 * most - GRAM + 1
             near, own = hashes[low:high], self.own[k]
             held = own[np.minimum(np.searchsorted(own, near), len(own) - 1)] == near
             if int(held.sum()) < self.kept[k] or distance_within(t, texts[d][max(0, at - most) : at + len(t) + 2 * most], most) is None:
-                return False
+                return
             found[d][item] = None
-            hit[low:high] &= ~held
             low, high = np.searchsorted(self.grams, near, "left"), np.searchsorted(self.grams, near, "right")
             kin = np.concatenate([self.holders[a:b] for a, b in zip(low[low < high], high[low < high], strict=True)])
             number = np.bincount(kin, minlength=len(self.items))
             for other in np.flatnonzero((number > 0) & (number >= self.kept)).tolist():
                 check(place, other)
-            return True
 
         for r in range(self.repeats):
             if not len(at):
                 break
-            owner, new = np.searchsorted(ends, at, "right"), False
+            owner = np.searchsorted(ends, at, "right")
             for keys in self.embed(data, at, r, None, ends[owner] - 1).values():
                 low, high = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
                 for w in np.flatnonzero(low < high).tolist():
                     for k in self.owners[low[w] : high[w]].tolist():
-                        new |= check(int(at[w]), k)
-            if new:  # windows that settled grams alone had made good need no further walk
-                at = self.good(hit, at)
+                        check(int(at[w]), k)
         return [sorted(x) for x in found]
 
 
