@@ -20,12 +20,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix
+from .common import U64, mix, positional
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED = 17
-#: Units remembered by a task are dropped beyond so many lattice nodes; that costs time, no result.
-MAX_NODES = 4_000_000
+#: Units remembered by a task are dropped beyond so many lattice nodes (about 100 bytes each), and at its end;
+#: that costs time, no result.
+MAX_NODES = 1_500_000
 #: Weight of a byte; longest unit that is filtered together with others and remembered.
 RARE, SHORT = 1e-5, 40
 UNIT = re.compile(r"\n| *[^ \n]+| +")
@@ -248,7 +249,7 @@ class Lattice:
 
 @functools.lru_cache(maxsize=1)
 def lattice(model: str) -> Lattice:
-    """The lattice of this Python process: tasks that run in it one after the other share what it knows."""
+    """The lattice of this Python process. Its tables of pieces stay (some MB); a task clears the units it met."""
     return Lattice(model)
 
 
@@ -259,10 +260,13 @@ def _with(df: DataFrame, column: str, kind: str, make) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for batch in batches:
-            for low, high in step.cuts(batch):
-                part = batch.slice(low, high - low)
-                yield pa.RecordBatch.from_arrays([*part.columns, step(part)], names=[*batch.schema.names, column])
+        try:
+            for batch in batches:
+                for low, high in step.cuts(batch):
+                    part = batch.slice(low, high - low)
+                    yield pa.RecordBatch.from_arrays([*part.columns, step(part)], names=[*batch.schema.names, column])
+        finally:
+            step.close()
 
     return df.mapInArrow(run, schema)
 
@@ -271,6 +275,10 @@ class _Encode:
     def __init__(self, text: int, key: int, model: str, seed: int):
         self.text, self.key, self.seed, self.lattice = text, key, seed, lattice(model)
 
+    def close(self) -> None:
+        """A worker process outlives its task: what the task remembered must not stay with it."""
+        self.lattice.clear()
+
     def cuts(self, batch: pa.RecordBatch) -> list[tuple[int, int]]:
         """Runs of rows of about a megabyte of text."""
         out, low, held = [], 0, 0
@@ -301,6 +309,9 @@ class _Decode:
     def __init__(self, ids: int, model: str):
         self.ids, self.spelled = ids, pa.array(pieces(model)[2], pa.large_binary())
 
+    def close(self) -> None:
+        pass
+
     def cuts(self, batch: pa.RecordBatch) -> list[tuple[int, int]]:
         return [(k, min(k + 1000, batch.num_rows)) for k in range(0, batch.num_rows, 1000)]
 
@@ -322,12 +333,14 @@ def encode(df: DataFrame, text: str = "text", key: str = "doc_id", out: str = "i
     """The rows, all columns, with the ids of a sampled segmentation of the whole text.
 
     Rows with equal keys and texts get equal ids. A null text has null ids, an empty one none; a null key
-    draws like a key of its own. The model's file is opened on every executor by its path.
+    draws like a key of its own. A column named ``out`` is replaced, all others stay whatever their names.
+    A long text is filtered unit by unit. The model's file is opened on every executor by its path.
     """
-    df = df.withColumn("_key", F.xxhash64(F.col(key)))
-    place = [c for c in df.columns if c != out]
-    made = _with(df, out, "array<int>", functools.partial(_Encode, place.index(text), place.index("_key"), model, seed))
-    return made.drop("_key")
+    df = df.drop(out) if out in df.columns else df
+    rows, (text_at, key_at) = positional(df, text, key)
+    rows = rows.withColumn("key", F.xxhash64(F.col(key_at)))
+    made = _with(rows, "ids", "array<int>", functools.partial(_Encode, rows.columns.index(text_at), len(df.columns), model, seed))
+    return made.drop("key").toDF(*df.columns, out)
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", model: str = MODEL) -> DataFrame:
@@ -347,16 +360,19 @@ def round_trip(df: DataFrame, key: str = "doc_id", text: str = "text", model: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = _Encode(1, 2, model, seed), _Decode(0, model)
-        for batch in batches:
-            for low, high in encoder.cuts(batch):
-                part = batch.slice(low, high - low)
-                ids = encoder(part)
-                spelled = decoder(pa.RecordBatch.from_arrays([ids], names=["ids"]))
-                flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
-                marks = [xxhash.xxh3_64_intdigest(flat[a:b].tobytes()) - (1 << 63) for a, b in zip(ends, ends[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pc.binary_length(part.column(1)).cast(pa.int64()), pa.array(np.diff(ends).astype(np.int64)), pa.array(marks, pa.int64()), pc.equal(part.column(1), spelled)],
-                    names=names,
-                )
+        try:
+            for batch in batches:
+                for low, high in encoder.cuts(batch):
+                    part = batch.slice(low, high - low)
+                    ids = encoder(part)
+                    spelled = decoder(pa.RecordBatch.from_arrays([ids], names=["ids"]))
+                    flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
+                    marks = [xxhash.xxh3_64_intdigest(flat[a:b].tobytes()) - (1 << 63) for a, b in zip(ends, ends[1:], strict=False)]
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), pc.binary_length(part.column(1)).cast(pa.int64()), pa.array(np.diff(ends).astype(np.int64)), pa.array(marks, pa.int64()), pc.equal(part.column(1), spelled)],
+                        names=names,
+                    )
+        finally:
+            encoder.close()
 
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, ids_hash long, lossless boolean")
