@@ -40,7 +40,7 @@ def op7_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ruled = quality.apply_rules(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    ruled = quality.apply_rules(table(spark, sf_dir, "documents", "doc_id", "text", "source"), texts=False)
     return ruled.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
