@@ -81,18 +81,52 @@ def test_large_groups_of_one_template_against_all_pairs(spark, monkeypatch):
     assert got == dict(zip(ids, comp.tolist(), strict=True)) and 1 < len(set(got.values())) < 1000
 
 
-def test_candidates_do_not_depend_on_partitions(spark):
-    rows = [(k, " ".join(words(5, 200)[k % 3 :])) for k in range(60)]
+def test_candidates_do_not_depend_on_plans(spark):
+    rows = [(k, " ".join(words(5, 200)[k % 3 :])) for k in range(60)] + near_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    signed = minhash.signatures(df).select("id", "sig").persist()
-    one = {(r.a, r.b) for r in minhash.candidates(signed).collect()}
-    spark.conf.set("spark.sql.shuffle.partitions", "17")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    many = {(r.a, r.b) for r in minhash.candidates(signed).collect()}
-    spark.conf.set("spark.sql.shuffle.partitions", "4")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    assert one and {x for p in one for x in p} == {x for p in many for x in p}
-    assert len(many) < 60 * minhash.TREES * minhash.REACH
+    signed = minhash.signatures(df).where("n_shingles > 0").select("id", "sig").persist()
+    one = {tuple(r) for r in minhash.candidates(signed).collect()}
+    changed = {"spark.sql.shuffle.partitions": "17", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.exchange.reuse": "false"}
+    before = {k: spark.conf.get(k) for k in changed}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    many = {tuple(r) for r in minhash.candidates(signed).collect()}
+    for k, v in before.items():
+        spark.conf.set(k, v)
+    assert one == many and len(one) < len(rows) * minhash.TREES * minhash.REACH
+
+
+def test_blocks_of_an_order_see_what_the_whole_sees(spark, monkeypatch):
+    df = spark.createDataFrame(near_rows(), "doc_id long, text string")
+    signed = minhash.signatures(df).where("n_shingles > 0").select("id", "sig").persist()
+    whole = {tuple(r) for r in minhash.candidates(signed).collect()}
+    monkeypatch.setattr(minhash, "ORDER_BLOCK", 20)
+    assert {tuple(r) for r in minhash.candidates(signed).collect()} == whole
+
+
+def test_numbers_of_an_order(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x")).repartition(7)
+    rows = common.numbered(df, "x").collect()
+    assert sorted((r._at, r.x) for r in rows) == [(k, k) for k in range(1000)]
+    parts = common.in_blocks(common.numbered(df, "x"), 100, 5).groupBy("_b").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n")).orderBy("_b").collect()
+    own = [r for r in parts if r.lo < 1000 and r.n > 5]
+    assert [(r.lo, r.hi) for r in own] == [(max(0, 100 * k - 5), min(999, 100 * k + 104)) for k in range(10)]
+
+
+def test_pairs_near_the_threshold_in_a_crowd(spark):
+    # texts of one template: unrelated pairs lie just below the threshold, planted ones just above
+    r = random.Random(11)
+    template = [f"t{k}" for k in range(404)]
+    rows = []
+    for k in range(400):
+        own = [f"o{r.randrange(10**9)}" for _ in range(72)]
+        rows.append((2 * k, " ".join(template + own)))
+        rows.append((2 * k + 1, " ".join(template + own[:15] + [f"p{r.randrange(10**9)}" for _ in range(57)])))
+    got = {x.id: x.component_id for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    sets = dict((i, set(np.unique(common.shingles(*common.words_of_many([t.encode()]), minhash.WORDS)[0]).tolist())) for i, t in rows)
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert like(0, 1) >= 0.75 > like(0, 2)
+    assert all(got[2 * k] == got[2 * k + 1] for k in range(400)) and len(set(got.values())) == 400
 
 
 def test_components(spark):

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -67,6 +67,30 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, *by: str) -> DataFrame:
+    """The rows with their number ``_at`` in the order of some columns: 0, 1, 2, ... over all rows.
+
+    The order is made once, in ranges, and written; the start of each range is the sum of those before it
+    (one row for each partition). So whoever reads it again sees the same numbers, whatever plans are reused.
+    """
+    rows = written(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_m", F.monotonically_increasing_id()))
+    part = F.shiftright("_m", 33)
+    sizes = rows.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_f"))
+    inside = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumn("_p", part).join(F.broadcast(first), "_p").withColumn("_at", F.col("_f") + inside).drop("_p", "_f", "_m")
+
+
+def in_blocks(rows: DataFrame, size: int, reach: int) -> DataFrame:
+    """Numbered rows dealt into blocks ``_b`` of ``size``; a block also gets the ``reach`` rows before and after its own."""
+    if reach > size:
+        raise ValueError("a block must be longer than the reach")
+    own, place = F.floor(F.col("_at") / size), F.pmod(F.col("_at"), F.lit(size))
+    near = F.array(own, F.when((place < reach) & (own > 0), own - 1), F.when(place >= size - reach, own + 1))
+    return rows.withColumn("_b", F.explode(F.array_compact(near)))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64), element by element; wraps on overflow."""
     x = x ^ (x >> U64(30))

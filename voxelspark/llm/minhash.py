@@ -1,11 +1,10 @@
 """Near duplicates by an LSH forest over MinHash signatures, confirmed on the full shingle sets.
 
 A tree is a sorted order of one slice of the signatures. Neighbours in an order that share a prefix are
-candidates; where many signatures crowd together only the nearest ones in the order pair up, and these
-share the longest prefixes there, so the depth follows the region. The orders are range-partitioned, so
-a crowded region spreads over tasks, and neighbours across the partitions' edges are paired in a second,
-small pass. What crowded regions leave is settled exactly: rows of a region that are still in different
-components are compared all with all, in blocks.
+candidates. The depth follows the region: rows pair up at the least depth at which their region is small,
+and where it is crowded even at the full depth only the nearest ones do. The orders are numbered once and
+read in blocks that overlap, so a crowded region spreads over tasks. What crowded regions leave is settled
+exactly: rows of a region that are still in different components are compared all with all, in blocks.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, components, distinct_parts, mix, positional, shingles, stream, words_of_many, written
+from .common import U64, chunks, components, distinct_parts, in_blocks, mix, numbered, positional, shingles, stream, words_of_many, written
 
 TREES, DEPTH, MIN_DEPTH = 20, 6, 3
 #: Neighbours in an order that pair up, and as many in regions of more members than that.
@@ -25,10 +24,11 @@ REACH, CROWDED = 16, 3
 WORDS = 5
 #: A link: 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 75
-#: Shingles of a block of rows that one task compares with another block.
-BLOCK = 400_000
+#: Rows of an order that a task takes at once.
+ORDER_BLOCK = 8192
+#: Shingles of a block of rows that one task compares with another block; a row counts ROW at least, which bounds the rows.
+BLOCK, ROW = 400_000, 200
 _KEY = 1 + 4 * DEPTH
-_PREFIX = 1 + 4 * MIN_DEPTH
 
 
 def _text_sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -67,61 +67,49 @@ def signatures(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return df.select(F.col(key).cast("long"), text).mapInArrow(sign, "id long, n_shingles long, k1 long, k2 long, sig binary")
 
 
-def _pairs(keys: np.ndarray, ids: np.ndarray, fresh: int) -> tuple[np.ndarray, np.ndarray]:
-    """Neighbour pairs of a run of an order whose second member lies at or after ``fresh``."""
+def _pairs(keys: np.ndarray, ids: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbour pairs of a run of an order whose second member is one of ``own``.
+
+    A row's depth is the least one at which its region, the rows that share so many hashes with it, has REACH + 1
+    members at most: these all pair up. Where it is crowded even at the full depth, and between its deeper
+    regions, the CROWDED nearest rows pair up; crowded_links settles the others.
+    """
     n = len(ids)
-    same = np.zeros(n + 1, dtype=bool)  # row i shares its prefix with row i - 1
-    same[1:n] = (keys[1:, :_PREFIX] == keys[:-1, :_PREFIX]).all(axis=1)
-    region = np.cumsum(~same[:n])
-    crowded = np.bincount(region)[region] > REACH + 1
-    out = []
+    levels = []
+    for depth in range(MIN_DEPTH, DEPTH + 1):
+        same = np.zeros(n, dtype=bool)  # row i shares its prefix with row i - 1
+        same[1:] = (keys[1:, : 1 + 4 * depth] == keys[:-1, : 1 + 4 * depth]).all(axis=1)
+        region = np.cumsum(~same)
+        levels.append((region, np.bincount(region)[region] <= REACH + 1))
+    out = [np.empty((2, 0), np.int64)]
     for d in range(1, min(REACH, n - 1) + 1):
-        hit = region[d:] == region[:-d]
-        if d > CROWDED:
-            hit &= ~crowded[d:]
-        at = np.flatnonzero(hit) + d
-        at = at[at >= fresh]
+        hit = levels[0][0][d:] == levels[0][0][:-d] if d <= CROWDED else np.zeros(n - d, dtype=bool)
+        for region, small in levels:
+            hit |= (region[d:] == region[:-d]) & small[d:]
+        at = np.flatnonzero(hit & own[d:]) + d
         out.append(np.stack((ids[at - d], ids[at])))
-    got = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
+    got = np.concatenate(out, axis=1)
     got = np.sort(got, axis=0)[:, got[0] != got[1]]
     return got[0], got[1]
 
 
 def candidates(reps: DataFrame) -> DataFrame:
-    """(a, b, trees): pairs of ids that are neighbours in some tree, a < b, with the number of trees."""
+    """(a, b, trees): pairs of ids that are neighbours in some tree, a < b, with the number of trees.
+
+    All trees are one sorted table, read in blocks of ORDER_BLOCK rows and the rows next to them, so no region
+    is too large for a task.
+    """
     rows = reps.select("id", F.posexplode(F.array(*[F.substring("sig", 4 * DEPTH * t + 1, 4 * DEPTH) for t in range(TREES)])).alias("t", "s"))
     rows = rows.select(F.concat(F.unhex(F.lpad(F.hex("t"), 2, "0")), F.col("s")).alias("key"), "id")
-    order = rows.repartitionByRange("key", "id").sortWithinPartitions("key", "id")
 
-    def arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        raw = b"".join(batch.column(0).to_pylist())
-        return np.frombuffer(raw, np.uint8).reshape(-1, _KEY), batch.column(1).to_numpy()
+    def near(t: pa.Table) -> pa.Table:
+        t = t.sort_by("_at").combine_chunks()
+        keys = np.frombuffer(b"".join(t.column("key").to_pylist()), np.uint8).reshape(-1, _KEY)
+        a, b = _pairs(keys, t.column("id").to_numpy(), t.column("_at").to_numpy() // ORDER_BLOCK == t.column("_b")[0].as_py())
+        return pa.table({"a": a, "b": b})
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids = np.empty((0, _KEY), np.uint8), np.empty(0, np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            k, i = arrays(batch)
-            keys, ids = np.concatenate((keys[-REACH:], k)), np.concatenate((ids[-REACH:], i))
-            a, b = _pairs(keys, ids, len(ids) - len(i))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, tail = None, None
-        for batch in batches:
-            if batch.num_rows:
-                t = pa.Table.from_batches([batch])
-                head = t if head is None else head if len(head) >= REACH else pa.concat_tables([head, t])
-                head = head.slice(0, REACH)
-                tail = t if tail is None else pa.concat_tables([tail, t])
-                tail = tail.slice(max(0, len(tail) - REACH)).combine_chunks()
-        if head is not None:
-            yield from pa.concat_tables([head, tail]).combine_chunks().to_batches()
-
-    # 2 * REACH rows of each partition, whatever its size
-    rims = order.mapInArrow(edges, "key binary, id long").distinct().coalesce(1).sortWithinPartitions("key", "id")
-    found = order.mapInArrow(near, "a long, b long").union(rims.mapInArrow(near, "a long, b long"))
+    # one row more than the reach, so that a block sees whether a region at its edge is crowded
+    found = in_blocks(numbered(rows, "key", "id"), ORDER_BLOCK, REACH + 1).groupBy("_b").applyInArrow(near, "a long, b long")
     return found.groupBy("a", "b").agg(F.count("*").alias("trees"))
 
 
@@ -195,7 +183,7 @@ def crowded_links(reps: DataFrame, same: DataFrame, full: DataFrame) -> DataFram
     its neighbours have tied costs nothing here. The others are cut into blocks of BLOCK shingles, large
     components into blocks of their own, and pairs of blocks with more than one component go to tasks.
     """
-    rows = reps.join(same.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("c"), F.col("n_shingles").cast("long").alias("w"), "sig")
+    rows = reps.join(same.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("c"), F.greatest(F.col("n_shingles"), F.lit(ROW)).cast("long").alias("w"), "sig")
     cuts = F.array(*[F.concat(F.unhex(F.lit(f"{t:02x}")), F.substring("sig", 4 * DEPTH * t + 1, 4 * MIN_DEPTH)) for t in range(TREES)])
     rows = rows.select("id", "c", "w", F.explode(cuts).alias("r"))
     crowded = rows.groupBy("r").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where(f"n > {REACH + 1} and lo <> hi")
