@@ -2,9 +2,9 @@
 
 Candidates come from the CGK random-walk embedding, which maps edit distance to Hamming distance, and
 repeated bit sampling on it: two strings walked by one random function agree in most places if few edits
-part them. Item-sized windows of a text at word starts are embedded; windows that cannot hold an item by
-the gram lemma (an edit spoils GRAM grams at most, so a match keeps many of the item's grams) are left out
-before, which loses nothing. Every candidate is verified by its exact edit distance.
+part them. Item-sized windows of a text are embedded, at whatever byte they start; windows that cannot hold an
+item by the gram lemma (an edit spoils GRAM grams at most, so a match keeps many of the item's grams, each near
+its place) are left out before, which loses nothing. Every candidate is verified by its exact edit distance.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,9 +24,11 @@ from .common import _BYTE, U64, chunks, mix, positional, stream
 EDITS_PER_100 = 6
 GRAM = 10
 #: Sampled places of an embedding, and the recall to be reached by repetition where a place agrees this often.
-SAMPLES, RECALL, AGREE = 4, 0.999, 0.75
-#: Items that go through the corpus together: the size of what is sent to every task.
-BLOCK_ITEMS = 20_000
+SAMPLES, RECALL, AGREE = 4, 0.999, 0.65
+#: Items that go through the corpus together, and their characters: the size of what is sent to every executor.
+BLOCK_ITEMS, BLOCK_BYTES = 20_000, 8 << 20
+#: Items longer than this are embedded class by class; bytes of windows embedded side by side.
+LONG, EMBED = 1000, 1 << 20
 _TABLE = 22
 
 
@@ -79,55 +82,96 @@ def distance_within(item: bytes, text: bytes, most: int) -> int | None:
 
 
 class Index:
-    """Items ready to be looked for: gram table, length classes, sampled embeddings."""
+    """Items ready to be looked for: grams with their places, length classes, sampled embeddings.
+
+    Items of under GRAM bytes have no gram and allow no edit: they are looked up as they stand.
+    """
 
     def __init__(self, items: Sequence[tuple[int, str | None]], seed: int = 0xC6):
         found = [(i, normal(t)) for i, t in items]
+        self.short: dict[bytes, list[int]] = {}
+        for i, t in found:
+            if 0 < len(t) < GRAM:
+                self.short.setdefault(t, []).append(i)
         self.items = [(i, t) for i, t in found if len(t) >= GRAM]
         lengths = np.array([len(t) for _, t in self.items], dtype=np.int64)
         self.edits = np.array([edits_allowed(n) for n in lengths.tolist()], dtype=np.int64)
-        self.kept = kept = lengths - GRAM + 1 - GRAM * self.edits
-        self.own = [np.sort(grams(np.frombuffer(t, np.uint8))) for _, t in self.items]
-        self.table = np.zeros(1 << _TABLE, dtype=bool)
-        for _, t in self.items:
-            self.table[(grams(np.frombuffer(t, np.uint8)) >> U64(64 - _TABLE)).astype(np.int64)] = True
-        self.repeats = repetitions()
-        sizes = np.array([len(o) for o in self.own], dtype=np.int64)
-        every = np.concatenate(self.own) if self.own else np.empty(0, U64)
-        order = np.argsort(every, kind="stable")
-        self.grams, self.holders = every[order], np.repeat(np.arange(len(sizes)), sizes)[order]
-        # classes of like lengths: (longest window, least grams kept, places sampled in each repetition)
+        self.kept = lengths - GRAM + 1 - GRAM * self.edits
+        plain = [grams(np.frombuffer(t, np.uint8)) for _, t in self.items]
+        self.own = [np.sort(g) for g in plain]
+        self.repeats, self.seed = repetitions(), seed
+        # classes of like lengths: (longest window, most edits, places sampled in each repetition)
         self.classes: list[tuple[int, int, np.ndarray]] = []
         rng = np.random.default_rng(seed)
         left = np.argsort(lengths, kind="stable")
-        keys: list[np.ndarray] = []
-        owners: list[np.ndarray] = []
-        steps = 2 * int(lengths.max(initial=0))
-        self.walk = rng.integers(0, 2, (self.repeats, max(steps, 1), 256), dtype=np.uint8)
+        klass = np.zeros(len(lengths), np.int64)
+        members: list[np.ndarray] = []
         while len(left):
             own = left[lengths[left] <= max(lengths[left[0]] * 1.15, lengths[left[0]] + 8)]
             left = left[len(own) :]
-            places = rng.integers(0, 2 * lengths[own[0]], (self.repeats, SAMPLES))
-            self.classes.append((int((lengths + self.edits)[own].max()), int(kept[own].min()), places))
+            klass[own] = len(self.classes)
+            self.classes.append((int((lengths + self.edits)[own].max()), int(self.edits[own].max()), rng.integers(0, 2 * lengths[own[0]], (self.repeats, SAMPLES))))
+            members.append(own)
+        # classes that are embedded together: the short ones, each long one alone
+        self.groups = [[c for c, x in enumerate(self.classes) if x[0] <= LONG], *([c] for c, x in enumerate(self.classes) if x[0] > LONG)]
+        self.groups = [g for g in self.groups if g]
+        self.keys: list[np.ndarray] = []
+        self.owners: list[np.ndarray] = []
+        for own, c in zip(members, range(len(members)), strict=True):
             data = np.frombuffer(b"".join(self.items[k][1] for k in own) + b"\0", np.uint8)
-            at = np.cumsum(lengths[own]) - lengths[own]
-            for r in range(self.repeats):
-                got = self.embed(data, at, r, len(self.classes) - 1, at + lengths[own])
-                keys.append(got)
-                owners.append(own)
-        joined = np.concatenate(keys) if keys else np.empty(0, U64)
-        order = np.argsort(joined, kind="stable")
-        self.keys, self.owners = joined[order], (np.concatenate(owners) if owners else np.empty(0, np.int64))[order]
-        self.window = max((c[0] for c in self.classes), default=0)
-        self.least = min((c[1] for c in self.classes), default=1)
-
-    def embed(self, data: np.ndarray, at: np.ndarray, repeat: int, only: int | None = None, ends: np.ndarray | None = None) -> np.ndarray | dict[int, np.ndarray]:
-        """Keys of the strings that start at ``at`` under one walk: of one class, or by class.
-
-        A walk stays at a place or goes on by the random bit of the step and the byte; behind ``ends`` (or
-        the data) it reads zeros.
+            ends = np.cumsum(lengths[own])
+            got = [self.embed(data, ends - lengths[own], ends, r, [c])[c] for r in range(self.repeats)]
+            joined = np.concatenate(got)
+            order = np.argsort(joined, kind="stable")
+            self.keys.append(joined[order])
+            self.owners.append(np.tile(own, self.repeats)[order])
+        self._places(plain, klass)
+
+    def _places(self, plain: list[np.ndarray], klass: np.ndarray) -> None:
+        """Where in its item each gram stands, by class, and how many a match keeps at least.
+
+        Of the grams that occur once in an item a match keeps ``need`` or more, each at its place give or take
+        the edits. An item that may keep none of them (it repeats itself) is looked for at every place instead.
+        """
+        self.need = np.full(len(self.classes), np.iinfo(np.int64).max)
+        self.looped = np.zeros(len(self.classes), np.int64)
+        gram, owner, offset, loops = [], [], [], []
+        for k, g in enumerate(plain):
+            values, first, count = np.unique(g, return_index=True, return_counts=True)
+            once = first[count == 1]
+            need, c = int(self.kept[k]) - (len(g) - len(once)), int(klass[k])
+            if need >= 1:
+                self.need[c] = min(self.need[c], need)
+                gram.append(g[once])
+                owner.append(np.full(len(once), c))
+                offset.append(once)
+            else:
+                loops.append(values)
+                least = int(self.kept[k])
+                self.looped[c] = least if not self.looped[c] else min(self.looped[c], least)
+        joined = [np.concatenate(x) if x else np.empty(0, t) for x, t in ((gram, U64), (owner, np.int64), (offset, np.int64))]
+        order = np.lexsort(joined[::-1])
+        joined = [x[order] for x in joined]
+        new = np.ones(len(order), dtype=bool)  # items that share a gram at one place share its row
+        new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in joined]) if len(order) else new[1:]
+        self.gram, self.gram_class, self.gram_place = (x[new] for x in joined)
+        self.loops = np.unique(np.concatenate(loops)) if loops else np.empty(0, U64)
+        self.table = np.zeros(1 << _TABLE, dtype=bool)
+        self.table[(self.gram >> U64(64 - _TABLE)).astype(np.int64)] = True
+        self.table[(self.loops >> U64(64 - _TABLE)).astype(np.int64)] = True
+
+    def _walk(self, repeat: int, low: int, high: int) -> np.ndarray:
+        """Random bits of the steps low to high of a walk, by the byte that is read: hashed, so nothing is stored."""
+        with np.errstate(over="ignore"):
+            step = mix(np.arange(low, high, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(self.seed * 1_000_003 + repeat))
+            return (mix(step[:, None] + np.arange(1, 257, dtype=U64) * U64(0xD1B54A32D192ED03)) >> U64(63)).astype(np.uint8)
+
+    def embed(self, data: np.ndarray, at: np.ndarray, ends: np.ndarray, repeat: int, classes: Sequence[int]) -> dict[int, np.ndarray]:
+        """Keys of the strings that start at ``at`` and end at ``ends`` under one walk, by class.
+
+        A walk stays at a place or goes on by the random bit of the step and the byte; behind the end it reads
+        zeros. Memory: EMBED bytes of windows side by side, whatever the length of the items.
         """
-        classes = range(len(self.classes)) if only is None else [only]
         want: dict[int, list[tuple[int, int]]] = {}
         for c in classes:
             for k, step in enumerate(self.classes[c][2][repeat].tolist()):
@@ -136,109 +180,132 @@ class Index:
         factors = stream(0xB17, SAMPLES) | U64(1)
         steps = max(want, default=-1) + 1
         width = steps + 1
-        limit = np.full(len(at), len(data)) if ends is None else ends
-        for low in range(0, len(at), 2048):  # so many windows side by side stay in the cache
-            own = slice(low, low + 2048)
-            place = at[own, None] + np.arange(width)
-            block = np.where(place < limit[own, None], data[np.minimum(place, len(data) - 1)], 0).astype(np.uint8).ravel()
+        side = max(1, min(2048, EMBED // width))  # so many windows side by side stay in the cache
+        for turn in range(0, len(at), side):
+            own = slice(turn, turn + side)
+            place = at[own, None] + np.arange(width, dtype=np.int64)
+            block = np.where(place < ends[own, None], data[np.minimum(place, len(data) - 1)], 0).astype(np.uint8).ravel()
             here = np.arange(len(at[own]), dtype=np.int64) * width
             with np.errstate(over="ignore"):
-                for step in range(steps):
-                    byte = block.take(here)
-                    for c, k in want.get(step, ()):
-                        out[c][own] = mix(out[c][own] + (byte.astype(U64) + U64(1)) * factors[k])
-                    here += self.walk[repeat, step].take(byte)
-        return out if only is None else out[only]
-
-    def hits(self, data: np.ndarray) -> np.ndarray:
-        """Places where some item's gram starts (and a few more, by hash)."""
-        return self.table[(grams(data) >> U64(64 - _TABLE)).astype(np.int64)] if len(data) >= GRAM else np.zeros(0, dtype=bool)
-
-    def good(self, hit: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """Those of the places from which some item-sized window keeps enough grams."""
-        if int(hit.sum()) < self.least or not self.items:
-            return start[:0]
-        total = np.concatenate((np.zeros(1, np.int64), np.cumsum(hit)))
-        start = start[start < len(hit)]
-        span = lambda s, n: total[np.minimum(s + n, len(hit))] - total[s]
-        start = start[span(start, self.window) >= self.least]
-        some = np.zeros(len(start), dtype=bool)
-        for n, least, _ in self.classes:
-            some |= span(start, n) >= least
-        return start[some]
-
-    def windows(self, data: np.ndarray) -> np.ndarray:
-        """Word starts from which some item-sized window keeps enough grams."""
-        return self.good(self.hits(data), np.concatenate(([0], np.flatnonzero((data == 32) | (data == 0)) + 1)))
+                for low in range(0, steps, 1024):
+                    walk = self._walk(repeat, low, min(steps, low + 1024))
+                    for step in range(low, low + len(walk)):
+                        byte = block.take(here)
+                        for c, k in want.get(step, ()):
+                            out[c][own] = mix(out[c][own] + (byte.astype(U64) + U64(1)) * factors[k])
+                        here += walk[step - low].take(byte)
+        return out
+
+    def windows(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, place in it, class) of the windows that may hold an item, at whatever byte they start.
+
+        ``data`` holds the texts from ``starts`` to ``ends``. A gram of an item says where the item would start.
+        By the gram lemma a match has ``need`` such sayings that differ by its edits at most, so a place is left
+        out only if fewer lie within twice the edits about it.
+        """
+        none = np.empty(0, np.int64)
+        g = grams(data)
+        p = np.flatnonzero(self.table[(g >> U64(64 - _TABLE)).astype(np.int64)]) if len(g) else none
+        low, high = np.searchsorted(self.gram, g[p], "left"), np.searchsorted(self.gram, g[p], "right")
+        n = high - low
+        said = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum())) if len(p) else none
+        place, c = np.repeat(p, n) - self.gram_place[said], self.gram_class[said]
+        owner = np.repeat(np.searchsorted(ends, p, "right"), n)
+        if len(said):
+            group = owner * len(self.classes) + c
+            key = (group << 32) + (place - starts[owner] + (1 << 30))
+            key.sort()
+            c = (key >> 32) % len(self.classes)
+            reach = 2 * np.array([x[1] for x in self.classes])[c]
+            votes = np.searchsorted(key, key + reach, "right") - np.searchsorted(key, key - reach, "left")
+            key = np.unique(key[votes >= self.need[c]])
+            owner, c = np.divmod(key >> 32, len(self.classes))
+            place = np.maximum((key & ((1 << 32) - 1)) - (1 << 30), 0)
+        else:
+            owner = place = c = none
+        if len(self.loops) and len(p):
+            hit = np.zeros(len(g), dtype=bool)
+            hit[p] = self.loops[np.minimum(np.searchsorted(self.loops, g[p]), len(self.loops) - 1)] == g[p]
+            total = np.concatenate((np.zeros(1, np.int64), np.cumsum(hit)))
+            every = np.arange(len(hit))
+            for k in np.flatnonzero(self.looped).tolist():
+                at = np.flatnonzero(total[np.minimum(every + self.classes[k][0], len(hit))] - total[every] >= self.looped[k])
+                own = np.searchsorted(ends, at, "right")
+                owner, place, c = (np.concatenate(x) for x in ((owner, own), (place, np.maximum(at - starts[own], 0)), (c, np.full(len(at), k))))
+        return owner, place, c
 
     def search(self, texts: list[bytes]) -> list[list[int]]:
         """For each text, the ids of the items in it."""
-        out: list[list[int]] = [[] for _ in texts]
-        rows: list[int] = []
-        starts: list[np.ndarray] = []
-        base = 0
+        found: list[set[int]] = [set() for _ in texts]
+        rows: list[np.ndarray] = []
         for i, j in chunks(texts, 1 << 18):
-            at = self.windows(np.frombuffer(b"\0".join(texts[i:j]) + b"\0", np.uint8))
-            if len(at):
-                ends = np.cumsum([len(t) + 1 for t in texts[i:j]])
-                own = np.searchsorted(ends, at, "right")
-                # only texts with windows stay, side by side, so that one walk takes all windows of a batch
-                for k in np.unique(own).tolist():
-                    rows.append(i + k)
-                    starts.append(at[own == k] - (ends[k] - len(texts[i + k]) - 1) + base)
-                    base += len(texts[i + k]) + 1
-        if rows:
-            for k, items in zip(rows, self._verify([texts[k] for k in rows], np.concatenate(starts)), strict=True):
-                out[k] = items
-        return out
+            ends = np.cumsum([len(t) + 1 for t in texts[i:j]])
+            starts = ends - np.array([len(t) + 1 for t in texts[i:j]])
+            owner, place, c = self.windows(np.frombuffer(b"\0".join(texts[i:j]) + b"\0", np.uint8), starts, ends)
+            rows.append(np.stack((owner + i, place, c)))
+        every = np.concatenate(rows, axis=1) if rows else np.empty((3, 0), np.int64)
+        for group in self.groups:
+            own = every[:2, np.isin(every[2], group)]
+            if own.shape[1]:
+                own = np.unique(own, axis=1)
+                # texts with windows side by side, so that one walk takes all windows
+                some, owner = np.unique(own[0], return_inverse=True)
+                for k, items in zip(some.tolist(), self._verify([texts[k] for k in some.tolist()], owner, own[1], group), strict=True):
+                    found[k] |= items
+        if self.short:
+            seek = self._automaton()
+            for k, t in enumerate(texts):
+                for _, ids in seek.iter(t.decode("latin-1")):
+                    found[k].update(ids)
+        return [sorted(x) for x in found]
 
-    def _verify(self, texts: list[bytes], at: np.ndarray) -> list[list[int]]:
-        """Embed the windows at these places of the texts side by side; check what meets an item."""
-        found: list[dict[int, None]] = [{} for _ in texts]
+    def _automaton(self) -> ahocorasick.Automaton:
+        """Items of under GRAM bytes, byte by byte."""
+        seek = ahocorasick.Automaton()
+        for t, ids in self.short.items():
+            seek.add_word(t.decode("latin-1"), ids)
+        seek.make_automaton()
+        return seek
+
+    def _verify(self, texts: list[bytes], owner: np.ndarray, place: np.ndarray, group: Sequence[int]) -> list[set[int]]:
+        """Embed the windows at these places of the texts; check by edit distance what meets an item."""
+        found: list[set[int]] = [set() for _ in texts]
         data = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        starts = ends - np.array([len(t) + 1 for t in texts])
+        sizes = np.array([len(t) for t in texts], np.int64)
+        starts = np.cumsum(sizes + 1) - sizes - 1
         hashes = grams(data)
         seen: set[tuple[int, int]] = set()
 
-        def check(place: int, k: int) -> None:
-            """Is item k at this place? Items akin to it are checked too if so. Grams stay: another item may need the same ones."""
-            d = int(np.searchsorted(ends, place, "right"))
+        def check(w: int, k: int) -> None:
+            d, at = int(owner[w]), int(place[w])
             item, t = self.items[k]
-            if item in found[d] or (place, k) in seen:
+            if item in found[d] or (w, k) in seen:
                 return
-            seen.add((place, k))
-            most, at = int(self.edits[k]), place - int(starts[d])
-            low, high = max(int(starts[d]), place - most), place + len(t) + 2 * most - GRAM + 1
-            near, own = hashes[low:high], self.own[k]
+            seen.add((w, k))
+            most, base = int(self.edits[k]), int(starts[d])
+            near, own = hashes[base + max(0, at - most) : base + at + len(t) + 2 * most - GRAM + 1], self.own[k]
             held = own[np.minimum(np.searchsorted(own, near), len(own) - 1)] == near
-            if int(held.sum()) < self.kept[k] or distance_within(t, texts[d][max(0, at - most) : at + len(t) + 2 * most], most) is None:
-                return
-            found[d][item] = None
-            low, high = np.searchsorted(self.grams, near, "left"), np.searchsorted(self.grams, near, "right")
-            kin = np.concatenate([self.holders[a:b] for a, b in zip(low[low < high], high[low < high], strict=True)])
-            number = np.bincount(kin, minlength=len(self.items))
-            for other in np.flatnonzero((number > 0) & (number >= self.kept)).tolist():
-                check(place, other)
+            if int(held.sum()) >= self.kept[k] and distance_within(t, texts[d][max(0, at - most) : at + len(t) + 2 * most], most) is not None:
+                found[d].add(item)
 
+        at, ends = starts[owner] + place, (starts + sizes)[owner]
         for r in range(self.repeats):
-            if not len(at):
-                break
-            owner = np.searchsorted(ends, at, "right")
-            for keys in self.embed(data, at, r, None, ends[owner] - 1).values():
-                low, high = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
+            for c, keys in self.embed(data, at, ends, r, group).items():
+                low, high = np.searchsorted(self.keys[c], keys, "left"), np.searchsorted(self.keys[c], keys, "right")
                 for w in np.flatnonzero(low < high).tolist():
-                    for k in self.owners[low[w] : high[w]].tolist():
-                        check(int(at[w]), k)
-        return [sorted(x) for x in found]
+                    for k in self.owners[c][low[w] : high[w]].tolist():
+                        check(w, k)
+        return found
 
 
 def find_items(df: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", out: str = "items") -> DataFrame:
     """The rows, all columns, with an array column of the ids of items found in the text.
 
-    Items go through the corpus in blocks of BLOCK_ITEMS, one pass each over rows that stay where they are;
-    nothing is shuffled. A null or empty text holds nothing; an item of under GRAM bytes, or null, is
-    nowhere. A column of the input with the name of the new one is replaced. Item ids must not be null.
+    Items go through the corpus in blocks of BLOCK_ITEMS or BLOCK_BYTES, one pass each over rows that stay where
+    they are; a block's index is made once and broadcast, so what is sent is bounded. Nothing is shuffled. A null or
+    empty text holds nothing, a null or empty item is nowhere; an item of under GRAM bytes is found as it
+    stands, anywhere. Items that repeat an id are looked for each, equal ids are told once. A long text or item
+    takes time and its own length in memory. An existing column of that name is replaced. Item ids must not be null.
     """
     df = df.drop(out) if out in df.columns else df
     names = df.columns
@@ -246,10 +313,13 @@ def find_items(df: DataFrame, items: DataFrame, text: str = "text", item: str =
     columns, place = df.columns, df.columns.index(text)
     df = df.withColumn(out, F.array().cast("array<long>"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    context = df.sparkSession.sparkContext
 
     def finder(block: list[tuple[int, str | None]]):
+        sent = context.broadcast(Index(block))
+
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(block)
+            index = sent.value
             for batch in batches:
                 found = index.search([normal(t) for t in batch.column(place).to_pylist()])
                 before = batch.column(len(columns)).to_pylist()
@@ -259,17 +329,17 @@ def find_items(df: DataFrame, items: DataFrame, text: str = "text", item: str =
         return find
 
     block: list[tuple[int, str | None]] = []
-    rows = items.select(F.col(item).cast("long"), item_text).where(F.col(item).isNotNull()).orderBy(item).toLocalIterator()
-    for row in rows:
+    held = 0
+    for row in items.select(F.col(item).cast("long"), item_text).where(F.col(item).isNotNull()).orderBy(item).toLocalIterator():
         block.append((row[0], row[1]))
-        if len(block) == BLOCK_ITEMS:
-            df = df.mapInArrow(finder(block), schema)
-            block = []
+        held += len(row[1] or "")
+        if len(block) == BLOCK_ITEMS or held > BLOCK_BYTES:
+            df, block, held = df.mapInArrow(finder(block), schema), [], 0
     df = df.mapInArrow(finder(block), schema) if block else df
     return df.toDF(*names, out)
 
 
 def keep_clean(df: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """The rows whose text holds no item, with the columns they came with."""
+    """The rows whose text holds no item, with the columns they came with; nulls and empties as in find_items."""
     rows, (text,) = positional(df, text)
     return find_items(rows, items, text).where(F.size("items") == 0).select(*rows.columns).toDF(*df.columns)
