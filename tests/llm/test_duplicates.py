@@ -165,9 +165,15 @@ def test_repeats_against_counting(spark):
     check_repeats(spark, repeat_rows())
 
 
-def test_hot_anchors_and_large_groups(spark, monkeypatch):
+@pytest.mark.parametrize("most", [1, 3, 40])
+def test_crowded_anchors_are_dealt_again(spark, monkeypatch, most):
     rows = repeat_rows()
-    monkeypatch.setattr(suffix_dedup, "HOT_SEGMENTS", 3)
+    r = random.Random(6)
+    text = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    core = text(120)  # one string in many surroundings, some of them alike on one side or both
+    sides = [text(130) for _ in range(6)]
+    rows += [(1000 + k, text(20) + sides[k % 6][-60 - k :] + core + sides[k % 5][: 70 + k] + text(30)) for k in range(60)]
+    monkeypatch.setattr(suffix_dedup, "SHARD_SEGMENTS", most)
     check_repeats(spark, rows)
 
 

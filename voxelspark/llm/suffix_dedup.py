@@ -5,7 +5,8 @@ of equals. Equal windows name equal anchors, so shards by anchor hash never part
 anchors that occur once need not be looked at again. A shard sorts the suffixes of its texts by
 Larsson-Sadakane refinement (only groups still tied are sorted again, by the rank at twice the depth) and
 takes common prefixes by Kasai's property. An anchor with more text than a block spans several suffix
-arrays; these are merged by binary search of one's windows in the other's order.
+arrays; these are merged by binary search of one's windows in the other's order. An anchor with more segments
+than a shard may hold is dealt again by the bytes next to it, as often as it takes, and then goes the same way.
 """
 
 from __future__ import annotations
@@ -25,22 +26,22 @@ LENGTH = 200
 GRAM = 32
 REACH = LENGTH - GRAM + 1
 #: Bytes of text under one suffix array.
-BLOCK = 2 << 20
-#: An anchor with more segments than this is settled window by window in a grouped count, spread over all tasks.
-HOT_SEGMENTS = 20_000
+BLOCK = 1 << 19
+#: An anchor with more segments than this is dealt again by more of its bytes.
+SHARD_SEGMENTS = 4096
 _BITS = 20
 _CAP = 640
 
 
-def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, number of windows, anchor hash) of the runs of windows that name one anchor place.
+def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, number of windows, anchor hash, anchor's place from the start) of the runs of windows that name one place.
 
     ``data`` holds whole texts side by side that end at ``ends``; windows never cross an end. At most 2**20
     bytes at once.
     """
     none = np.empty(0, np.int64)
     if len(data) < LENGTH:
-        return none, none, none.view(U64)
+        return none, none, none.view(U64), none
     with np.errstate(over="ignore"):
         h = _BYTE[data]
         for m, c in zip((1, 2, 4, 8, 16), stream(0xA9C, 5), strict=True):
@@ -56,10 +57,10 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         valid[max(0, e - LENGTH + 1) : e] = False
     at = np.flatnonzero(valid)
     if not len(at):
-        return none, none, none.view(U64)
+        return none, none, none.view(U64), none
     new = np.concatenate(([True], (np.diff(at) != 1) | (np.diff(place[at]) != 0)))
     first = np.flatnonzero(new)
-    return at[first], np.diff(np.concatenate((first, [len(at)]))), h[place[at[first]]]
+    return at[first], np.diff(np.concatenate((first, [len(at)]))), h[place[at[first]]], place[at[first]] - at[first]
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -233,7 +234,7 @@ def repeated_windows(groups: list[tuple[int, dict[int, list]]]) -> Iterator[tupl
 
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
-    """(k, r, at, n, h): runs of windows of every text."""
+    """(k, r, at, n, h, a): runs of windows of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,21 +246,21 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
                 step = (1 << _BITS) - LENGTH
                 for low in range(0, max(1, len(whole)), step):  # more than one turn only for a long text alone
                     data = np.frombuffer(whole[low : low + step + LENGTH - 1], np.uint8)
-                    at, n, h = anchors(data, ends - low if low + len(data) >= len(whole) else np.array([len(data)]))
+                    at, n, h, a = anchors(data, ends - low if low + len(data) >= len(whole) else np.array([len(data)]))
                     if len(at):
                         owner = np.searchsorted(ends, at + low, "right")
                         base = np.concatenate(([0], ends))[owner]
                         own = pa.array(owner + i)
                         yield pa.RecordBatch.from_arrays(
-                            [k.take(own), r.take(own), pa.array(at + low - base), pa.array(n.astype(np.int32)), pa.array(h.view(np.int64))],
-                            names=["k", "r", "at", "n", "h"],
+                            [k.take(own), r.take(own), pa.array(at + low - base), pa.array(n.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(a.astype(np.int16))],
+                            names=["k", "r", "at", "n", "h", "a"],
                         )
 
-    return docs.mapInArrow(run, "k long, r long, at long, n int, h long")
+    return docs.mapInArrow(run, "k long, r long, at long, n int, h long, a short")
 
 
 def _segments(rows: DataFrame) -> DataFrame:
-    """(h, s, k, r, at, n, seen, segment) for texts with their places.
+    """(h, s, a, k, r, at, seen, segment) for texts with their places.
 
     A task sends a segment's bytes once; the second time it says so without them, later times it only
     keeps where they were. (The memory of what was sent is emptied now and then; that costs bytes, no result.)
@@ -267,20 +268,20 @@ def _segments(rows: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple[int, int], int] = {}
-        schema = pa.schema([("h", pa.int64()), ("s", pa.int64()), ("k", pa.int64()), ("r", pa.int64()), ("at", pa.int64()), ("seen", pa.int8()), ("segment", pa.binary())])
+        schema = pa.schema([("h", pa.int64()), ("s", pa.int64()), ("a", pa.int16()), ("k", pa.int64()), ("r", pa.int64()), ("at", pa.int64()), ("seen", pa.int8()), ("segment", pa.binary())])
         for batch in batches:
             cols: list[list] = [[] for _ in schema]
             held = 0
             for k, r, text, places in zip(*(batch.column(c).to_pylist() for c in range(3)), batch.column(3), strict=True):
                 text = text.encode() if isinstance(text, str) else text
                 values = places.values
-                for at, n, h in zip(*(values.field(f).to_pylist() for f in range(3)), strict=True):
+                for at, n, h, a in zip(*(values.field(f).to_pylist() for f in range(4)), strict=True):
                     segment = text[at : at + n + LENGTH - 1]
                     s = xxhash.xxh3_64_intdigest(segment)
                     s = s - (1 << 64) if s >> 63 else s
                     seen = min(2, known.get((h, s), 0))
                     known[h, s] = seen + 1
-                    for c, v in zip(cols, (h, s, k, r, at, seen, None if seen else segment), strict=True):
+                    for c, v in zip(cols, (h, s, a, k, r, at, seen, None if seen else segment), strict=True):
                         c.append(v)
                     held += 0 if seen else len(segment)
                 if held > 4 << 20 or len(cols[0]) > 50_000:
@@ -291,18 +292,18 @@ def _segments(rows: DataFrame) -> DataFrame:
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
 
-    return rows.mapInArrow(cut, "h long, s long, k long, r long, at long, seen byte, segment binary")
+    return rows.mapInArrow(cut, "h long, s long, a short, k long, r long, at long, seen byte, segment binary")
 
 
 def _shard_spans(sent: DataFrame) -> DataFrame:
-    """(h, s, from, to) of the segments of anchors that are not hot, by suffix arrays per shard."""
+    """(h, s, from, to) of segments (h, s, twice, segment), by suffix arrays per shard; every h goes to one task."""
     schema = "h long, s long, from int, to int"
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def groups() -> Iterator[tuple[int, dict[int, list]]]:
             anchor, have = None, {}
             for batch in batches:
-                for h, s, segment in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                for h, s, twice, segment in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
                     if h != anchor:
                         if have:
                             yield anchor, have
@@ -311,7 +312,7 @@ def _shard_spans(sent: DataFrame) -> DataFrame:
                         have[s][1] = True
                         have[s][0] = have[s][0] or segment
                     else:
-                        have[s] = [segment, False]
+                        have[s] = [segment, twice]
             if have:
                 yield anchor, have
 
@@ -324,7 +325,7 @@ def _shard_spans(sent: DataFrame) -> DataFrame:
         if out:
             yield _frame(out)
 
-    return sent.repartition("h").sortWithinPartitions("h").mapInArrow(sort, schema)
+    return sent.select("h", "s", "twice", "segment").repartition("h").sortWithinPartitions("h").mapInArrow(sort, schema)
 
 
 def _frame(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
@@ -332,18 +333,50 @@ def _frame(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(s, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["h", "s", "from", "to"])
 
 
-def _hot_spans(sent: DataFrame) -> DataFrame:
-    """(h, s, from, to) of hot anchors' segments: each window is a row, equal windows are counted.
+def _divide(rest: int):
+    """A pass that deals segments (h, s, a, l, twice, segment) again, each with the bytes on one side of what its group shares.
 
-    A window is known by its anchor, two hashes of its bytes (128 bits); the count combines before the
-    shuffle and no key gathers more than one row per task. Windows of segments sent twice count twice.
+    Windows of a group share their anchor with ``l`` bytes before it, and all but ``rest`` bytes. Of the rest
+    each window has half at least on one side; the half next to what is shared, on that side, joins it.
+    So equal windows stay together, and the windows of a segment fall into two runs at most.
     """
-    windows = sent.groupBy("h", "s").agg(F.max("segment").alias("b"), F.count("*").alias("c")).select(
-        "h", "s", "c", "b", F.explode(F.sequence(F.lit(1), F.octet_length("b") - (LENGTH - 1))).alias("i")
-    ).withColumn("w", F.substring(F.col("b"), F.col("i"), F.lit(LENGTH)))
-    windows = windows.select("h", "s", "c", "i", F.xxhash64("w").alias("w1"), F.xxhash64(F.lit(1), "w").alias("w2"))
-    twice = windows.groupBy("h", "w1", "w2").agg(F.sum("c").alias("t")).where("t > 1").select("h", "w1", "w2")
-    return windows.join(twice, ["h", "w1", "w2"]).select("h", "s", (F.col("i") - 1).alias("from"), (F.col("i") + LENGTH - 1).alias("to"))
+    more = -(-rest // 2)
+    schema = pa.schema([("h", pa.int64()), ("s", pa.int64()), ("a", pa.int16()), ("l", pa.int16()), ("twice", pa.bool_()), ("segment", pa.binary()), ("of", pa.int64()), ("part", pa.int64()), ("base", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols: list[list] = [[] for _ in schema]
+            for h, s, a, left, twice, segment in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                right, windows = LENGTH - GRAM - rest - left, len(segment) - LENGTH + 1
+                # from this window on, no less lies behind the shared bytes than before them
+                cut = min(max(-(-(2 * (a + GRAM + right) - LENGTH - (left + right + GRAM)) // 2), 0), windows)
+                for low, high, back in ((0, cut, True), (cut, windows, False)):
+                    if low < high:
+                        at = a - left - more if back else a + GRAM + right
+                        key = xxhash.xxh3_64_intdigest(b"%d %d %d " % (h, left, back) + segment[at : at + more]) - (1 << 63)
+                        part = segment[low : high + LENGTH - 1]
+                        for c, v in zip(cols, (key, xxhash.xxh3_64_intdigest(part) - (1 << 63), a - low, left + more * back, twice, part, h, s, low), strict=True):
+                            c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
+
+    return run
+
+
+def _spans(sent: DataFrame, rest: int = LENGTH - GRAM) -> DataFrame:
+    """(h, s, from, to) of segments (h, s, a, l, twice, segment); crowded groups are dealt again until they are small.
+
+    A group that shares whole windows has one segment only, so this ends; a segment many others contain is one row.
+    """
+    crowded = written(sent.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > SHARD_SEGMENTS).select("h"))
+    if not rest or crowded.isEmpty():
+        return _shard_spans(sent)
+    one = sent.join(crowded, "h").groupBy("h", "s").agg(*(F.first(c).alias(c) for c in ("a", "l")), (F.max("twice") | (F.count("*") > 1)).alias("twice"), F.max("segment").alias("segment"))
+    parts = written(one.select("h", "s", "a", "l", "twice", "segment").mapInArrow(_divide(rest), "h long, s long, a short, l short, twice boolean, segment binary, of long, part long, base int"))
+    # a segment sent twice by a task stands there once without its bytes: all that is left here has them
+    found = written(_spans(parts.select("h", "s", "a", "l", "twice", "segment"), rest - -(-rest // 2)))
+    back = parts.select("h", "s", "of", "part", "base").join(found, ["h", "s"])
+    back = back.select(F.col("of").alias("h"), F.col("part").alias("s"), (F.col("base") + F.col("from")).alias("from"), (F.col("base") + F.col("to")).alias("to"))
+    return _shard_spans(sent.join(crowded, "h", "left_anti")).union(back)
 
 
 def covered(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -355,15 +388,9 @@ def covered(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     places = written(_anchor_rows(docs))
     # written, so that the join reads plain shuffles, which adaptive execution can split where an anchor is hot
     again = written(places.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
-    spots = places.join(again, "h").groupBy("k", "r").agg(F.collect_list(F.struct("at", "n", "h")).alias("places"))
+    spots = places.join(again, "h").groupBy("k", "r").agg(F.collect_list(F.struct("at", "n", "h", "a")).alias("places"))
     cut = written(_segments(docs.join(spots, ["k", "r"]).select("k", "r", "t", "places")))
-    sent = cut.where("seen < 2").select("h", "s", "segment")
-    hot = written(sent.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > HOT_SEGMENTS).select("h"))
-    if hot.isEmpty():
-        spans = _shard_spans(sent)
-    else:
-        spans = _shard_spans(sent.join(hot, "h", "left_anti").select("h", "s", "segment")).union(_hot_spans(sent.join(hot, "h", "left_semi")))
-    spans = written(spans)
+    spans = written(_spans(cut.where("seen < 2").select("h", "s", "a", F.lit(0).cast("short").alias("l"), F.lit(False).alias("twice"), "segment")))
     at = F.col("at")
     found = cut.select("h", "s", "k", "r", "at").join(spans, ["h", "s"]).select("k", "r", (at + F.col("from")).alias("a"), (at + F.col("to")).alias("b"))
     return found.groupBy("k", "r").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
