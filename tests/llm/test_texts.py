@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 from html.parser import HTMLParser
 
 import brute
@@ -111,11 +112,25 @@ def test_items_within_edited_items():
 
 
 def test_article_blocks():
-    own, other = html_text.blocks(PAGE)
-    assert own == ["Title & more", "Onetwo three four five", "Next <x> é", "item", "Last"] and other == []
-    assert html_text.blocks("") == ([], []) and html_text.blocks("plain < text & more") == ([], ["plain < text & more"])
-    assert html_text.blocks("<nav><p>never closed <p>text")[1] == ["never closed", "text"]
-    assert html_text.blocks("<article><p>cut &am")[0] == ["cut &am"] and html_text.blocks("<p a='x>y</p>")[1] in ([], ["y"])
+    article = lambda page: [x for x, _, m in html_text.page_lines(page) if m == html_text.ARTICLE]
+    every = lambda page: [x for x, _, _ in html_text.page_lines(page)]
+    assert every(PAGE) == article(PAGE) == ["Title & more", "Onetwo three four five", "Next <x> é", "item", "Last"]
+    assert every("") == [] and every("plain < text & more") == ["plain < text & more"]
+    assert every("<nav><p>never closed <p>text") == ["never closed", "text"]
+    assert article("<article><p>cut &am</article>") == ["cut &am"] and every("<p a='x>y</p>") in ([], ["y"])
+    # a name decides only if all its words are the site's, and never against an article
+    assert article("<article class='widget-review'><p>text</article>") == ["text"]
+    assert article("<div class='social-history'><article><p>text</p></article></div>") == ["text"]
+    assert article("<div class='widget'><article><p>text</p></article></div>") == ["text"]
+    assert article("<article><div class='related-work'><p>a</p></div><div id='share-prices'>b</div><p class='ad'>c<p>d</article>") == ["a", "b", "d"]
+    assert article("<article>one <span class='share'>x <span>y</span> z</span>two<ul><li class=ad>p<li>q</ul></article>") == ["one two", "q"]
+    # readers' comments may be articles themselves
+    assert article("<article>own</article><section class='comments-list'><article>reply</article></section>") == ["own"]
+    # main counts where there is no article only
+    assert article("<main><p>notice</p><article>own</article></main>") == ["own"] and article("<main><p>own</p></main>") == ["own"]
+    assert html_text.main_lines("<main><p>notice</p><article>own</article></main>", None) == ["own"]
+    deep = "<div>" * 50_000 + "x" + "</div>" * 50_000
+    assert every(deep) == ["x"]
 
 
 def test_pages_without_article_lose_shared_lines(spark):
@@ -123,14 +138,89 @@ def test_pages_without_article_lose_shared_lines(spark):
     rows = [(k, f"http://h{k % 2}.com/a/{k}", page(f"text {k}")) for k in range(40)]
     rows += [(100, "http://alone.com/x", page("only")), (101, None, "<p>null url</p>"), (102, "http://h0.com/a/0", None), (103, "http://h1.com/zz", "<article><p>Site line</p>own</article>"), (1, "http://h1.com/a/1", page("text 1"))]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    want = {k: f"text {k}" for k in range(40) if k not in (0, 1)} | {100: "Site line\nonly\nImprint", 101: "null url", 102: "", 103: "Site line\nown"}
-    for parts in (1, 7):
+    want = {k: f"text {k}" for k in range(40)} | {100: "Site line\nonly\nImprint", 101: "null url", 102: "", 103: "Site line\nown"}
+    before = spark.conf.get("spark.sql.exchange.reuse")
+    for parts, reuse in ((1, "true"), (7, "false")):
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
         got = html_text.extract(df.repartition(parts)).collect()
-        assert len(got) == len(rows)
-        seen = {r.page_id: r.text for r in got}
-        assert {k: v for k, v in seen.items() if k in want} == want
-        assert seen[1] == "" and all(r.n_chars == len(r.text) for r in got)  # a repeated page shares all its lines
+        assert len(got) == len(rows) and {r.page_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got)
+    spark.conf.set("spark.sql.exchange.reuse", before)
     assert html_text.extract(df.limit(0)).count() == 0
+    clash = df.select("page_id", "url", "html", F.lit(1).alias("mark"), F.lit(2).alias("gone"), F.lit(3).alias("_at"))
+    assert html_text.extract(clash).columns == ["page_id", "url", "text", "n_chars"] and html_text.extract(clash).count() == len(rows)
+
+
+def test_copies_are_no_evidence_and_zones_are(spark):
+    page = lambda own, tag="div": f"<p>Site line</p><{tag}>{''.join(f'<p>{x}</p>' for x in own)}</{tag}><div class='k7'>share it</div>"
+    story = [f"a story that goes on {k} and on" for k in range(8)]
+    rows = [(k, f"http://h.com/{k:02}", page([f"own {k} {j}" for j in range(5)])) for k in range(20)]
+    rows += [(50 + k, f"http://h.com/10{k}", page([*story[:6], f"edited {k}", *story[6:]])) for k in range(3)]
+    # in an article a line that recurs stays, a zone that does nothing but recur goes
+    rows += [(200 + k, f"http://g.com/{k}", f"<article><p>own {k}</p><p>licence</p><p>own too {k}</p><section>print this page</section></article>") for k in range(90)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == "\n".join(f"own {k} {j}" for j in range(5)) for k in range(20))
+    assert all(got[50 + k] == "\n".join([*story[:6], f"edited {k}", *story[6:]]) for k in range(3))
+    assert all(got[200 + k] == f"own {k}\nlicence\nown too {k}" for k in range(90))
+
+
+def plain_extract(rows):
+    """Pairing and deletion as they are told, page by page over the whole order."""
+    import os
+
+    lines = {i: html_text.page_lines(h) for i, _, h in rows}
+    cut = lambda u: u.split("://", 1)[1].partition("/")
+    order = sorted((cut(u)[0], "/" + cut(u)[2], i) for i, u, _ in rows)
+    site = {}
+    for k, (host, path, i) in enumerate(order):
+        about = [(-len(os.path.commonprefix((path, order[j][1]))), abs(j - k), j > k, order[j][2]) for j in range(max(0, k - 8), min(len(order), k + 9)) if j != k and order[j][0] == host]
+        texts = [x for x, _, _ in lines[i]]
+        often = {x: 1 + sum(x in {y for y, _, _ in lines[o]} for *_, o in about) for x in texts}
+        votes, number = [0] * len(texts), 0
+        for *_, o in sorted(about):
+            other = [x for x, _, _ in lines[o]]
+            shared = html_text.common_lines([html_text._hash(x) for x in texts], [html_text._hash(x) for x in other])
+            rare = [(len(x), s) for x, s in zip(texts, shared, strict=True) if 2 * often[x] <= len(about) + 1]
+            if texts and (texts == other or (rare and 2 * sum(n for n, s in rare if s) >= sum(n for n, _ in rare))):
+                continue
+            number += 1
+            votes = [v + s for v, s in zip(votes, shared, strict=True)]
+            if number == 4:
+                break
+        site[i] = [2 * v > number for v in votes] if number else None
+    count = Counter()
+    for host, _, i in order:
+        for (_, z, m), s in zip(lines[i], site[i] or [], strict=False):
+            count[host, z, m] += 1
+            count[host, z, m, "s"] += s
+    prior = {html_text.ARTICLE: (0.02, 50), html_text.OPEN: (0.2, 5)}
+    out = {}
+    for host, _, i in order:
+        keep = []
+        for k, (x, z, m) in enumerate(lines[i]):
+            a, b = prior[m]
+            zone = (count[host, z, m, "s"] + a * b) / (count[host, z, m] + b) > 0.5
+            keep.append((x, m, not zone and not (m == html_text.OPEN and site[i] and site[i][k])))
+        inside = [(x, ok) for x, m, ok in keep if m == html_text.ARTICLE]
+        out[i] = "\n".join([x for x, ok in inside if ok] or [x for x, _ in inside] or [x for x, _, ok in keep if ok])
+    return out
+
+
+def test_pairing_and_deletion_against_a_plain_version(spark, monkeypatch):
+    monkeypatch.setattr(html_text, "PAGES", 16)
+    r = random.Random(21)
+    pool = [f"pool line {k}" for k in range(30)]
+    rows = []
+    for k in range(160):
+        host = r.choice(["a.com", "b.com", "b.com", "c.com"])
+        own = [f"text {r.randrange(400)} of it" for _ in range(r.randrange(6))]
+        body = "".join(f"<p>{x}</p>" for x in own)
+        parts = ["<p>Welcome</p>", f"<div class='x'>{r.choice(pool)}</div>", f"<article>{body}</article>" if k % 3 == 0 else f"<div>{body}</div>", f"<section><p>{r.choice(pool[:3])}</p><p>Imprint</p></section>"]
+        rows.append((k, f"http://{host}/{r.choice('xyz')}/{r.randrange(60)}/{k}", "".join(parts)))
+    rows += [(500 + k, u, h) for k, (_, u, h) in enumerate(rows[:12])]
+    got = {x.page_id: x.text for x in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    want = plain_extract(rows)
+    assert got == want
+    assert sum(t != "\n".join(html_text.main_lines(h, None)) for (_, _, h), t in zip(rows, map(got.get, (i for i, _, _ in rows)), strict=True)) > 60
 
 
 def test_common_lines():
@@ -223,7 +313,6 @@ def test_scores_against_a_plain_model(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     good = lm_score.labelled_good(spark, "/root/testdata/sf0.001")
     rows, target = [tuple(r) for r in docs.collect()], {r.doc_id for r in good.collect()}
-    from collections import Counter
     from math import log
 
     split = {i: lm_score.words(t) for i, t in rows}

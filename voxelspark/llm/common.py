@@ -83,12 +83,12 @@ def numbered(df: DataFrame, *by: str) -> DataFrame:
 
 
 def in_blocks(rows: DataFrame, size: int, reach: int) -> DataFrame:
-    """Numbered rows dealt into blocks ``_b`` of ``size``; a block also gets the ``reach`` rows before and after its own."""
+    """Numbered rows dealt into blocks ``_b`` of ``size``; a block also gets the ``reach`` rows before and after its ``_own``."""
     if reach > size:
         raise ValueError("a block must be longer than the reach")
     own, place = F.floor(F.col("_at") / size), F.pmod(F.col("_at"), F.lit(size))
     near = F.array(own, F.when((place < reach) & (own > 0), own - 1), F.when(place >= size - reach, own + 1))
-    return rows.withColumn("_b", F.explode(F.array_compact(near)))
+    return rows.withColumn("_b", F.explode(F.array_compact(near))).withColumn("_own", F.col("_b") == own)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -105,7 +105,7 @@ def candidates(reps: DataFrame) -> DataFrame:
     def near(t: pa.Table) -> pa.Table:
         t = t.sort_by("_at").combine_chunks()
         keys = np.frombuffer(b"".join(t.column("key").to_pylist()), np.uint8).reshape(-1, _KEY)
-        a, b = _pairs(keys, t.column("id").to_numpy(), t.column("_at").to_numpy() // ORDER_BLOCK == t.column("_b")[0].as_py())
+        a, b = _pairs(keys, t.column("id").to_numpy(), np.array(t.column("_own").to_pylist()))
         return pa.table({"a": a, "b": b})
 
     # one row more than the reach, so that a block sees whether a region at its edge is crowded
