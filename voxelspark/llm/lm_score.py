@@ -1,7 +1,8 @@
 """Cross-entropy difference of a target and a background model (Moore and Lewis), token by token.
 
 Both models are word bigrams over one vocabulary, every word of all documents, with the same smoothing. The
-background is counted over every document, the target over those labelled good.
+background is counted over every document, the target over those labelled good; what a document adds to a
+model itself is taken out when it is scored.
 
 The models grow with the corpus and no task holds one. Documents are dealt into batches by their ids. A batch
 sends the keys of its bigrams and words, each once and with its counts, to buckets; a bucket adds up
@@ -11,7 +12,6 @@ word or pair costs a row of each batch, whatever its count.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 
 from .common import U64, mix, table, words_of_many, written
 
-#: Words of the vocabulary: all of them.
-VOCABULARY = 1 << 62
 #: Bytes of text of a batch, and those whose keys a bucket adds up.
 BATCH, BUCKET, BUCKETS = 8 << 20, 16 << 20, 48
 _START = 0x5BD1E995
@@ -38,89 +36,21 @@ def words(text: str | bytes | None) -> list[bytes]:
     return (text.encode() if isinstance(text, str) else text).lower().split()
 
 
-def vocabulary(df: DataFrame, text: str = "text", size: int = 2048) -> list[bytes]:
-    """The most frequent words over all rows (ties: the lesser bytes first), ``size`` at most."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
-
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                seen.update(words(t))
-                if len(seen) > 200_000:  # what a task holds is bounded; sums go on after the shuffle
-                    yield out()
-                    seen = Counter()
-        if seen:
-            yield out()
-
-    counts = df.select(text).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r[0]) for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
-
-
-class Coder:
-    """Words to numbers: 0 for any word outside the vocabulary, then the words, then the start mark."""
-
-    def __init__(self, known: list[bytes]):
-        self.ids = {w: k for k, w in enumerate(known, 1)}
-        self.start, self.width = len(known) + 1, len(known) + 2
-
-    def keys(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        """Bigram keys of all tokens (one before * width + token), and the number of tokens of each text."""
-        get = self.ids.get
-        parts = [[get(w, 0) for w in words(t)] for t in texts]
-        n = np.array([len(p) for p in parts], dtype=np.int64)
-        now = np.fromiter((k for p in parts for k in p), np.int64, int(n.sum()))
-        before = np.empty_like(now)
-        before[1:] = now[:-1]
-        before[(np.cumsum(n) - n)[n > 0]] = self.start
-        return before * self.width + now, n
-
-
-def count_bigrams(df: DataFrame, coder: Coder, text: str = "text", good: str = "good") -> DataFrame:
-    """(bigram, background, target): counts over all rows, and over those that are good."""
-    cells = coder.width**2
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = np.zeros((2, cells), np.int64)
-        for batch in batches:
-            texts, flags = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for low in range(0, len(texts), 500):
-                keys, n = coder.keys(texts[low : low + 500])
-                np.add.at(both[0], keys, 1)
-                np.add.at(both[1], keys[np.repeat(np.array([bool(f) for f in flags[low : low + 500]]), n)], 1)
-        at = np.flatnonzero(both[0])
-        for low in range(0, len(at), 1 << 18):
-            k = at[low : low + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(both[0][k]), pa.array(both[1][k])], names=["bigram", "background", "target"])
-
-    found = df.select(text, good).mapInArrow(count, "bigram int, background long, target long")
-    return found.groupBy("bigram").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-def losses(counts: np.ndarray, width: int) -> np.ndarray:
-    """-log P(token | one before) for every bigram key: counts blended with the unigram law, that with the uniform one."""
-    table = counts.reshape(width, width).astype(np.float64)
-    one = table.sum(axis=0) + 1.0
-    one /= one.sum()
-    return -np.log((table + PRIOR * one) / (table.sum(axis=1, keepdims=True) + PRIOR)).astype(np.float32).ravel()
-
-
 _RATED = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 
 
-def score(df: DataFrame, good: DataFrame, key: str = "doc_id", text: str = "text", size: int = VOCABULARY) -> DataFrame:
+def score(df: DataFrame, good: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) of every row; losses in nats per token.
 
-    score is the background's loss minus the target's: above 0, the text is likelier under the target.
-    ``good`` has the keys of the target's rows (repeats and unknown keys do no harm). Without target rows
-    its model is the uniform law. A null text, or one without words, has no tokens and null losses. A
-    ``size`` keeps that many words; the driver then holds them and one table of bigram counts.
+    score is the background's loss minus the target's: above 0, the text is likelier under the target. No
+    document is scored by its own counts: they are taken out of the background, and out of the target if it is one of
+    its documents, while copies of it still count. ``good`` has the keys of the target's rows (repeats and unknown
+    keys do no harm). Without target rows its model is the uniform law. A null text, or one without words, has
+    no tokens and null losses. Rows that repeat an id are documents of their own and each get a row; a null id
+    is never a target. Other columns are not carried. An empty table gives an empty result.
     """
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return score_all(rows, good.select(F.col(key).cast("long").alias("doc_id"))) if size >= VOCABULARY else score_bounded(rows, good.select(F.col(key).cast("long").alias("doc_id")), size)
+    return score_all(rows, good.select(F.col(key).cast("long").alias("doc_id")))
 
 
 def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,6 +105,7 @@ class Batch:
         with np.errstate(over="ignore"):
             pair = mix(mix(before) * U64(0x9E3779B97F4A7C15) + now)
         good = np.repeat(np.array([i is not None and i in target for i in self.ids.to_pylist()], bool), self.n)
+        self.good = good
         count = lambda place, n: np.stack((np.bincount(place, minlength=n), np.bincount(place[good], minlength=n))).astype(np.int32)
         pairs, self.pair = np.unique(pair & ~U64(3) | U64(_BIGRAM), return_inverse=True)
         del pair, before
@@ -191,6 +122,11 @@ class Batch:
         self.counts[:2, len(pairs) :], self.counts[2:, len(pairs) :] = count(self.word, len(words)), count(self.head, len(words))
         self.word, self.head = self.word + len(pairs), self.head + len(pairs)
 
+    def within(self, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """How often each token's key stands in its own document."""
+        _, at, count = np.unique(doc * len(self.keys) + place, return_inverse=True, return_counts=True)
+        return count[at]
+
     def parts(self, buckets: int) -> list[np.ndarray]:
         """Places of the keys that each bucket adds up."""
         of = ((self.keys >> U64(20)) % U64(buckets)).astype(np.int64)
@@ -247,10 +183,14 @@ def score_all(rows: DataFrame, good: DataFrame) -> DataFrame:
         for k, blob in zip(*(right.column(c).to_pylist() for c in ("bucket", "totals")), strict=True):
             total[:, parts[k]] = _unpack(blob).reshape(4, -1)
         some, mean = b.n > 0, []
-        for t, heads, n in zip(total[:2], total[2:], tokens, strict=True):
+        doc = np.repeat(np.arange(len(b.n)), b.n)
+        own = [b.within(doc, place) for place in (b.pair, b.word, b.head)] if len(doc) else []
+        for t, heads, n, mine in zip(total[:2], total[2:], tokens, (np.ones(len(doc), bool), b.good), strict=True):
             each = np.full(len(b.n), np.nan)
             if len(b.first):
-                loss = np.log(heads[b.head] + PRIOR) - np.log(t[b.pair] + PRIOR * (t[b.word] + 1) / (n + width))
+                pair, word, head = (c * mine for c in own)
+                rest = n - b.n[doc] * mine + width
+                loss = np.log(heads[b.head] - head + PRIOR) - np.log(t[b.pair] - pair + PRIOR * (t[b.word] - word + 1) / rest)
                 each[some] = np.add.reduceat(loss, b.first) / b.n[some]
             mean.append(each)
         background, target = mean
@@ -262,45 +202,6 @@ def score_all(rows: DataFrame, good: DataFrame) -> DataFrame:
     return dealt.groupBy("batch").cogroup(back.select("batch", "bucket", "totals").groupBy("batch")).applyInArrow(rate, _RATED)
 
 
-def score_bounded(rows: DataFrame, good: DataFrame, size: int) -> DataFrame:
-    """Scores over the ``size`` most frequent words, all others being one."""
-    spark = rows.sparkSession
-    coder = Coder(vocabulary(rows, size=size))
-    # a shuffle join at every size: labels grow with the corpus
-    flags = good.distinct().withColumn("good", F.lit(True)).hint("merge")
-    flagged = rows.join(flags, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
-    found = written(count_bigrams(flagged, coder)).toArrow()
-    at = found.column("bigram").to_numpy()
-    tables = []
-    for name in ("target", "background"):
-        counts = np.zeros(coder.width**2, np.int64)
-        counts[at] = found.column(name).to_numpy()
-        tables.append(losses(counts, coder.width))
-    sent = spark.sparkContext.broadcast((coder, *tables))
-
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, target, background = sent.value
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for low in range(0, len(texts), 500):
-                keys, n = coder.keys(texts[low : low + 500])
-                some = n > 0
-                first = (np.cumsum(n) - n)[some]
-                mean = []
-                for loss in (target, background):
-                    each = np.full(len(n), np.nan)
-                    if len(first):
-                        each[some] = np.add.reduceat(loss[keys].astype(np.float64), first) / n[some]
-                    mean.append(each)
-                off = ~some
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(low, len(n)), pa.array(n), pa.array(mean[0], mask=off), pa.array(mean[1], mask=off), pa.array(mean[1] - mean[0], mask=off)],
-                    names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
-                )
-
-    return rows.mapInArrow(rate, _RATED)
-
-
 def labelled_good(spark, sf_dir: str) -> DataFrame:
     """Keys of the documents labelled of good quality and never toxic."""
     labels = table(spark, sf_dir, "labels", "doc_id", "quality", "toxic").groupBy("doc_id")

@@ -2,6 +2,37 @@
 
 from __future__ import annotations
 
+_OP1 = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), good AS (
+  SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1 AND coalesce(max(toxic), 0) = 0
+), p AS (
+  SELECT u.doc_id, u.w, CASE WHEN i = 1 THEN ' ' ELSE l[i - 1] END AS h, good.doc_id IS NOT NULL AS g
+  FROM (SELECT doc_id, w AS l, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS i FROM w) u LEFT JOIN good ON good.doc_id = u.doc_id
+), pair AS (SELECT h, w, count(*) AS c, count(*) FILTER (g) AS t FROM p GROUP BY ALL
+), word AS (SELECT w, count(*) AS c, count(*) FILTER (g) AS t FROM p GROUP BY ALL
+), head AS (SELECT h, count(*) AS c, count(*) FILTER (g) AS t FROM p GROUP BY ALL
+), size AS (SELECT count(*) AS n, count(*) FILTER (g) AS tn, count(DISTINCT w) + 2 AS width FROM p
+), own_pair AS (SELECT doc_id, h, w, count(*) AS o FROM p GROUP BY ALL
+), own_word AS (SELECT doc_id, w, count(*) AS o FROM p GROUP BY ALL
+), own_head AS (SELECT doc_id, h, count(*) AS o FROM p GROUP BY ALL
+), own AS (SELECT doc_id, bool_or(g) AS g, count(*) AS o FROM p GROUP BY ALL
+), loss AS (
+  SELECT op.doc_id, op.o AS times,
+    ln(head.c - oh.o + 50.0) - ln(pair.c - op.o + 50.0 * (word.c - ow.o + 1) / (size.n - own.o + size.width)) AS b,
+    ln(head.t - oh.o * CAST(own.g AS INT) + 50.0) - ln(pair.t - op.o * CAST(own.g AS INT)
+      + 50.0 * (word.t - ow.o * CAST(own.g AS INT) + 1) / (size.tn - own.o * CAST(own.g AS INT) + size.width)) AS t
+  FROM own_pair op JOIN pair USING (h, w) JOIN word USING (w) JOIN head USING (h) JOIN own_word ow USING (doc_id, w)
+  JOIN own_head oh USING (doc_id, h) JOIN own USING (doc_id), size
+), mean AS (
+  SELECT doc_id, sum(t * times) / sum(times) AS t, sum(b * times) / sum(times) AS b FROM loss GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_tokens, round(t, 6) AS target_loss, round(b, 6) AS background_loss, round(b - t, 6) AS score
+FROM w LEFT JOIN mean ON mean.doc_id = w.doc_id
+"""
+
 _OP3 = """
 WITH p AS (
   SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
@@ -78,4 +109,4 @@ FROM b JOIN h ON b.source IS NOT DISTINCT FROM h.source, q
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": _OP3, "op6_lsh_forest": _OP6, "op8_host_rules": _OP8}
+    return {"op1_cross_entropy": _OP1, "op3_warc": _OP3, "op6_lsh_forest": _OP6, "op8_host_rules": _OP8}

@@ -12,7 +12,8 @@ from .common import table
 
 
 def op1_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score(table(spark, sf_dir, "documents", "doc_id", "text"), lm_score.labelled_good(spark, sf_dir))
+    scored = lm_score.score(table(spark, sf_dir, "documents", "doc_id", "text"), lm_score.labelled_good(spark, sf_dir))
+    return scored.select("doc_id", "n_tokens", *(F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
