@@ -35,8 +35,8 @@ def test_warc_round_trip(spark, tmp_path):
     df = spark.createDataFrame(rows, "page_id long, html string").repartition(2)
     files = warc.write_archives(warc.plan_records(df), f"file://{tmp_path}/w")
     for split in (97, 1000, 1 << 20):
-        got = warc.read_archives(files, split).collect()
-        assert len(got) == len(rows)
+        got = warc.read_archives(files, split).withColumns({"page_id": warc.page_number("record_id"), "refers_to": warc.page_number("refers_to")}).collect()
+        assert len(got) == len(rows) and all(r.error is None for r in got)
         for r in got:
             text = dict((k, v or "") for k, v in rows)[r.page_id]
             assert r.payload_bytes == len(text.encode()) and r.payload_digest == hashlib.sha1(text.encode()).hexdigest()
@@ -47,6 +47,47 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.round_trip(empty).count() == 0
 
 
+def test_groups_beyond_the_broadcast_and_rolled_archives(spark, tmp_path, monkeypatch):
+    rows = [(k, "z" * 1200 + str(k % 5)) for k in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, html string")
+    few = sorted(map(str, map(tuple, warc.round_trip(df).collect())))
+    monkeypatch.setattr(warc, "BROADCAST_GROUPS", 0)
+    assert sorted(map(str, map(tuple, warc.round_trip(df).collect()))) == few
+    files = warc.write_archives(warc.plan_records(df).coalesce(1), f"file://{tmp_path}/w", archive_bytes=2000)
+    assert files.count() > 2 and files.agg({"records": "sum"}).first()[0] == 40
+    assert warc.read_archives(files).select("record_id").distinct().count() == 40
+
+
+def foreign(kind, block, **fields):
+    lines = ["WARC/1.0", f"warc-type: {kind}", *(f"{k.replace('_', '-')}: {v}" for k, v in fields.items()), f"Content-Length:{len(block)}", "", ""]
+    squeeze = zlib.compressobj(9, zlib.DEFLATED, 31)
+    return squeeze.compress("\r\n".join(lines).encode() + block + b"\r\n\r\n") + squeeze.flush()
+
+
+def test_archives_of_other_writers_and_damaged_ones(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n"
+    mark = {"WARC_Record_ID": "<urn:uuid:1>", "Content_Type": "application/http; msgtype=response"}
+    sha, noise = hashlib.sha1(b"body").hexdigest(), b"".join(hashlib.sha256(bytes([k])).digest() for k in range(200))
+    good = [
+        foreign("warcinfo", b"software: y", WARC_Record_ID="<urn:uuid:0>"), foreign("request", b"GET / HTTP/1.0\r\n\r\n", **mark),
+        foreign("response", http + b"body", WARC_Target_URI="http://a/", **mark), foreign("response", http + b"body", WARC_Payload_Digest=f"sha1:{sha}", **mark),
+        foreign("response", http + b"body", WARC_Payload_Digest="sha1:" + "A" * 32, **mark), foreign("conversion", "text é".encode()), foreign("revisit", b"", WARC_Refers_To="<urn:uuid:1>"),
+    ]
+    broken = bytearray(foreign("response", http + noise, **mark))
+    broken[len(broken) // 2 :] = b"\xff" * (len(broken) - len(broken) // 2)
+    raw = b"".join(good[:3]) + bytes(broken) + b"junk" + b"".join(good[3:]) + foreign("resource", noise)[:-30]
+    path = tmp_path / "x.warc.gz"
+    path.write_bytes(raw)
+    files = spark.createDataFrame([(f"file://{path}", len(raw))], "path string, bytes long")
+    for split in (50, 1 << 20):
+        got = sorted(warc.read_archives(files, split).collect(), key=lambda r: r.start)
+        assert [(r.record_type, r.error) for r in got] == [
+            ("warcinfo", None), ("request", None), ("response", None), (None, "not to be decompressed"), ("response", None),
+            ("response", "payload differs from its digest"), ("conversion", None), ("revisit", None), ("resource", "ends early"),
+        ]
+        assert bytes(got[2].payload) == b"body" and got[2].target == "http://a/" and got[4].payload_digest == sha and got[7].refers_to == "urn:uuid:1" and got[7].payload is None
+
+
 def test_magic_inside_a_record_is_no_record(tmp_path):
     inner = zlib.compress(b"WARC", 9)
     raw = b"".join(warc.record_bytes(k, warc.MAGIC * 50 + inner, hashlib.sha1(warc.MAGIC * 50 + inner).hexdigest(), None, False) for k in range(3))
