@@ -5,6 +5,7 @@ import zlib
 import brute
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 from voxelspark.llm import sharding, url_filter, warc
 
 
@@ -29,6 +30,23 @@ def test_assign_shards(spark):
     assert sharding.assign_shards(spark.createDataFrame([], "doc_id long, text string, shard int")).count() == 0
 
 
+def test_slots_of_a_hot_key_and_long_texts(spark):
+    rows = [(None, "x")] * 700 + [(1, "é" * 300_000), (1, "y")] + [(5, "z")] * 300
+    got = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    for s in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    assert len(got) == len(rows) and max(r["size"] for r in got) == 600_008
+
+
+def test_jump_sharding_of_the_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    keys = {r.doc_id: (r.h, r.text) for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h"), "text").collect()}
+    for r in sharding.assign_shards(docs).collect():
+        h, text = keys[r.doc_id]
+        raw = (text or "").encode()
+        assert (r.shard, r.grown_shard, r["size"], r.text_crc32, r.law) == (brute.jump(h, 24), brute.jump(h, 25), len(raw) + 8, zlib.crc32(raw), "key")
+
+
 def test_warc_round_trip(spark, tmp_path):
     big, other = "<p>é" + "x" * 1500, "y" * 999
     rows = [(1, big), (2, big), (3, big), (4, other), (5, other), (6, None), (7, ""), (8, "\r\n\r\nWARC/1.1\r\n\x1f" * 200), (None, big)]
@@ -123,6 +141,71 @@ def test_url_models_tell_classes_apart(spark):
     assert got[400].verdict == "allow" and got[401].verdict == "block"
 
 
+def test_verdicts_against_plain_models(spark):
+    """Score, cut and verdict of every URL by models made here."""
+    import re
+    from collections import Counter
+    from math import log
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    made = [f"http://news{i % 17}.com/story/{i}" for i in range(120)] + [f"http://win{i % 13}.net/es/casino-{i}" for i in range(120)] + [f"http://x{i}.org/{'story' if i % 2 else 'casino-'}/{i}" for i in range(40)]
+    long = "http://long.org/" + "a1b2-" * 4000
+    df = pages.union(spark.createDataFrame([(10**6 + i, u) for i, u in enumerate([*made, long])], "page_id long, url string"))
+    got = {r.page_id: r for r in url_filter.judge_urls(df).collect()}
+
+    def string(host, path):
+        folded = (host + path).translate(str.maketrans(url_filter.UPPER + "0123456789", url_filter.LOWER + "0" * 10))
+        return "^^^" + re.sub(r"[^a-z0/.\-_~%+=&:,@]", "*", folded) + "$"
+
+    rules = {"com/": True, "example.com/en/": False, "www.example.com/en/": True, "net/es/": False, "net/fr/": False}
+    strings = {i: string(r.host, r.path) for i, r in got.items()}
+    label = {}
+    for i, r in got.items():
+        if r.rule is not None:
+            label[strings[i]] = label.get(strings[i], False) or rules[r.rule]
+    held = {r.s for r in spark.createDataFrame([(s,) for s in label], "s string").where("pmod(xxhash64('held', s), 5) = 0").collect()}
+    grams = lambda s: [s[i : i + 4] for i in range(len(s) - 3)]
+
+    def model(kind):
+        by = [Counter() for _ in range(5)]
+        for s, ok in label.items():
+            if ok == kind and s not in held:
+                for g in grams(s):
+                    for k in range(1, 5):
+                        by[k][g[4 - k :]] += 1
+        total = [Counter() for _ in range(5)]
+        kinds = [Counter() for _ in range(5)]
+        for k in range(1, 5):
+            for g, n in by[k].items():
+                total[k][g[:-1]] += n
+                kinds[k][g[:-1]] += 1
+
+        def law(g):
+            p = 1 / url_filter.ALPHABET
+            for k in range(1, 5):
+                h = g[4 - k : 3]
+                if total[k][h]:
+                    p = (by[k][g[4 - k :]] + kinds[k][h] * p) / (total[k][h] + kinds[k][h])
+            return p
+
+        return law
+
+    good, bad = model(True), model(False)
+    score = {s: sum(log(good(g)) - log(bad(g)) for g in grams(s)) / len(grams(s)) for s in set(strings.values())}
+    bins = {s: int(np.floor(max(-8.0, min(8.0, score[s])) / url_filter.BIN + 0.5)) if score[s] >= 0 else -int(np.floor(-max(-8.0, score[s]) / url_filter.BIN + 0.5)) for s in held}
+    seen, best = sorted(set(bins.values())), None
+    for k, b in enumerate(seen):
+        at = (b + (seen[k - 1] if k else b - 1)) / 2
+        lost = sum(label[s] and bins[s] < b for s in held) / sum(label[s] for s in held)
+        let = 1 - sum(not label[s] and bins[s] < b for s in held) / sum(not label[s] for s in held)
+        best = min(x for x in (best, (lost + let, abs(at), at)) if x is not None)
+    cut = best[2] * url_filter.BIN
+    for i, r in got.items():
+        s = score[strings[i]]
+        assert abs(r.score - s) < 2e-6
+        assert r.verdict == (("allow" if rules[r.rule] else "block") if r.rule is not None else "allow" if s >= cut else "block")
+
+
 def test_probabilities_match_a_plain_model(spark):
     from collections import Counter
 

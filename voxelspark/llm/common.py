@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -49,10 +50,15 @@ def shared_dir(spark: SparkSession) -> str:
     return str(sc._jsc.sc().getCheckpointDir().get())
 
 
+#: Tables that written() made in this process and nothing has deleted yet, oldest first.
+_tables: dict[str, None] = {}
+
+
 def written(df: DataFrame) -> DataFrame:
     """The DataFrame, written once as Parquet into the shared folder and read back.
 
-    Lineage ends there; a lost executor costs a re-read, not a recomputation.
+    Lineage ends there; a lost executor costs a re-read, not a recomputation. The table stays until discard()
+    deletes it: results may read it as long as the session lives.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}.parquet"
@@ -64,9 +70,23 @@ def written(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(cleanup, before)
+    _tables[path] = None
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables() -> list[str]:
+    """Paths of the written tables that still stand."""
+    return list(_tables)
+
+
+def discard(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete written tables that nothing reads any more."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _tables.pop(path, None)
+
+
 def numbered(df: DataFrame, *by: str) -> DataFrame:
     """The rows with their number ``_at`` in the order of some columns: 0, 1, 2, ... over all rows.
 
@@ -243,14 +263,16 @@ def components(edges: DataFrame) -> DataFrame:
     Edges stay distributed; each round is written to the shared folder.
     """
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    mark = None
+    spark, mark = edges.sparkSession, None
     while True:
+        old = tables()[-1]
         both = e.union(e.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         e = written(small)
+        discard(spark, [old])
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))

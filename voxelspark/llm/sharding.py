@@ -4,13 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64
-
-#: Sub-buckets of a shard in which slots are dealt; keeps any one task to a small part of a shard.
-BUCKETS = 256
+from .common import U64, numbered
 
 
 def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -49,37 +46,24 @@ def assign_shards(df: DataFrame, key: str = "doc_id", text: str = "text", shards
     (it hashes to the seed). A null text has no bytes: size 8, crc32 0. Repeated rows share a shard and
     get slots of their own. An empty table gives an empty result. Other columns are not carried.
 
-    Slots are dealt in two steps, so that no task sorts a whole shard: rows are numbered inside hashed
-    sub-buckets, and the buckets' counts (shards * BUCKETS rows at most, so a broadcast of proven size)
-    give each bucket its first slot.
+    Slots come from one order of all rows by shard and key, made in ranges; rows that repeat a key differ by
+    where they were read, so neither a shard nor a hot or null key is sorted by one task. A shard's first
+    place in the order (one row a shard, broadcast) is its slot 0.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     hashed = F.xxhash64(F.col(key))
     rows = df.select(
-        F.col(key),
+        F.col(key).alias("key"),
         (F.octet_length(body).cast("long") + 8).alias("size"),
         F.crc32(body).alias("text_crc32"),
         shard_of(hashed, shards).alias("shard"),
         shard_of(hashed, shards + 1).alias("grown_shard"),
-        F.pmod(F.xxhash64(F.lit("slot"), F.col(key)), F.lit(BUCKETS)).cast("int").alias("_bucket"),
-    )
-    keyed = df.select(
-        shard_of(hashed, shards).alias("shard"),
-        F.pmod(F.xxhash64(F.lit("slot"), F.col(key)), F.lit(BUCKETS)).cast("int").alias("_bucket"),
+        F.monotonically_increasing_id().alias("_u"),
     )
-    before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    first = (
-        keyed.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
-        .select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    )
-    inside = Window.partitionBy("shard", "_bucket").orderBy(key, "size", "text_crc32")
-    return (
-        rows.withColumn("_at", F.row_number().over(inside) - 1)
-        .join(F.broadcast(first), ["shard", "_bucket"], "left")
-        .select(
-            key, "size", "text_crc32", F.lit("key").alias("law"), "shard",
-            (F.col("_first") + F.col("_at")).cast("long").alias("slot"), "grown_shard",
-        )
+    order = numbered(rows, "shard", "key", "size", "text_crc32", "_u")
+    first = order.groupBy("shard").agg(F.min("_at").alias("_first"))
+    return order.join(F.broadcast(first), "shard").select(
+        F.col("key").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_at") - F.col("_first")).cast("long").alias("slot"), "grown_shard",
     )
 
 
