@@ -1,6 +1,10 @@
 """Cleaning of the documents in stages; counts as part of the text operators (voxelspark.llm).
 
-Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept.
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept. All but the last hand on the
+columns they get, whatever their names. An empty table stays empty. Nulls, empty texts and repeated rows: the
+quality rules reject texts without words, so null and empty ones go; of equal texts the near duplicates keep
+the row with the smallest id, rows that repeat that id stay together, and a null id always stays; very long texts
+are taken whole. What else a stage does in such cases its operator's docstring says.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelspark.llm import decontaminate, minhash, pieces, quality, suffix_dedup
-from voxelspark.llm.common import table, written
+from voxelspark.llm.common import discard, table, tables, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,10 +53,12 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table of documents; what a stage returns is written before the next one reads it."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        docs = docs if name == STAGES[-1][0] else written(docs)
-    return docs
+    before = set(tables())
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+        # only the stage's result is read from here on
+        discard(spark, [t for t in tables()[:-1] if t not in before])
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 #: Components of near duplicates by minimum hashing, suffix arrays and sampled pieces are beyond SQL; tests use plain versions.
