@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, components, distinct_parts, in_blocks, mix, numbered, positional, shingles, stream, words_of_many, written
+from .common import U64, chunks, components, discard, distinct_parts, in_blocks, mix, numbered, positional, shingles, stream, tables, words_of_many, written
 
 TREES, DEPTH, MIN_DEPTH = 20, 6, 3
 #: Neighbours in an order that pair up, and as many in regions of more members than that.
@@ -27,7 +27,7 @@ SIMILARITY = 75
 #: Rows of an order that a task takes at once.
 ORDER_BLOCK = 8192
 #: Shingles of a block of rows that one task compares with another block; a row counts ROW at least, which bounds the rows.
-BLOCK, ROW = 400_000, 200
+BLOCK, ROW = 100_000, 200
 _KEY = 1 + 4 * DEPTH
 
 
@@ -243,7 +243,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     A text without words, or null, is linked with nothing. A null id takes no part: its component is null
     and it is kept. Rows that repeat an id are one node. An empty table gives an empty result.
     """
+    before = set(tables())
     signed = written(signatures(df, key, text))
+    stay = {*before, tables()[-1]}
     sets = ["n_shingles", "k1", "k2"]
     real = signed.where("n_shingles > 0 and id is not null")
     members = real.select("id", *sets)
@@ -272,6 +274,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
         linked = linked.union(own.join(least, "id").select("a", F.col("rep").alias("b")))
     same = components(linked)
     nodes = written(groups.join(same, F.col("rep") == F.col("node"), "left").select(*sets, F.coalesce("component", "rep").alias("_c")))
+    # the result reads signatures and nodes only
+    discard(df.sparkSession, [t for t in tables()[:-1] if t not in stay])
     out = signed.select("id", *sets).join(nodes, sets, "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("_c")).otherwise(F.col("id")))
     out = out.withColumn("component_id", F.when(F.col("id").isNotNull(), F.col("component_id")))
     return out.select("id", "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, U64, chunks, mix, positional, stream, written
+from .common import _BYTE, U64, chunks, discard, mix, positional, stream, tables, written
 
 LENGTH = 200
 GRAM = 32
@@ -385,12 +385,16 @@ def covered(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     k and r stand for the row: its key and a hash of its text.
     """
     docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("k"), F.xxhash64(F.col(text)).alias("r"), F.col(text).alias("t"))
+    stay = set(tables())
     places = written(_anchor_rows(docs))
     # written, so that the join reads plain shuffles, which adaptive execution can split where an anchor is hot
     again = written(places.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
     spots = places.join(again, "h").groupBy("k", "r").agg(F.collect_list(F.struct("at", "n", "h", "a")).alias("places"))
     cut = written(_segments(docs.join(spots, ["k", "r"]).select("k", "r", "t", "places")))
+    stay.add(tables()[-1])
     spans = written(_spans(cut.where("seen < 2").select("h", "s", "a", F.lit(0).cast("short").alias("l"), F.lit(False).alias("twice"), "segment")))
+    # segments and their spans are all that is read from here on
+    discard(df.sparkSession, [t for t in tables()[:-1] if t not in stay])
     at = F.col("at")
     found = cut.select("h", "s", "k", "r", "at").join(spans, ["h", "s"]).select("k", "r", (at + F.col("from")).alias("a"), (at + F.col("to")).alias("b"))
     return found.groupBy("k", "r").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
