@@ -116,10 +116,35 @@ def test_windows_and_read_plans(spark):
     assert fold([(0, 10), (0, 10), (5, 10)], 10, 0) == [(0, 15, 3)] and fold([], 1, 1) == []
     df = spark.createDataFrame([("a", 0, 10), ("a", 0, 10), ("a", 12, 8), ("b", 3, 1)], "f string, offset long, size long")
     assert sorted(tuple(r) for r in extents.build_windows(df, 100, 5, "f").collect()) == [("a", 0, 20, 3), ("b", 3, 1, 1)]
-    plan = extents.plan_reads([(0, 0, 0, 64, False), (0, 0, 0, 64, False), (0, 1, 64, 64, False), (0, 2, 300, 0, False), (1, 0, 10**9, 64, False)])
-    assert (plan["calls"], plan["duplicates"], plan["eliminated_bytes"], plan["planned_bytes"]) == (2, 1, 64, 192)
-    assert extents.plan_reads([])["amplification"] == 1.0
-    assert [e[2] for e in extents.plan_reads([(0, k, k * 64, 64, False) for k in range(8)], window=256)["extents"]] == [4, 4]
+    plan = lambda rows, **k: (lambda df: (extents.plan_costs(df, extents.plan_reads(df, **k)).first(), sorted(tuple(r) for r in extents.plan_reads(df, **k).collect())))(
+        spark.createDataFrame(rows, "block int, morton int, offset long, size long, is_plane boolean")
+    )
+    costs, _ = plan([(0, 0, 0, 64, False), (0, 0, 0, 64, False), (0, 1, 64, 64, False), (0, 2, 300, 0, False), (1, 0, 10**9, 64, False)])
+    assert (costs.calls, costs.duplicates, costs.eliminated_bytes, costs.planned_bytes) == (2, 1, 64, 192)
+    assert plan([])[0].amplification == 1.0 and plan([])[1] == []
+    assert [r[2] for r in plan([(0, k, k * 64, 64, False) for k in range(8)], window=256)[1]] == [4, 4]
+    # a record that does not fit gets a read of its own, whole
+    assert plan([(0, 0, 0, 10, False), (0, 1, 5, 100, False)], window=50)[1] == [(0, 10, 1), (5, 100, 1)]
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3000), st.integers(0, 90)), min_size=1, max_size=80), st.integers(1, 200), st.integers(0, 40))
+def test_plans_cover_all_records(spark, rows, window, gap):
+    df = spark.createDataFrame([(0, k, o, s, False) for k, (o, s) in enumerate(rows)], "block int, morton int, offset long, size long, is_plane boolean")
+    reads = extents.plan_reads(df, max_gap=gap, window=window)
+    assert extents.covers(reads.select("offset", "size"), extents.distinct_records(df).select("offset", "size")).isEmpty()
+    most = max(s for _, s in rows)
+    assert all(r.size <= max(window, most) for r in reads.collect()) and sum(r.records for r in reads.collect()) == sum(s > 0 for _, s in rows)
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 900), st.integers(1, 300)), min_size=1, max_size=60), st.integers(1, 400))
+def test_ranges_of_a_file_hand_on_their_runs(spark, rows, span):
+    df = spark.createDataFrame([(None, o, s) for o, s in rows], "f string, offset long, size long")
+    whole = sorted((r.offset, r.size) for r in extents.merge_with_gap(df, 3, "f").collect())
+    assert sorted((r.offset, r.size) for r in extents.merge_with_gap(df, 3, "f", span=span).collect()) == whole
+    starts = {r.start for r in extents.islands(df, 3, "f", span=span).collect()}
+    assert starts == {o for o, _ in whole}
 
 
 def test_request_files(spark, tmp_path):
@@ -188,8 +213,9 @@ def test_statistics(spark):
     f = stats.fractions(cells).first()
     assert (f.zero, f.non_finite) == (1 / 7, 2 / 7)
     assert stats.neighbour_correlation(cells, "z").first()[:] == (2, 0.0)
-    low, high = stats.bootstrap_mean([1.0, 2.0, 3.0] * 30)
-    assert 1.5 < low < 2 < high < 2.5 and stats.bootstrap_mean([]) == (0.0, 0.0)
+    sample = spark.createDataFrame([(float(k % 3 + 1),) for k in range(90)], "v double")
+    low, high = stats.bootstrap_mean(sample, "v").first()
+    assert 1.5 < low < 2 < high < 2.5 and tuple(stats.bootstrap_mean(sample.limit(0), "v").first()) == (None, None)
     r = stats.ratio_interval(spark.createDataFrame([(1.0, 2.0), (3.0, 4.0)], "a double, b double"), "a", "b").first()
     assert abs(r.ratio - 4 / 6) < 1e-12 and r.low >= 0
 

@@ -150,3 +150,21 @@ def on_stride(axis: str, stride: int, count: int | None = None) -> Column:
     """Is a coordinate one of the planes 0, stride, 2 stride, ... (of which there are ``count``)?"""
     hit = mod(axis, stride) == 0
     return hit if count is None else hit & (idiv(axis, stride) < count)
+
+
+#: Modulus and multipliers of ``mixed``; products stay inside 64 bits.
+MIX_MODULUS, MIX_FACTORS = 1 << 31, (1597334677, 1103515245)
+
+
+def mixed(number: Column | str, seed: int = 0) -> Column:
+    """A number below 2 ** 31 that depends on a number and a seed and looks random; whole-number arithmetic only."""
+    h = mod(mod(long(number) + seed * 1_000_003, MIX_MODULUS) * MIX_FACTORS[0], MIX_MODULUS)
+    h = h.bitwiseXOR(F.shiftright(h, 15))
+    h = mod(h * MIX_FACTORS[1], MIX_MODULUS)
+    return h.bitwiseXOR(F.shiftright(h, 13))
+
+
+def inside(meta: VolumeMeta, axis="axis", index="index") -> Column:
+    """Is an index within its axis? Null for an unknown axis."""
+    sizes = F.create_map(*(x for a in AXES for x in (F.lit(a), F.lit(meta.size(a)).cast("long"))))
+    return (F.col(index) >= 0) & (F.col(index) < sizes[F.col(axis)])

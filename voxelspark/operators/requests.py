@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import address
 from ..meta import AXES, VolumeMeta
 
 KINDS = ("random", "continuous")
@@ -99,10 +100,10 @@ def generate(spark: SparkSession, meta: VolumeMeta, seed: int, random: int = RAN
     parts = []
     for axis in AXES:
         size = meta.size(axis)
-        order = F.xxhash64(F.lit(seed), F.lit(axis), "id")
+        order = address.mixed("id", 3 * seed + AXES.index(axis))
         some = spark.range(size).orderBy(order, "id").limit(random).withColumn("seq", F.row_number().over(Window.orderBy(order, "id")) - 1)
         parts.append(some.select(F.lit(axis).alias("axis"), F.lit("random").alias("type"), F.col("seq").cast("int").alias("seq"), F.col("id").alias("index")))
-        start = F.pmod(F.xxhash64(F.lit(seed), F.lit(axis), F.lit("run")), F.lit(max(1, size - continuous + 1)))
+        start = address.mod(address.mixed(F.lit(size), 3 * seed + AXES.index(axis)), max(1, size - continuous + 1))
         parts.append(spark.range(continuous).select(F.lit(axis).alias("axis"), F.lit("continuous").alias("type"), F.col("id").cast("int").alias("seq"), (start + F.col("id")).alias("index")))
     out = parts[0]
     for p in parts[1:]:
@@ -110,6 +111,19 @@ def generate(spark: SparkSession, meta: VolumeMeta, seed: int, random: int = RAN
     return out
 
 
+def slab_plan(requests: DataFrame, meta: VolumeMeta, thick: int = 4) -> DataFrame:
+    """(axis, slab, slots): the slabs that requests (axis, type, seq, index) need, each once, with the requests it serves.
+
+    A slot is a request's place among its axis's requests, by type and seq, and its index inside the slab. An index outside
+    the volume, or an unknown axis, is an error.
+    """
+    ok = F.coalesce(address.inside(meta), F.lit(False))
+    index = F.when(ok, F.col("index")).otherwise(F.raise_error(F.concat(F.col("axis"), F.lit(" index outside the volume"))).cast("long"))
+    slot = (F.row_number().over(Window.partitionBy("axis").orderBy("type", "seq")) - 1).cast("long")
+    rows = requests.select("axis", index.alias("i"), slot.alias("slot"))
+    return rows.groupBy("axis", address.idiv("i", thick).alias("slab")).agg(F.sort_array(F.collect_list(F.struct("slot", address.mod("i", thick).alias("inside")))).alias("slots"))
+
+
 def centred_run(size: int, count: int) -> list[int]:
     """A run of indices about the middle."""
     start = max(0, size // 2 - count // 2)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import values
+from ..functions import address, values
+
+
+#: Ranges that values are put in order by.
+RANGES = 200
 
 
 def ranked(df: DataFrame, column: str, at: dict[str, str], *by: str) -> DataFrame:
@@ -22,22 +25,23 @@ def ranked(df: DataFrame, column: str, at: dict[str, str], *by: str) -> DataFram
 def counted(df: DataFrame, column: str, *by: str) -> DataFrame:
     """(by..., _v, _c, _end, n): distinct values, their counts, the sum of counts up to them in order, and all rows.
 
-    Values are counted first (that combines before the shuffle). In groups the counts are summed up in
-    order; over all rows they are sorted in ranges, each range's start being the sum of those before it,
-    so no task sees all values. Null is no value.
+    Values are counted first (that combines before the shuffle). The counts are summed up in order inside RANGES
+    ranges of values, whose bounds are approximate percentiles (one small row), and over the ranges' own
+    sums; so no task sees all values of a hot group. Null is no value.
     """
-    rows = df.select(*by, F.col(column).alias("_v")).where("_v is not null").groupBy(*by, "_v").agg(F.count("*").alias("_c"))
-    if by:
-        group = Window.partitionBy(*by)
-        rows = rows.withColumn("_end", F.sum("_c").over(group.orderBy("_v"))).withColumn("n", F.sum("_c").over(group))
-    else:
-        rows = rows.repartitionByRange("_v").withColumn("_p", F.spark_partition_id()).persist()
-        # one row for each partition
-        sums = rows.groupBy("_p").agg(F.sum("_c").alias("_s"))
-        before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-        sums = sums.select("_p", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_b"), F.sum("_s").over(Window.partitionBy(F.lit(0))).alias("n"))
-        rows = rows.join(F.broadcast(sums), "_p").withColumn("_end", F.col("_b") + F.sum("_c").over(Window.partitionBy("_p").orderBy("_v")))
-    return rows
+    rows = df.select(*by, F.col(column).alias("_v")).where("_v is not null")
+    found = rows.agg(F.percentile_approx("_v", [k / RANGES for k in range(1, RANGES)])).first()[0] or []
+    bounds = F.lit([float(x) for x in sorted(set(found))]).cast("array<double>")
+    rows = rows.groupBy(*by, "_v").agg(F.count("*").alias("_c"))
+    rows = rows.withColumn("_r", F.size(F.filter(bounds, lambda x: x <= F.col("_v").cast("double"))))
+    keys = [*by, "_r"]
+    sums = rows.groupBy(*keys).agg(F.sum("_c").alias("_s"))
+    group = Window.partitionBy(*(by or (F.lit(0),)))
+    before = group.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    # RANGES rows at most of each group
+    sums = sums.select(*(F.col(k).alias(f"{k}_") for k in keys), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_b"), F.sum("_s").over(group).alias("n"))
+    rows = rows.join(sums, [rows[k].eqNullSafe(sums[f"{k}_"]) for k in keys])
+    return rows.select(*by, "_v", "_c", (F.col("_b") + F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v"))).alias("_end"), "n")
 
 
 #: Index rules over n values: clamped floor(p n), floor(p (n - 1)), and those of the ratio probe.
@@ -108,11 +112,14 @@ def trimmed_mean(df: DataFrame, column: str) -> DataFrame:
     return rows.agg((F.sum(F.col("_v") * F.col("_k")) / F.sum("_k")).alias("mean"))
 
 
-def bootstrap_mean(sample: list[float], level: float = 0.95, rounds: int = 1000, seed: int = 42) -> tuple[float, float]:
-    """Interval of the mean from resampling; the sample is a planner's, of bounded size."""
-    if not sample:
-        return 0.0, 0.0
-    rng = np.random.default_rng(seed)
-    data = np.asarray(sample, float)
-    means = np.sort([data[rng.integers(0, len(data), len(data))].mean() for _ in range(rounds)])
-    return float(means[int((1 - level) * (rounds - 1))]), float(means[int(level * (rounds - 1))])
+def bootstrap_mean(sample: DataFrame, column: str, level: float = 0.95, rounds: int = 1000, seed: int = 42) -> DataFrame:
+    """(low, high): interval of the mean from resampling; the sample is a planner's, and is broadcast if Spark finds it small.
+
+    Draw k of all rounds takes the value whose place is the hash of k. An empty sample gives nulls.
+    """
+    number = F.row_number().over(Window.orderBy(column)) - 1
+    values_at = sample.where(F.col(column).isNotNull()).select(number.cast("long").alias("place"), values.double(column).alias("v"))
+    size = values_at.count()
+    draws = sample.sparkSession.range(rounds * size).select(address.idiv("id", max(size, 1)).alias("round"), address.mod(address.mixed("id", seed), max(size, 1)).alias("place"))
+    means = draws.join(values_at, "place").groupBy("round").agg(F.avg("v").alias("mean"))
+    return ranked(means, "mean", {"low": f"floor({1 - level} * (n - 1))", "high": f"floor({level} * (n - 1))"})

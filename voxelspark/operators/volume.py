@@ -94,8 +94,7 @@ class Volume:
         parts = []
         for axis in AXES:
             mine = requests.where(F.col("axis") == axis)
-            inside = (F.col("index") >= 0) & (F.col("index") < self.meta.size(axis))
-            checked = F.when(inside, F.col("index")).otherwise(F.raise_error(F.lit(f"{axis} index outside the volume")).cast("long"))
+            checked = F.when(address.inside(self.meta), F.col("index")).otherwise(F.raise_error(F.lit(f"{axis} index outside the volume")).cast("long"))
             mine = mine.select("axis", "type", "seq", checked.alias("index"))
             rows = self._wanted(axis, mine, small)
             parts.append(rows.select("axis", "type", "seq", "index", address.out_index(self.meta, axis).alias("out_idx"), "v"))

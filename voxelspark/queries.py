@@ -11,9 +11,9 @@ from .functions import address, values
 from .functions.values import ErrorPolicy
 from .meta import AXES, VolumeMeta
 from .operators import codec, extents, leaves, probe, replicas, requests, scores, stats, verify
-from .operators.volume import Volume
+from .operators.volume import Volume, read_volume
 from .plans import formats, layout, strategy
-from .sources import generate, tables
+from .sources import generate, rawvol, scratch, sinks, tables
 
 EMBED = "e AS (SELECT vec_id // 25 AS x, vec_id % 25 AS y, r.i AS z, embedding[r.i + 1] AS v FROM embeddings, range(64) r(i))"
 EVENTS = "e AS (SELECT event_id // 500 AS x, (event_id // 25) % 20 AS y, event_id % 25 AS z, CAST(value AS FLOAT) AS v FROM events)"
@@ -107,10 +107,10 @@ def plane_sample(spark, sf_dir):
     return tables.cube_embed(spark, sf_dir).sampled_planes([2, 9, 17], [(0, 8), (30, 40)])
 
 
-@query(f"WITH {EMBED} SELECT (z * 25 + y) * (SELECT max(x) + 1 FROM e) + x AS idx, v FROM e WHERE x < 3")
+@query(f"WITH {EMBED} SELECT (z * 25 + y) * (SELECT max(x) + 1 FROM e) + x AS idx, v FROM e")
 def legacy_linear_scan(spark, sf_dir):
     v = tables.cube_embed(spark, sf_dir)
-    return v.cells(F.col("x") < 3).select(address.linear_x_fastest(v.meta).alias("idx"), "v")
+    return v.cells().select(address.linear_x_fastest(v.meta).alias("idx"), "v")
 
 
 # --- batches of requests
@@ -268,11 +268,11 @@ def prefix_offsets(spark, sf_dir):
 
 # --- extents
 
-_EXT = "x AS (SELECT l_suppkey % 10 AS file, CAST(l_partkey % 500 AS BIGINT) * 100 AS \"offset\", CAST(l_quantity AS BIGINT) * 2 + 20 AS size FROM lineitem WHERE l_orderkey % 5 = 0)"
+_EXT = "x AS (SELECT l_suppkey % 10 AS file, CAST(l_partkey % 500 AS BIGINT) * 100 AS \"offset\", CAST(l_quantity AS BIGINT) * 2 + 20 AS size FROM lineitem)"
 
 
-def _extents(spark, sf_dir, which: str = "l_orderkey % 5 = 0") -> DataFrame:
-    rows = tables.table(spark, sf_dir, "lineitem").where(which)
+def _extents(spark, sf_dir) -> DataFrame:
+    rows = tables.table(spark, sf_dir, "lineitem")
     return rows.select((F.col("l_suppkey") % 10).alias("file"), ((F.col("l_partkey") % 500).cast("long") * 100).alias("offset"), (F.col("l_quantity").cast("long") * 2 + 20).alias("size"))
 
 
@@ -293,9 +293,14 @@ def merge_extents_gap(spark, sf_dir):
     return extents.merge_with_gap(_extents(spark, sf_dir), 64, "file")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_EXT}, d AS (SELECT file, "offset", size, count(*) AS n FROM x GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY "offset", size DESC) AS k FROM d),
+w AS (SELECT file, k, "offset" AS a, "offset" + size AS e, n, CAST(1 AS BIGINT) AS win FROM o WHERE k = 1
+  UNION ALL SELECT o.file, o.k, CASE WHEN joins THEN a ELSE "offset" END, CASE WHEN joins THEN greatest(e, "offset" + size) ELSE "offset" + size END, o.n, CASE WHEN joins THEN win ELSE win + 1 END
+  FROM (SELECT o.*, w.a, w.e, w.win, o."offset" < w.e OR (o."offset" - w.e <= 64 AND o."offset" + o.size - w.a <= 4096) AS joins FROM w JOIN o ON o.file = w.file AND o.k = w.k + 1) o)
+SELECT file, min(a) AS "offset", CAST(max(e) - min(a) AS BIGINT) AS size, CAST(sum(n) AS BIGINT) AS extents FROM w GROUP BY file, win""")
 def merge_windows(spark, sf_dir):
-    return extents.build_windows(_extents(spark, sf_dir, "true"), 4096, 64, "file")
+    return extents.build_windows(_extents(spark, sf_dir), 4096, 64, "file")
 
 
 @query("SELECT CAST(s * 4096 AS BIGINT) AS \"offset\", CAST(100 AS BIGINT) AS size FROM range(50) r(s) WHERE s % 7 = 0")
@@ -305,11 +310,64 @@ def extent_coverage(spark, sf_dir):
     return extents.covers(planned, needed)
 
 
-@query()
+_LEAVES = """q AS (SELECT l_suppkey % 40 AS block, l_partkey % 300 AS morton, l_linenumber = 7 AS is_plane,
+  CAST(l_suppkey % 40 AS BIGINT) * 40000 + CAST(l_partkey % 300 AS BIGINT) * 130 AS "offset", CASE WHEN l_partkey % 7 = 0 THEN 0 ELSE CAST(l_partkey % 4 AS BIGINT) * 20 + 30 END AS size FROM lineitem),
+l AS (SELECT block, morton, is_plane, min({'o': "offset", 's': size}) AS r FROM q GROUP BY ALL)"""
+#: Holes of up to 59 bytes are cheaper to read than to skip at these costs.
+_COST = {"io_cost_us": 0.03, "bandwidth_mb_s": 2000.0, "window": 2048}
+_READS = f"""{_LEAVES}, x AS (SELECT r.o AS "offset", r.s AS size FROM l WHERE r.s > 0),
+i AS (SELECT *, sum(n) OVER (ORDER BY "offset", size DESC ROWS UNBOUNDED PRECEDING) AS island FROM (
+  SELECT *, CASE WHEN "offset" > max("offset" + size + 59) OVER (ORDER BY "offset", size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS n FROM x)),
+p AS (SELECT *, ("offset" - min("offset") OVER (PARTITION BY island)) // (16 * 2048) AS part FROM i),
+o AS (SELECT island, part, "offset", size, row_number() OVER (PARTITION BY island, part ORDER BY "offset", size) AS k FROM p),
+w AS (SELECT island, part, k, "offset" AS a, "offset" + size AS e, CAST(1 AS BIGINT) AS read FROM o WHERE k = 1
+  UNION ALL SELECT o.island, o.part, o.k, CASE WHEN fits THEN a ELSE "offset" END, CASE WHEN fits THEN greatest(e, "offset" + size) ELSE "offset" + size END, CASE WHEN fits THEN read ELSE read + 1 END
+  FROM (SELECT o.*, w.a, w.e, w.read, o."offset" + o.size <= w.a + 2048 AS fits FROM w JOIN o ON o.island = w.island AND o.part = w.part AND o.k = w.k + 1) o),
+reads AS (SELECT min(a) AS "offset", CAST(max(e) - min(a) AS BIGINT) AS size, count(*) AS records FROM w GROUP BY island, part, read)"""
+
+
+def _leaf_requests(spark, sf_dir) -> DataFrame:
+    rows = tables.table(spark, sf_dir, "lineitem")
+    block, morton = (F.col("l_suppkey") % 40).cast("long"), (F.col("l_partkey") % 300).cast("long")
+    size = F.when(F.col("l_partkey") % 7 == 0, 0).otherwise((F.col("l_partkey") % 4) * 20 + 30).cast("long")
+    return rows.select(block.alias("block"), morton.alias("morton"), (F.col("l_linenumber") == 7).alias("is_plane"), (block * 40000 + morton * 130).alias("offset"), size.alias("size"))
+
+
+@query(f'WITH RECURSIVE {_READS} SELECT "offset", size, records FROM reads')
 def read_plan(spark, sf_dir):
-    asked = [(k % 11, k % 5, (k * 7919) % 40_000 * 8, (k % 4) * 64, False) for k in range(500)]
-    plan = extents.plan_reads(asked, window=1 << 16, max_gap=4096)
-    return spark.createDataFrame(plan["extents"], "offset long, size long, records long")
+    return extents.plan_reads(_leaf_requests(spark, sf_dir), **_COST)
+
+
+@query(f"""WITH RECURSIVE {_READS}, a AS (SELECT count(*) AS logical, CAST(sum(size) AS BIGINT) AS asked FROM q), k AS (SELECT count(*) AS leaves, CAST(sum(r.s) AS BIGINT) AS kept FROM l),
+c AS (SELECT count(*) AS calls, CAST(sum(size) AS BIGINT) AS planned FROM reads)
+SELECT logical, leaves, logical - leaves AS duplicates, asked AS requested_bytes, asked - kept AS eliminated_bytes, planned AS planned_bytes, calls, round(planned / asked, 9) AS amplification FROM a, k, c""")
+def read_plan_costs(spark, sf_dir):
+    asked = _leaf_requests(spark, sf_dir)
+    return extents.plan_costs(asked, extents.plan_reads(asked, **_COST)).withColumn("amplification", F.round("amplification", 9))
+
+
+@query(f'WITH {_LEAVES} SELECT "offset", size FROM (SELECT DISTINCT r.o AS "offset", r.s AS size FROM l WHERE r.s > 0) WHERE false')
+def read_plan_misses(spark, sf_dir):
+    asked = _leaf_requests(spark, sf_dir)
+    return extents.covers(extents.plan_reads(asked, **_COST).select("offset", "size"), extents.distinct_records(asked).select("offset", "size"))
+
+
+@query("""WITH r AS (SELECT o_orderkey % 50 AS round, CAST(o_custkey % 1000 AS BIGINT) * 64 - 64 AS "offset", CAST(o_orderkey % 3 AS BIGINT) * 32 AS size FROM orders),
+s AS (SELECT *, max("offset" + size) OVER (PARTITION BY round ORDER BY "offset", size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM r WHERE size > 0)
+SELECT round, 'empty' AS problem, count(*) AS n FROM r WHERE size <= 0 GROUP BY round
+UNION ALL SELECT round, 'out of bounds', count(*) FROM r WHERE "offset" < 0 OR "offset" + greatest(size, 0) > 63900 GROUP BY round
+UNION ALL SELECT round, 'overlap', count(*) FROM s WHERE "offset" < reached GROUP BY round""")
+def round_problems(spark, sf_dir):
+    rows = tables.table(spark, sf_dir, "orders")
+    rounds = rows.select((F.col("o_orderkey") % 50).alias("round"), ((F.col("o_custkey") % 1000).cast("long") * 64 - 64).alias("offset"), ((F.col("o_orderkey") % 3).cast("long") * 32).alias("size"))
+    return extents.round_problems(rounds, 63900, "round")
+
+
+@query(f"""WITH {_REQ}, s AS (SELECT axis, type, seq, CAST("index" AS BIGINT) AS i, row_number() OVER (PARTITION BY axis ORDER BY type, seq) - 1 AS slot FROM r)
+SELECT axis, i // 4 AS slab, string_agg(slot || ':' || i % 4, ',' ORDER BY slot) AS slots FROM s GROUP BY axis, i // 4""")
+def slab_plan(spark, sf_dir):
+    rows = requests.slab_plan(_asked(spark), tables.cube_events(spark, sf_dir).meta)
+    return rows.select("axis", "slab", F.array_join(F.transform("slots", lambda x: F.concat(x["slot"].cast("string"), F.lit(":"), x["inside"].cast("string"))), ",").alias("slots"))
 
 
 # --- errors and verification
@@ -427,10 +485,10 @@ def percentiles_by_group(spark, sf_dir):
     return stats.ranked(rows, "t", stats.PROBE, "g")
 
 
-@query("""WITH s AS (SELECT l_discount * 1000 + 100 AS c, l_quantity * 40 + 200 AS w FROM lineitem WHERE l_linenumber = 1), r AS (SELECT sum(c) / sum(w) AS r, count(*) AS n FROM s), d AS (
+@query("""WITH s AS (SELECT l_discount * 1000 + 100 AS c, l_quantity * 40 + 200 AS w FROM lineitem), r AS (SELECT sum(c) / sum(w) AS r, count(*) AS n FROM s), d AS (
 SELECT sqrt(avg(pow(c / w - r, 2))) AS d FROM s, r) SELECT n, round(r, 9) AS ratio, round(d, 7) AS spread, round(greatest(0, r - 1.96 * d / sqrt(n)), 7) AS low, round(r + 1.96 * d / sqrt(n), 7) AS high FROM r, d""")
 def ratio_ci(spark, sf_dir):
-    rows = tables.table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select((F.col("l_discount") * 1000 + 100).alias("c"), (F.col("l_quantity") * 40 + 200).alias("w"))
+    rows = tables.table(spark, sf_dir, "lineitem").select((F.col("l_discount") * 1000 + 100).alias("c"), (F.col("l_quantity") * 40 + 200).alias("w"))
     out = stats.ratio_interval(rows, "c", "w")
     return out.select("n", F.round("ratio", 9).alias("ratio"), *(F.round(c, 7).alias(c) for c in ("spread", "low", "high")))
 
@@ -442,16 +500,24 @@ def cv_summary(spark, sf_dir):
     return out.select("g", "n", F.round("total", 2).alias("total"), "least", F.round("mean", 4).alias("mean"), F.round("median", 4).alias("median"), "most", F.round("cv", 9).alias("cv"))
 
 
-@query("WITH s AS (SELECT l_quantity AS t, row_number() OVER (ORDER BY l_quantity) - 1 AS k, count(*) OVER () AS n FROM lineitem WHERE l_orderkey < 40) SELECT round(avg(t), 9) AS mean FROM s WHERE k >= n // 10 AND k < n - n // 10")
+@query("WITH s AS (SELECT l_quantity AS t, row_number() OVER (ORDER BY l_quantity) - 1 AS k, count(*) OVER () AS n FROM lineitem) SELECT round(avg(t), 9) AS mean FROM s WHERE k >= n // 10 AND k < n - n // 10")
 def trimmed_mean(spark, sf_dir):
-    rows = tables.table(spark, sf_dir, "lineitem").where("l_orderkey < 40").select(F.col("l_quantity").alias("t"))
+    rows = tables.table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("t"))
     return stats.trimmed_mean(rows, "t").select(F.round("mean", 9).alias("mean"))
 
 
-@query()
+def _mixed_sql(number: str) -> str:
+    a, b = address.MIX_FACTORS
+    one = f"((({number}) % 2147483648) * {a}) % 2147483648"
+    two = f"(xor(({one}), ({one}) >> 15) * {b}) % 2147483648"
+    return f"xor(({two}), ({two}) >> 13)"
+
+
+@query(f"""WITH s AS (SELECT row_number() OVER (ORDER BY s_acctbal) - 1 AS place, s_acctbal AS v FROM supplier), n AS (SELECT count(*) AS n FROM supplier),
+d AS (SELECT id // n AS round, {_mixed_sql('id + 42 * 1000003')} % n AS place FROM (SELECT unnest(range(1000 * n)) AS id, n FROM n)), m AS (SELECT round, avg(v) AS mean FROM d JOIN s USING (place) GROUP BY round),
+o AS (SELECT mean, row_number() OVER (ORDER BY mean) - 1 AS k FROM m) SELECT round(max(mean) FILTER (k = 49), 6) AS low, round(max(mean) FILTER (k = 949), 6) AS high FROM o""")
 def bootstrap_ci(spark, sf_dir):
-    low, high = stats.bootstrap_mean([float((k * 37) % 101) for k in range(200)])
-    return spark.createDataFrame([(low, high)], "low double, high double")
+    return stats.bootstrap_mean(tables.table(spark, sf_dir, "supplier"), "s_acctbal").select(*(F.round(c, 6).alias(c) for c in ("low", "high")))
 
 
 # --- codec
@@ -548,9 +614,23 @@ def layout_sim(spark, sf_dir):
     return rows.select("axis", "blocks_touched", "bytes_read", "slice_bytes", "contiguous_runs", F.round("read_amplification", 9).alias("read_amplification"), F.round("storage_ratio", 9).alias("storage_ratio"))
 
 
-@query()
+_LAYOUTS = f"""WITH g AS (SELECT *, CAST(nx AS BIGINT) * ny * nz * 4 AS raw, CAST((nx + 63) // 64 AS BIGINT) AS gx, CAST((ny + 63) // 64 AS BIGINT) AS gy, CAST((nz + 63) // 64 AS BIGINT) AS gz,
+  CAST((nx + 15) // 16 AS BIGINT) AS mx, CAST((ny + 15) // 16 AS BIGINT) AS my, CAST((nz + 15) // 16 AS BIGINT) AS mz, CAST(CASE axis WHEN 'x' THEN ny * nz WHEN 'y' THEN nx * nz ELSE nx * ny END AS BIGINT) * 4 AS slice_bytes FROM {_DIMS3}),
+h AS (SELECT *, CASE axis WHEN 'x' THEN gy * gz WHEN 'y' THEN gx * gz ELSE gx * gy END AS hit, CASE axis WHEN 'x' THEN my * mz WHEN 'y' THEN mx * mz ELSE mx * my END AS small, gx * gy * gz AS number, mx * my * mz AS micro FROM g),
+l AS (
+  SELECT 'superblock' || p.name AS layout, axis, hit AS blocks, 1048576 AS size, CASE axis WHEN 'x' THEN gy * gz WHEN 'y' THEN gz ELSE gy END AS runs, 256 + number * 8 * p.panels AS meta,
+    number * 1048576 + 256 + number * 8 * p.panels + number * 262144 * p.panels AS total, CASE WHEN axis = 'x' AND p.panels > 0 OR axis = 'y' AND p.panels = 2 THEN 0.25 ELSE 0 END AS rate, raw, slice_bytes
+  FROM h, (VALUES ('', 0), ('+x4', 1), ('+xy4', 2)) p(name, panels)
+  UNION ALL SELECT 'leaf-index', axis, hit * 256, 256, greatest(1, hit * 16), number * 4096 * 8, 256 + number * 1048576 + number * 4096 * 8, 0, raw, slice_bytes FROM h
+  UNION ALL SELECT 'microblock-16', axis, small, 16384, small, micro * 8, 256 + micro * 16384 + micro * 8, 0, raw, slice_bytes FROM h)
+SELECT layout, axis, CAST(blocks AS BIGINT) AS blocks_touched, CAST(blocks * size AS BIGINT) AS bytes_read, slice_bytes, CAST(runs AS BIGINT) AS contiguous_runs, CAST(meta AS BIGINT) AS metadata_bytes, CAST(total AS BIGINT) AS storage_total,
+  round(CAST(blocks * size AS DOUBLE) / slice_bytes, 9) AS read_amplification, round(CAST(total AS DOUBLE) / raw, 9) AS storage_ratio, CAST(rate AS DOUBLE) AS panel_hit_rate,
+  CAST(CASE WHEN rate > 0 THEN blocks * (0.25 * 16384 + 0.75 * 1048576) ELSE 0 END AS DOUBLE) AS panel_expected_bytes FROM l"""
+
+
+@query(_LAYOUTS)
 def layout_sim_all(spark, sf_dir):
-    return layout.simulate(spark, 801, 2405, 2501)
+    return layout.simulate(spark, 801, 2405, 2501).withColumns({c: F.round(c, 9) for c in ("read_amplification", "storage_ratio")})
 
 
 @query("SELECT * FROM (VALUES ('slow', 'whole', true), ('real advantage', 'full', false), ('fast', 'full', false), ('hysteresis', 'whole', false), ('clear', 'selective', false), ('pilot', 'whole', false)) t(\"case\", selected, full_blocked)")
@@ -605,7 +685,19 @@ def continuous_check(spark, sf_dir):
     return rows.select("seq", "index", F.coalesce(F.col("index") - F.lag("index").over(Window.orderBy("seq")) == 1, F.lit(True)).alias("follows"))
 
 
-@query()
+def _generated_sql() -> str:
+    """Random indices in hash order and a run at a hashed start, for each axis of the cube of embeddings."""
+    parts = []
+    for k, (axis, size) in enumerate(zip(AXES, ("nx", "25", "64"), strict=True)):
+        add = (3 * 42 + k) * 1_000_003
+        ids = "(SELECT unnest(range(nx)) AS id FROM d)" if size == "nx" else f"(SELECT id FROM range({size}) r(id))"
+        order = f"SELECT id, row_number() OVER (ORDER BY {_mixed_sql(f'id + {add}')}, id) - 1 AS seq FROM {ids}"
+        parts.append(f"SELECT '{axis}' AS axis, 'random' AS type, CAST(seq AS INT) AS seq, id AS \"index\" FROM ({order}) WHERE seq < 10")
+        parts.append(f"SELECT '{axis}', 'continuous', CAST(s AS INT), ({_mixed_sql(f'{size} + {add}')}) % ({size} - 4) + s FROM d, range(5) r(s)")
+    return f"WITH {EMBED}, {DIMS} " + " UNION ALL ".join(parts)
+
+
+@query(_generated_sql())
 def random_sample(spark, sf_dir):
     return requests.generate(spark, tables.cube_embed(spark, sf_dir).meta, 42, 10, 5)
 
@@ -627,6 +719,87 @@ def synthetic_smooth(spark, sf_dir):
     return generate.smooth(spark, VolumeMeta(20, 20, 20)).cells(F.col("x") == 3).select("x", "y", "z", "v")
 
 
+# --- ingest and export: files are written under the shared folder and read back
+
+
+def _raw_file(spark, volume: Volume) -> str:
+    path = f"{scratch.folder(spark)}/volume.raw"
+    rawvol.restore(volume, path)
+    return path
+
+
+@query(f"WITH {EMBED} SELECT x, y, z, v FROM e")
+def raw_restore_scan(spark, sf_dir):
+    v = tables.cube_embed(spark, sf_dir)
+    return rawvol.read_raw(spark, _raw_file(spark, v), v.meta, slab_bytes=1 << 16).cells()
+
+
+@query(f"WITH {EVENTS} SELECT x, z, v, x * 25 + z AS out_idx FROM e WHERE y = 11")
+def raw_slice_y(spark, sf_dir):
+    v = tables.cube_events(spark, sf_dir)
+    return rawvol.read_raw(spark, _raw_file(spark, v), v.meta).slice("y", 11)
+
+
+@query(f"WITH {EMBED} SELECT z AS i, v FROM e WHERE x = 7 AND y = 4")
+def raw_line_z(spark, sf_dir):
+    v = tables.cube_embed(spark, sf_dir)
+    return rawvol.read_raw(spark, _raw_file(spark, v), v.meta).line("z", 7, 4)
+
+
+@query(f"WITH {EMBED} SELECT CAST(count(*) * 4 AS BIGINT) AS bytes, true AS whole, 'unknown' AS format FROM e")
+def raw_size_and_format(spark, sf_dir):
+    v = tables.cube_embed(spark, sf_dir)
+    path = _raw_file(spark, v)
+    found = rawvol.detect(spark, path, {b"PAR1": "parquet"})
+    return rawvol.sizes(spark, path, v.meta).join(found, "path").select("bytes", "whole", "format")
+
+
+@query("SELECT 'parquet' AS format, CAST(6 AS BIGINT) AS files")
+def format_detect(spark, sf_dir):
+    found = rawvol.detect(spark, f"{sf_dir}/{{region,nation,customer,supplier,part,orders}}.parquet", {b"PAR1": "parquet"})
+    return found.groupBy("format").agg(F.count("*").alias("files"))
+
+
+@query(f"WITH {EVENTS} SELECT x, y, v, x * 20 + y AS out_idx FROM e WHERE z = 13")
+def chunked_write_slice(spark, sf_dir):
+    v, path = tables.cube_events(spark, sf_dir), scratch.folder(spark)
+    v.write(path, by="z")
+    return read_volume(spark, path, v.meta).slice("z", 13)
+
+
+@query(f"""WITH {EMBED}, {DIMS}, l AS (SELECT {SB} AS sb_id, {LEAF_MORTON} AS morton, count(*) AS cells FROM e, d GROUP BY ALL)
+SELECT sb_id, count(*) AS leaves, CAST(sum(cells) AS BIGINT) AS cells, CAST(0 AS BIGINT) AS wrong FROM l GROUP BY sb_id""")
+def encoded_table(spark, sf_dir):
+    v, path = tables.cube_embed(spark, sf_dir), scratch.folder(spark)
+    codec.write_encoded(v.meta, v.cells(), path)
+    back = leaves.unpack(v.meta, codec.decode(spark.read.parquet(path)))
+    per = verify.by_leaf(v.meta, verify.paired(v.cells(), back), ErrorPolicy())
+    return per.groupBy("sb_id").agg(F.count("*").alias("leaves"), F.sum("valid_count").alias("cells"), F.sum("violation_count").alias("wrong"))
+
+
+@query(f"""WITH {EVENTS}, {_REQ}, o AS ({_BATCH}) SELECT 'slice_' || axis || '_' || type || '_' || lpad(CAST(seq AS VARCHAR), 3, '0') || '.dat' AS name,
+  row_number() OVER (PARTITION BY axis, type, seq ORDER BY out_idx) - 1 AS place, v FROM o""")
+def slice_files(spark, sf_dir):
+    files = sinks.write_slices(tables.cube_events(spark, sf_dir).batch(_asked(spark)), scratch.folder(spark)).collect()  # a path for each request
+    return sinks.read_slices(spark, spark.createDataFrame(files))
+
+
+@query("SELECT o_orderpriority AS grp, count(*) AS slices, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY ALL")
+def csv_and_json_tables(spark, sf_dir):
+    rows = tables.table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("grp")).agg(F.count("*").alias("slices"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    path, kind = scratch.folder(spark), "grp string, slices long, total double"
+    sinks.write_csv(rows, path)
+    lines = sinks.as_json(spark.read.csv(path, header=True, schema=kind))
+    return lines.select(F.from_json("json", kind).alias("r")).select("r.*")
+
+
+@query(f"""WITH {EVENTS}, {DIMS}, r AS (SELECT * FROM (VALUES ('x', -1), ('x', 0), ('x', 1000000), ('y', 19), ('y', 20), ('z', 24), ('z', 25)) t(axis, "index"))
+SELECT axis, CAST("index" AS BIGINT) AS "index", "index" >= 0 AND "index" < CASE axis WHEN 'x' THEN nx WHEN 'y' THEN 20 ELSE 25 END AS inside FROM r, d""")
+def request_bounds(spark, sf_dir):
+    rows = spark.createDataFrame([("x", -1), ("x", 0), ("x", 1000000), ("y", 19), ("y", 20), ("z", 24), ("z", 25)], "axis string, index long")
+    return rows.withColumn("inside", address.inside(tables.cube_events(spark, sf_dir).meta))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -1,8 +1,8 @@
 """Raw volumes: headerless little-endian float32, Z fastest, read and written through Spark data source ``rawvol``.
 
-Reading gives one partition for each run of X planes, as traces (x, y, values); filters on x prune planes
-before anything is read. Writing makes one file for each partition's run of cells, and ``restore`` joins
-them into one file.
+Reading gives one partition for each run of X planes, as traces (x, y, values); filters on x and y prune planes
+and the traces in them before anything is read. Writing makes one file for each partition's run of cells;
+``restore`` makes one file, whose tasks write at their places where the file system can do that.
 """
 
 from __future__ import annotations
@@ -53,38 +53,44 @@ class RawVolumeReader(DataSourceReader):
         self.path = options["path"]
         self.meta = VolumeMeta(*(int(options[k]) for k in ("nx", "ny", "nz")))
         self.slab = int(options.get("slab_bytes", SLAB_BYTES))
-        self.low, self.high = 0, self.meta.nx - 1
+        #: bounds of x and y, both ends included
+        self.low, self.high = [0, 0], [self.meta.nx - 1, self.meta.ny - 1]
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Bounds on x narrow the planes; every filter is still applied by Spark."""
+        """Bounds on x narrow the planes, on y the traces of each; every filter is still applied by Spark."""
         for f in filters:
-            if getattr(f, "attribute", None) == ("x",):
+            axis = {("x",): 0, ("y",): 1}.get(getattr(f, "attribute", None))
+            if axis is not None:
                 if isinstance(f, EqualTo | GreaterThanOrEqual):
-                    self.low = max(self.low, int(f.value))
+                    self.low[axis] = max(self.low[axis], int(f.value))
                 if isinstance(f, EqualTo | LessThanOrEqual):
-                    self.high = min(self.high, int(f.value))
+                    self.high[axis] = min(self.high[axis], int(f.value))
             yield f
 
     def partitions(self) -> list[InputPartition]:
         check_size(self.path, self.meta)
-        step = max(1, self.slab // (self.meta.ny * self.meta.nz * BYTES))
-        return [Planes(x, min(step, self.high + 1 - x)) for x in range(self.low, self.high + 1, step)] or [Planes(0, 0)]
+        step = max(1, self.slab // max(1, (self.high[1] + 1 - self.low[1]) * self.meta.nz * BYTES))
+        return [Planes(x, min(step, self.high[0] + 1 - x)) for x in range(self.low[0], self.high[0] + 1, step)] or [Planes(0, 0)]
 
     def read(self, partition: Planes) -> Iterator[pa.RecordBatch]:
         store, inner = open_store(self.path)
         ny, nz = self.meta.ny, self.meta.nz
         rows = max(1, PIECE_BYTES // (nz * BYTES))
-        at, end = partition.first * ny, (partition.first + partition.count) * ny
+        first, last = self.low[1], self.high[1] + 1
+        # whole planes are one run of traces, parts of planes a run each
+        runs = [(partition.first, partition.first + partition.count)] if (first, last) == (0, ny) else [(x, x + 1) for x in range(partition.first, partition.first + partition.count)]
         with store.open_input_file(inner) as file:
-            while at < end:
-                n = min(rows, end - at)
-                data = np.frombuffer(file.read_at(n * nz * BYTES, at * nz * BYTES), "<f4")
-                if len(data) != n * nz:
-                    raise ValueError(f"{self.path} ends early")
-                trace = np.arange(at, at + n)
-                values = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * nz), pa.array(data))
-                yield pa.RecordBatch.from_arrays([pa.array(trace // ny), pa.array(trace % ny), values], names=["x", "y", "values"])
-                at += n
+            for x, past in runs:
+                at, end = x * ny + first, (past - 1) * ny + last
+                while at < end:
+                    n = min(rows, end - at)
+                    data = np.frombuffer(file.read_at(n * nz * BYTES, at * nz * BYTES), "<f4")
+                    if len(data) != n * nz:
+                        raise ValueError(f"{self.path} ends early")
+                    trace = np.arange(at, at + n)
+                    values = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * nz), pa.array(data))
+                    yield pa.RecordBatch.from_arrays([pa.array(trace // ny), pa.array(trace % ny), values], names=["x", "y", "values"])
+                    at += n
 
 
 class RawVolumeSource(DataSource):
@@ -149,26 +155,66 @@ def write_raw(volume: Volume, folder: str, files: int = 8) -> list[str]:
 
 
 def restore(volume: Volume, path: str, files: int = 8, overwrite: bool = False) -> None:
-    """Write a volume as one raw file; an existing file is kept unless asked, and none is left half written."""
+    """Write a volume as one raw file; an existing file is kept unless asked, and none is left half written.
+
+    On a mounted file system the pieces are put into the file at their places by as many tasks, so nothing passes
+    through the driver; elsewhere, where a file has one writer, the driver joins them.
+    """
     store, inner = open_store(path)
     if not overwrite and store.get_file_info(inner).type != fs.FileType.NotFound:
         raise FileExistsError(path)
     pieces = write_raw(volume, f"{path}.pieces", files)
     try:
-        with store.open_output_stream(f"{inner}.part") as out:
-            for p in pieces:
-                with open_store(p)[0].open_input_stream(open_store(p)[1]) as piece:
-                    while data := piece.read(PIECE_BYTES):
-                        out.write(data)
+        if isinstance(store, fs.LocalFileSystem):
+            _join_at_places(volume, pieces, inner)
+        else:
+            with store.open_output_stream(f"{inner}.part") as out:
+                for p in pieces:
+                    with open_store(p)[0].open_input_stream(open_store(p)[1]) as piece:
+                        while data := piece.read(PIECE_BYTES):
+                            out.write(data)
         store.move(f"{inner}.part", inner)
     finally:
         store.delete_dir(open_store(f"{path}.pieces")[1])
 
 
+def _join_at_places(volume: Volume, pieces: list[str], inner: str) -> None:
+    """Copy each piece to its place in one file; a task that runs again writes the same bytes."""
+    spark = (volume.voxels if volume.traces is None else volume.traces).sparkSession
+    with open(f"{inner}.part", "wb") as out:
+        out.truncate(volume.meta.bytes)
+
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                own = open_store(path)[1]
+                with open(own, "rb") as piece, open(f"{inner}.part", "r+b") as out:
+                    out.seek(int(own.rsplit("/", 1)[1].split(".")[0]) * BYTES)
+                    while data := piece.read(PIECE_BYTES):
+                        out.write(data)
+            yield batch
+
+    spark.createDataFrame([(p,) for p in pieces], "path string").repartition(len(pieces)).mapInArrow(copy, "path string").write.format("noop").mode("overwrite").save()
+
+
 def detect(spark: SparkSession, path: str, known: dict[bytes, str]) -> DataFrame:
-    """(path, format) of files by their first bytes; what is not known is ``unknown``."""
-    head = F.substring("content", 1, MAGIC_BYTES)
-    way = F.lit("unknown")
-    for magic, name in known.items():
-        way = F.when(head.startswith(F.lit(magic)), name).otherwise(way)
-    return spark.read.format("binaryFile").load(path).select("path", way.alias("format"))
+    """(path, format) of files by their first bytes; what is not known is ``unknown``. Files are listed, then MAGIC_BYTES of each read."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for p in batch.column(0).to_pylist():
+                store, inner = open_store(p)
+                with store.open_input_file(inner) as file:
+                    head = file.read(MAGIC_BYTES)
+                found.append(next((name for magic, name in known.items() if head.startswith(magic)), "unknown"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["path", "format"])
+
+    # only names are listed: a file's content is not a row, which could not hold over 2 GB
+    return spark.read.format("binaryFile").load(path).select("path").mapInArrow(look, "path string, format string")
+
+
+def sizes(spark: SparkSession, path: str, meta: VolumeMeta) -> DataFrame:
+    """(path, bytes, whole): does each raw file have the bytes of its shape?"""
+    rows = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"))
+    return rows.withColumn("whole", F.col("bytes") == meta.bytes)

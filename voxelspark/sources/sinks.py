@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,3 +70,21 @@ def write_csv(table: DataFrame, path: str, mode: str = "errorifexists") -> None:
 def as_json(table: DataFrame) -> DataFrame:
     """(json): each row as a JSON object."""
     return table.select(F.to_json(F.struct("*")).alias("json"))
+
+
+def read_slices(spark, files: DataFrame) -> DataFrame:
+    """(name, place, v) of slice files (path): the values of each, in order."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(batch.schema.get_field_index("path")).to_pylist():
+                store, inner = open_store(path)
+                with store.open_input_file(inner) as file:
+                    at, size = 0, file.size()
+                    while at < size:
+                        data = np.frombuffer(file.read_at(min(4 << 20, size - at), at), "<f4")
+                        place = np.arange(at // 4, at // 4 + len(data))
+                        yield pa.RecordBatch.from_arrays([pa.array([inner.rsplit("/", 1)[1]] * len(data)), pa.array(place), pa.array(data)], names=["name", "place", "v"])
+                        at += 4 * len(data)
+
+    return files.select("path").mapInArrow(read, "name string, place long, v float")
