@@ -39,9 +39,17 @@ class Volume:
             df = df.where(w)
         return df.select("x", "y", F.posexplode("values").alias("z", "v")).select("x", "y", F.col("z").cast("long").alias("z"), "v")
 
+    def bounded(self, axis: str, low: int, high: int) -> Volume:
+        """The volume for a query that needs an axis from ``low`` to ``high`` only; a source that can read less does.
+
+        Whoever asks still filters: here nothing changes.
+        """
+        return self
+
     def _at(self, axis: str, index: int) -> DataFrame:
         """Cells with a coordinate fixed."""
         index = self.meta.check_index(axis, index)
+        self = self.bounded(axis, index, index)
         if axis == "z" and self.traces is not None:
             return self.traces.select("x", "y", F.lit(index).cast("long").alias("z"), F.element_at("values", index + 1).alias("v"))
         pruned = [F.col(f"{axis}_leaf") == index // self.meta.leaf[AXES.index(axis)]] if f"{axis}_leaf" in self._stored() else []
@@ -61,6 +69,7 @@ class Volume:
         if axis == "z" and self.traces is not None:
             part = F.slice("values", start + 1, count)
             return self.traces.select("x", "y", F.posexplode(part).alias("k", "v")).select("x", "y", (F.col("k") + start).cast("long").alias("z"), "v")
+        self = self.bounded(axis, start, start + count - 1)
         f, pruned = self.meta.leaf[AXES.index(axis)], []
         if f"{axis}_leaf" in self._stored():
             pruned = [F.col(f"{axis}_leaf").between(start // f, (start + count - 1) // f)]
@@ -70,6 +79,7 @@ class Volume:
         """(i, v) along an axis; the fixed coordinates are those of PLANE, in its order."""
         a, b = PLANE[axis]
         first, second = self.meta.check_index(a, first), self.meta.check_index(b, second)
+        self = self.bounded(a, first, first).bounded(b, second, second)
         if self.traces is not None and b == "z":
             rows = self.traces.where(F.col(a) == first).select(F.col(axis).alias("i"), F.element_at("values", second + 1).alias("v"))
             return rows.select(F.col("i").cast("long").alias("i"), "v")
@@ -88,38 +98,48 @@ class Volume:
         """(axis, type, seq, index, out_idx, v) of many slices: requests (axis, type, seq, index), repeats fan out.
 
         One equi-join for each axis, never an either-or join over all three. An index outside the volume
-        is an error.
+        is an error. One job looks at the requests first: whether they are few enough to broadcast, and
+        which axes and indices they name; axes without requests are not read.
         """
-        small = requests.count() <= BROADCAST_REQUESTS
+        known = requests.select("axis", "index").limit(BROADCAST_REQUESTS + 1).collect()
+        few = len(known) <= BROADCAST_REQUESTS
         parts = []
         for axis in AXES:
+            named = [r["index"] for r in known if r["axis"] == axis]
+            if few and not named and (parts or axis != AXES[-1]):
+                continue
+            wanted = sorted({k for k in named if k is not None}) if few else None
             mine = requests.where(F.col("axis") == axis)
             checked = F.when(address.inside(self.meta), F.col("index")).otherwise(F.raise_error(F.lit(f"{axis} index outside the volume")).cast("long"))
             mine = mine.select("axis", "type", "seq", checked.alias("index"))
-            rows = self._wanted(axis, mine, small)
+            rows = self._wanted(axis, F.broadcast(mine) if few else mine, wanted)
             parts.append(rows.select("axis", "type", "seq", "index", address.out_index(self.meta, axis).alias("out_idx"), "v"))
-        return parts[0].unionByName(parts[1]).unionByName(parts[2])
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
 
-    def _wanted(self, axis: str, mine: DataFrame, small: bool) -> DataFrame:
+    def _wanted(self, axis: str, side: DataFrame, wanted: list[int] | None) -> DataFrame:
         """Cells of an axis's requests with the request's columns; x, y, z, v stay.
 
         Traces of X and Y requests are joined before they are unfolded; a Z request takes its elements from
-        each trace. From a stored table only the wanted leaves are read. ``small``: few requests, whose
-        distinct indices may be asked for.
+        each trace. From a stored table only the wanted leaves are read. ``wanted``: the distinct indices of
+        few requests.
         """
-        side = F.broadcast(mine) if small else mine
+        if wanted:
+            self = self.bounded(axis, min(wanted), max(wanted))
         if self.traces is not None and axis != "z":
             rows = self.traces.join(side, self.traces[axis] == side["index"])
             return rows.select("*", F.posexplode("values").alias("_z", "v")).withColumn("z", F.col("_z").cast("long"))
-        if not small:
+        if wanted is None:
             cells = self.cells()
             return cells.join(side, cells[axis] == side["index"])
-        index = sorted(r[0] for r in mine.select("index").distinct().collect())
         if self.traces is not None:
-            picked = F.transform(F.lit(index or [0]).cast("array<int>"), lambda k: F.struct(k.cast("long").alias("z"), F.element_at("values", k + 1).alias("v")))
+            inside = [k for k in wanted if 0 <= k < self.meta.nz] or [0]
+            picked = F.transform(F.lit(inside).cast("array<int>"), lambda k: F.struct(k.cast("long").alias("z"), F.element_at("values", k + 1).alias("v")))
             cells = self.traces.select("x", "y", F.explode(picked).alias("c")).select("x", "y", "c.z", "c.v")
         else:
-            leaves = sorted({k // self.meta.leaf[AXES.index(axis)] for k in index})
+            leaves = sorted({k // self.meta.leaf[AXES.index(axis)] for k in wanted})
             cells = self.cells(*([F.col(f"{axis}_leaf").isin(leaves)] if f"{axis}_leaf" in self._stored() and leaves else []))
         return cells.join(side, cells[axis] == side["index"])
 
@@ -130,7 +150,7 @@ class Volume:
         for low, high in ranges or []:
             if not 0 <= low < high <= self.meta.nz:
                 raise IndexError(f"z range [{low}, {high}) is not inside the volume")
-        rows = self.cells(F.col("x").isin(planes))
+        rows = (self.bounded("x", min(planes), max(planes)) if planes else self).cells(F.col("x").isin(planes))
         if not ranges:
             return rows
         inside = F.lit(False)

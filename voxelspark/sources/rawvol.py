@@ -1,7 +1,8 @@
 """Raw volumes: headerless little-endian float32, Z fastest, read and written through Spark data source ``rawvol``.
 
-Reading gives one partition for each run of X planes, as traces (x, y, values); filters on x and y prune planes
-and the traces in them before anything is read. Writing makes one file for each partition's run of cells;
+Reading gives one partition for each run of X planes, as traces (x, y, values). Bounds on x and y, given as options,
+leave out planes and the traces in them before anything is read; ``RawVolume`` gives them for each query. They are not
+taken from pushed filters: Spark keeps a reader with the filters of one query for the next one that has none. Writing makes one file for each partition's run of cells;
 ``restore`` makes one file, whose tasks write at their places where the file system can do that.
 """
 
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import address
 from ..meta import BYTES, VolumeMeta
@@ -54,18 +55,9 @@ class RawVolumeReader(DataSourceReader):
         self.meta = VolumeMeta(*(int(options[k]) for k in ("nx", "ny", "nz")))
         self.slab = int(options.get("slab_bytes", SLAB_BYTES))
         #: bounds of x and y, both ends included
-        self.low, self.high = [0, 0], [self.meta.nx - 1, self.meta.ny - 1]
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Bounds on x narrow the planes, on y the traces of each; every filter is still applied by Spark."""
-        for f in filters:
-            axis = {("x",): 0, ("y",): 1}.get(getattr(f, "attribute", None))
-            if axis is not None:
-                if isinstance(f, EqualTo | GreaterThanOrEqual):
-                    self.low[axis] = max(self.low[axis], int(f.value))
-                if isinstance(f, EqualTo | LessThanOrEqual):
-                    self.high[axis] = min(self.high[axis], int(f.value))
-            yield f
+        bound = lambda name, otherwise: int(options.get(name, otherwise))
+        self.low = [max(0, bound("x_low", 0)), max(0, bound("y_low", 0))]
+        self.high = [min(self.meta.nx - 1, bound("x_high", self.meta.nx)), min(self.meta.ny - 1, bound("y_high", self.meta.ny))]
 
     def partitions(self) -> list[InputPartition]:
         check_size(self.path, self.meta)
@@ -105,12 +97,32 @@ class RawVolumeSource(DataSource):
         return RawVolumeReader(dict(self.options))
 
 
-def read_raw(spark: SparkSession, path: str, meta: VolumeMeta, slab_bytes: int = SLAB_BYTES) -> Volume:
+@dataclass(frozen=True)
+class RawVolume(Volume):
+    """A volume of a raw file, whose queries read the planes and traces within their bounds only."""
+
+    path: str = ""
+    slab_bytes: int = SLAB_BYTES
+    limits: tuple[tuple[str, int], ...] = ()
+
+    def bounded(self, axis: str, low: int, high: int) -> Volume:
+        if axis == "z":  # a trace is read as a whole
+            return self
+        limits = dict(self.limits)
+        limits[f"{axis}_low"] = max(low, limits.get(f"{axis}_low", low))
+        limits[f"{axis}_high"] = min(high, limits.get(f"{axis}_high", high))
+        return _load(self.traces.sparkSession, self.path, self.meta, self.slab_bytes, limits)
+
+
+def _load(spark: SparkSession, path: str, meta: VolumeMeta, slab_bytes: int, limits: dict[str, int]) -> RawVolume:
+    reader = spark.read.format("rawvol").option("nx", meta.nx).option("ny", meta.ny).option("nz", meta.nz).option("slab_bytes", slab_bytes)
+    return RawVolume(meta, traces=reader.options(**limits).load(path), path=path, slab_bytes=slab_bytes, limits=tuple(limits.items()))
+
+
+def read_raw(spark: SparkSession, path: str, meta: VolumeMeta, slab_bytes: int = SLAB_BYTES) -> RawVolume:
     """A volume of a raw file."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RawVolumeSource)
-    reader = spark.read.format("rawvol").option("nx", meta.nx).option("ny", meta.ny).option("nz", meta.nz).option("slab_bytes", slab_bytes)
-    return Volume(meta, traces=reader.load(path))
+    return _load(spark, path, meta, slab_bytes, {})
 
 
 def write_raw(volume: Volume, folder: str, files: int = 8) -> list[str]:
