@@ -71,6 +71,31 @@ SELECT n.doc_id, n.n_shingles, min(seen) AS component_id, n.doc_id = min(seen) A
 FROM n JOIN reach ON reach.node = n.doc_id GROUP BY n.doc_id, n.n_shingles
 """
 
+_OP7 = r"""
+WITH d AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents
+), n AS (
+  SELECT doc_id, b, CAST(octet_length(b) AS BIGINT) AS n FROM d
+), w AS (
+  SELECT doc_id, i, md5_number(b[i:i + 199]) AS h FROM (SELECT doc_id, b, unnest(range(1, n - 198)) AS i FROM n WHERE n >= 200)
+), r AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS c FROM w) WHERE c > 1
+), e AS (
+  SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 1 ELSE 0 END AS new FROM r
+), g AS (
+  SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM e
+), s AS (
+  SELECT doc_id, min(i) AS a, max(i) + 199 AS z FROM g GROUP BY doc_id, g
+), k AS (
+  SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS p FROM s
+), t AS (
+  SELECT k.doc_id, count(*) AS n_spans, CAST(sum(z - a + 1) AS BIGINT) AS n_removed, list(b[p + 1:a - 1] ORDER BY a) AS parts, max(z) AS last FROM k JOIN n ON n.doc_id = k.doc_id GROUP BY k.doc_id
+)
+SELECT n.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(CASE WHEN t.doc_id IS NULL THEN b ELSE list_reduce(parts, lambda x, y: x || y) || b[last + 1:n] END) AS kept_sha256
+FROM n LEFT JOIN t ON t.doc_id = n.doc_id
+"""
+
 _OP8 = r"""
 WITH w AS (
   SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
@@ -109,4 +134,4 @@ FROM b JOIN h ON b.source IS NOT DISTINCT FROM h.source, q
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_cross_entropy": _OP1, "op3_warc": _OP3, "op6_lsh_forest": _OP6, "op8_host_rules": _OP8}
+    return {"op1_cross_entropy": _OP1, "op3_warc": _OP3, "op6_lsh_forest": _OP6, "op7_suffix_arrays": _OP7, "op8_host_rules": _OP8}
