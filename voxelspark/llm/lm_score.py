@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import U64, mix, table, words_of_many, written
 
 #: Bytes of text of a batch, and those whose keys a bucket adds up.
-BATCH, BUCKET, BUCKETS = 8 << 20, 16 << 20, 48
+BATCH, BUCKET, BUCKETS = 6 << 20, 16 << 20, 48
 _START = 0x5BD1E995
 _BIGRAM, _WORD = 0, 1
 #: Weight of the unigram law in a bigram row.
@@ -108,10 +108,13 @@ class Batch:
         self.good = good
         count = lambda place, n: np.stack((np.bincount(place, minlength=n), np.bincount(place[good], minlength=n))).astype(np.int32)
         pairs, self.pair = np.unique(pair & ~U64(3) | U64(_BIGRAM), return_inverse=True)
-        del pair, before
+        self.pair = self.pair.astype(np.int32)  # places of a batch are few; tokens are many
+        del pair, before, parts
         marked = np.append(now, U64(_START)) if len(now) else now
         words, place = np.unique(mix(marked) & ~U64(3) | U64(_WORD), return_inverse=True)
-        self.word = place[: len(now)]
+        del marked, now
+        place = place.astype(np.int32)
+        self.word = place[: len(self.pair)]
         self.head = np.empty_like(self.word)
         self.head[1:] = self.word[:-1]
         self.head[self.first] = place[-1:]
@@ -124,8 +127,8 @@ class Batch:
 
     def within(self, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
         """How often each token's key stands in its own document."""
-        _, at, count = np.unique(doc * len(self.keys) + place, return_inverse=True, return_counts=True)
-        return count[at]
+        _, at, count = np.unique(doc * np.int64(len(self.keys)) + place, return_inverse=True, return_counts=True)
+        return count.astype(np.int32)[at]
 
     def parts(self, buckets: int) -> list[np.ndarray]:
         """Places of the keys that each bucket adds up."""
