@@ -26,6 +26,24 @@ def test_round_trip_and_reproduction(spark):
     assert all(r.lossless for r in pieces.round_trip(df).collect())
 
 
+def test_columns_of_any_name_stay(spark):
+    df = spark.createDataFrame([(1, "some text", "a", "b", "c")], "doc_id long, text string, _key string, key string, ids string")
+    made = pieces.decode(pieces.encode(df))
+    assert made.columns == ["doc_id", "text", "_key", "key", "ids", "decoded"]
+    row = made.first()
+    assert (row._key, row.key, row.decoded) == ("a", "b", "some text") and row.ids
+
+
+def test_a_task_leaves_nothing_remembered():
+    import pyarrow as pa
+
+    step = pieces._Encode(0, 1, pieces.MODEL, 1)
+    step(pa.RecordBatch.from_arrays([pa.array(["one two three"]), pa.array([5], pa.int64())], names=["t", "k"]))
+    assert step.lattice.last and step.lattice.first.size
+    step.close()
+    assert not step.lattice.last and not step.lattice.first.size
+
+
 def test_decoding_agrees_with_the_library(spark):
     import sentencepiece
 

@@ -27,6 +27,8 @@ SEED = 17
 #: Units remembered by a task are dropped beyond so many lattice nodes (about 100 bytes each), and at its end;
 #: that costs time, no result.
 MAX_NODES = 1_500_000
+#: Bits of a hash by which strings that are no piece are passed over, for each length of piece.
+SEEN = 17
 #: Weight of a byte; longest unit that is filtered together with others and remembered.
 RARE, SHORT = 1e-5, 40
 UNIT = re.compile(r"\n| *[^ \n]+| +")
@@ -89,8 +91,8 @@ class Lattice:
             own = [(self._hash(np.array([[ord(c) for c in k]], np.uint64))[0], v) for k, v in known.items() if len(k) == n]
             own.sort()
             marks = np.array([h for h, _ in own], U64)
-            seen = np.zeros(1 << 20, dtype=bool)
-            seen[(marks >> U64(44)).astype(np.int64)] = True
+            seen = np.zeros(1 << SEEN, dtype=bool)
+            seen[(marks >> U64(64 - SEEN)).astype(np.int64)] = True
             if len(np.unique(marks)) < len(marks):
                 raise ValueError("two pieces share a hash")
             self.by_length.append((seen, marks, np.array([v[0] for _, v in own], np.int32), np.array([v[1] for _, v in own])))
@@ -153,7 +155,7 @@ class Lattice:
                 with np.errstate(over="ignore"):
                     rolled[at] = (rolled[at] + codes[at + n - 1] + U64(1)) * U64(0x9E3779B97F4A7C15)
                     h = mix(rolled[at])
-                may = seen[(h >> U64(44)).astype(np.int64)]
+                may = seen[(h >> U64(64 - SEEN)).astype(np.int64)]
                 at, h = at[may], h[may]
                 where = np.minimum(np.searchsorted(marks, h), len(marks) - 1)
                 same = marks[where] == h

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import noted, shared_dir, written
 
 MIN_REVISIT = 1000
 SPLIT_BYTES = 4 << 20
@@ -292,7 +292,7 @@ def page_number(column: str) -> Column:
 def round_trip(df: DataFrame, key: str = "page_id", payload: str = "html", folder: str | None = None) -> DataFrame:
     """Write each row as a record into archives in the shared folder, then read them back (digest columns); damage is an error."""
     spark: SparkSession = df.sparkSession
-    folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = folder or noted(f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
     rows = read_archives(write_archives(plan_records(df, key, payload), folder), payload=False)
     whole = F.when(F.col("error").isNull(), F.col("record_type")).otherwise(F.raise_error(F.concat(F.lit("damaged record in "), "path")).cast("string"))
     return rows.select(page_number("record_id").alias("page_id"), "payload_bytes", "payload_digest", whole.alias("record_type"), page_number("refers_to").alias("refers_to"))
