@@ -52,3 +52,15 @@ def test_the_rest_stands_without_the_text_operators(tmp_path):
                 to.write_bytes(open(os.path.join(d, n), "rb").read())
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 60 and not any(n.startswith('op') or n == 'pipeline' for n in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
+@pytest.mark.parametrize("name", ["raw_restore_scan"])
+def test_raw_files_of_tables_that_end_inside_a_plane(spark, tmp_path, name):
+    con = duckdb.connect()
+    for t, n in (("embeddings", 481), ("events", 9987)):
+        con.execute(f"COPY (SELECT * FROM '{SF}/{t}.parquet' ORDER BY 1 LIMIT {n}) TO '{tmp_path}/{t}.parquet'")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    got = queries.queries()[name](spark, str(tmp_path))
+    want = con.execute(queries.oracle_sql()[name])
+    names = [f"`{d[0]}`" for d in want.description]
+    assert sorted(tuple(map(plain, r)) for r in got.select(*names).collect()) == sorted(tuple(map(plain, r)) for r in want.fetchall())

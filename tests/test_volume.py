@@ -147,3 +147,27 @@ def test_sampled_planes(spark):
         for bad in (([6], None), ([0], [(3, 10)])):
             with pytest.raises(IndexError):
                 v.sampled_planes(*bad)
+
+
+@pytest.mark.parametrize("held", [6 * 5 * 9 - 18, 6 * 5 * 9 - 20, 6 * 5 * 9 - 44])
+def test_raw_file_that_ends_inside_the_last_plane(spark, tmp_path, held):
+    data = block((6, 5, 9)).ravel()[:held]
+    meta = VolumeMeta(6, 5, 9, (4, 4, 4), (2, 2, 2), held)
+    whole = generate.decimal(spark, meta_of((6, 5, 9)))
+    v = Volume(meta, voxels=whole.cells().where(address.linear(meta) < held))
+    rawvol.restore(v, f"{tmp_path}/a.raw", files=3)
+    assert open(f"{tmp_path}/a.raw", "rb").read() == data.tobytes()
+    for slab in (1, 400, 1 << 20):
+        raw = rawvol.read_raw(spark, f"{tmp_path}/a.raw", meta, slab)
+        assert [r[:] for r in raw.full().orderBy("idx").collect()] == list(enumerate(data.tolist()))
+    # neither a cell too few nor one too many passes, and the shape alone asks for every cell
+    for wrong in (v.cells().where("not (x = 2 and y = 2 and z = 2)"), v.cells().where("x + y + z > 0"), whole.cells()):
+        with pytest.raises(Exception, match="missing or repeated|whole volume"):
+            rawvol.write_raw(Volume(meta, voxels=wrong), f"{tmp_path}/wrong", 2)
+    shifted = whole.cells().where(address.linear(meta).between(1, held))
+    with pytest.raises(Exception, match="whole volume"):
+        rawvol.write_raw(Volume(meta, voxels=shifted), f"{tmp_path}/shifted", 2)
+    with pytest.raises(Exception, match="bytes"):
+        rawvol.read_raw(spark, f"{tmp_path}/a.raw", meta_of((6, 5, 9))).full().collect()
+    with pytest.raises(ValueError, match="last plane"):
+        VolumeMeta(6, 5, 9, held=5 * 5 * 9)

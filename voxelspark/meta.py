@@ -21,13 +21,17 @@ def align_up(n: int, to: int = 4096) -> int:
 
 @dataclass(frozen=True)
 class VolumeMeta:
-    """Dimensions, superblock and leaf sizes of a dense float32 volume, Z fastest."""
+    """Dimensions, superblock and leaf sizes of a dense float32 volume, Z fastest.
+
+    ``held``: the cells of a volume that ends inside its last X plane, where it is not filled; otherwise there are all.
+    """
 
     nx: int
     ny: int
     nz: int
     super_block: tuple[int, int, int] = (64, 64, 64)
     leaf: tuple[int, int, int] = (4, 4, 4)
+    held: int | None = None
 
     def __post_init__(self):
         if min(self.dims) < 1:
@@ -36,6 +40,9 @@ class VolumeMeta:
             raise ValueError(f"a superblock {self.super_block} is not made of whole leaves {self.leaf}")
         if self.leaves_per_block > MAX_LEAVES:
             raise ValueError(f"more than {MAX_LEAVES} leaves in a superblock")
+        whole = self.nx * self.ny * self.nz
+        if self.held is not None and not whole - self.ny * self.nz < self.held <= whole:
+            raise ValueError(f"{self.held} cells do not end in the last plane of {self.dims}")
         if self.bytes >= 1 << 63:
             raise OverflowError("the volume's size does not fit a long")
 
@@ -45,7 +52,7 @@ class VolumeMeta:
 
     @property
     def cells(self) -> int:
-        return self.nx * self.ny * self.nz
+        return self.nx * self.ny * self.nz if self.held is None else self.held
 
     @property
     def bytes(self) -> int:

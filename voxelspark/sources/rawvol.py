@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import address
-from ..meta import BYTES, VolumeMeta
+from ..meta import BYTES, VolumeMeta, ceil_div
 from ..operators.volume import Volume
 
 #: Bytes of a reading task, of a piece held in memory.
@@ -36,11 +36,11 @@ def open_store(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def check_size(path: str, meta: VolumeMeta) -> None:
-    """A raw file has exactly the bytes of its shape."""
+    """A raw file has exactly the bytes of its shape, or of the cells that it holds."""
     store, inner = open_store(path)
     size = store.get_file_info(inner).size
     if size != meta.bytes:
-        raise ValueError(f"{path} has {size} bytes; {meta.dims} needs {meta.bytes}")
+        raise ValueError(f"{path} has {size} bytes; {meta.dims} with {meta.cells} cells needs {meta.bytes}")
 
 
 @dataclass
@@ -52,7 +52,7 @@ class Planes(InputPartition):
 class RawVolumeReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
-        self.meta = VolumeMeta(*(int(options[k]) for k in ("nx", "ny", "nz")))
+        self.meta = VolumeMeta(*(int(options[k]) for k in ("nx", "ny", "nz")), held=int(options["held"]) if "held" in options else None)
         self.slab = int(options.get("slab_bytes", SLAB_BYTES))
         #: bounds of x and y, both ends included
         bound = lambda name, otherwise: int(options.get(name, otherwise))
@@ -69,18 +69,22 @@ class RawVolumeReader(DataSourceReader):
         ny, nz = self.meta.ny, self.meta.nz
         rows = max(1, PIECE_BYTES // (nz * BYTES))
         first, last = self.low[1], self.high[1] + 1
+        cells = self.meta.cells  # where they end early, so do the last plane's traces
         # whole planes are one run of traces, parts of planes a run each
         runs = [(partition.first, partition.first + partition.count)] if (first, last) == (0, ny) else [(x, x + 1) for x in range(partition.first, partition.first + partition.count)]
         with store.open_input_file(inner) as file:
             for x, past in runs:
-                at, end = x * ny + first, (past - 1) * ny + last
+                at, end = x * ny + first, min((past - 1) * ny + last, ceil_div(cells, nz))
                 while at < end:
                     n = min(rows, end - at)
-                    data = np.frombuffer(file.read_at(n * nz * BYTES, at * nz * BYTES), "<f4")
-                    if len(data) != n * nz:
+                    held = min(n * nz, cells - at * nz)
+                    data = np.frombuffer(file.read_at(held * BYTES, at * nz * BYTES), "<f4")
+                    if len(data) != held:
                         raise ValueError(f"{self.path} ends early")
                     trace = np.arange(at, at + n)
-                    values = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * nz), pa.array(data))
+                    bounds = np.arange(n + 1, dtype=np.int32) * nz
+                    bounds[n] = held
+                    values = pa.ListArray.from_arrays(pa.array(bounds), pa.array(data))
                     yield pa.RecordBatch.from_arrays([pa.array(trace // ny), pa.array(trace % ny), values], names=["x", "y", "values"])
                     at += n
 
@@ -116,6 +120,8 @@ class RawVolume(Volume):
 
 def _load(spark: SparkSession, path: str, meta: VolumeMeta, slab_bytes: int, limits: dict[str, int]) -> RawVolume:
     reader = spark.read.format("rawvol").option("nx", meta.nx).option("ny", meta.ny).option("nz", meta.nz).option("slab_bytes", slab_bytes)
+    if meta.held is not None:
+        reader = reader.option("held", meta.held)
     return RawVolume(meta, traces=reader.options(**limits).load(path), path=path, slab_bytes=slab_bytes, limits=tuple(limits.items()))
 
 
@@ -129,7 +135,7 @@ def write_raw(volume: Volume, folder: str, files: int = 8) -> list[str]:
     """Write the cells as raw pieces, in the order of their numbers; returns the pieces, first cells first.
 
     A piece is written under another name and moved when whole. Every cell must be there once: a gap or a
-    repeat is an error.
+    repeat is an error. A volume that ends inside its last plane says so in its shape (``held``); its pieces end there.
     """
     meta = volume.meta
     step = -(-meta.cells // files)
@@ -161,7 +167,7 @@ def write_raw(volume: Volume, folder: str, files: int = 8) -> list[str]:
             yield pa.RecordBatch.from_pydict({"first": pa.array([first]), "cells": pa.array([expected - first]), "path": [f"{folder}/{first:020d}.raw"]})
 
     pieces = rows.select("idx", "v").mapInArrow(write, "first long, cells long, path string").orderBy("first").collect()
-    if sum(p.cells for p in pieces) != meta.cells or any(a.first + a.cells != b.first for a, b in zip(pieces, pieces[1:], strict=False)):
+    if sum(p.cells for p in pieces) != meta.cells or pieces[0].first or any(a.first + a.cells != b.first for a, b in zip(pieces, pieces[1:], strict=False)):
         raise ValueError("the pieces do not make the whole volume")
     return [p.path for p in pieces]
 
@@ -227,6 +233,6 @@ def detect(spark: SparkSession, path: str, known: dict[bytes, str]) -> DataFrame
 
 
 def sizes(spark: SparkSession, path: str, meta: VolumeMeta) -> DataFrame:
-    """(path, bytes, whole): does each raw file have the bytes of its shape?"""
+    """(path, bytes, whole): does each raw file have the bytes of its shape, or of the cells that it holds?"""
     rows = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"))
     return rows.withColumn("whole", F.col("bytes") == meta.bytes)
