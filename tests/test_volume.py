@@ -171,3 +171,21 @@ def test_raw_file_that_ends_inside_the_last_plane(spark, tmp_path, held):
         rawvol.read_raw(spark, f"{tmp_path}/a.raw", meta_of((6, 5, 9))).full().collect()
     with pytest.raises(ValueError, match="last plane"):
         VolumeMeta(6, 5, 9, held=5 * 5 * 9)
+
+
+def test_slices_and_lines_where_the_last_plane_ends(spark, tmp_path):
+    held = 6 * 5 * 9 - 20  # plane 5 has two traces and seven cells of a third
+    meta = VolumeMeta(6, 5, 9, (4, 4, 4), (2, 2, 2), held)
+    v = Volume(meta, voxels=generate.decimal(spark, meta_of((6, 5, 9))).cells().where(address.linear(meta) < held))
+    rawvol.restore(v, f"{tmp_path}/a.raw")
+    raw = rawvol.read_raw(spark, f"{tmp_path}/a.raw", meta)
+    same = lambda a, b: sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    for axis, index in [("x", 5), ("x", 0), ("y", 2), ("y", 4), ("z", 6), ("z", 8)]:
+        assert same(raw.slice(axis, index), v.slice(axis, index)), (axis, index)
+        assert same(raw.slice_range(axis, index - 1 if index else 0, 2), v.slice_range(axis, index - 1 if index else 0, 2)), (axis, index)
+    for axis, first, second in [("z", 5, 2), ("z", 5, 3), ("z", 5, 1), ("x", 2, 7), ("x", 2, 6), ("y", 5, 8), ("y", 5, 6)]:
+        assert same(raw.line(axis, first, second), v.line(axis, first, second)), (axis, first, second)
+    assert [r.i for r in raw.line("z", 5, 2).orderBy("i").collect()] == list(range(7)) and raw.line("z", 5, 3).isEmpty()
+    asked = spark.createDataFrame([("x", "random", 0, 5), ("y", "random", 0, 2), ("z", "random", 0, 8), ("z", "continuous", 0, 6)], "axis string, type string, seq int, index long")
+    assert same(raw.batch(asked), v.batch(asked)) and raw.batch(asked.where("axis = 'z'")).count() == 27 + 28
+    assert same(raw.sampled_planes([0, 5], [(5, 9)]), v.sampled_planes([0, 5], [(5, 9)]))

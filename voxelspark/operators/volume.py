@@ -46,12 +46,16 @@ class Volume:
         """
         return self
 
+    def _reaching(self, z: int) -> DataFrame:
+        """The traces that have an element of z; only where a volume ends early its last trace can be short."""
+        return self.traces if self.meta.cells % self.meta.nz == 0 else self.traces.where(F.size("values") > z)
+
     def _at(self, axis: str, index: int) -> DataFrame:
         """Cells with a coordinate fixed."""
         index = self.meta.check_index(axis, index)
         self = self.bounded(axis, index, index)
         if axis == "z" and self.traces is not None:
-            return self.traces.select("x", "y", F.lit(index).cast("long").alias("z"), F.element_at("values", index + 1).alias("v"))
+            return self._reaching(index).select("x", "y", F.lit(index).cast("long").alias("z"), F.element_at("values", index + 1).alias("v"))
         pruned = [F.col(f"{axis}_leaf") == index // self.meta.leaf[AXES.index(axis)]] if f"{axis}_leaf" in self._stored() else []
         return self.cells(*pruned, F.col(axis) == index)
 
@@ -81,7 +85,7 @@ class Volume:
         first, second = self.meta.check_index(a, first), self.meta.check_index(b, second)
         self = self.bounded(a, first, first).bounded(b, second, second)
         if self.traces is not None and b == "z":
-            rows = self.traces.where(F.col(a) == first).select(F.col(axis).alias("i"), F.element_at("values", second + 1).alias("v"))
+            rows = self._reaching(second).where(F.col(a) == first).select(F.col(axis).alias("i"), F.element_at("values", second + 1).alias("v"))
             return rows.select(F.col("i").cast("long").alias("i"), "v")
         pruned = [F.col(f"{c}_leaf") == i // self.meta.leaf[AXES.index(c)] for c, i in ((a, first), (b, second)) if f"{c}_leaf" in self._stored()]
         return self.cells(*pruned, F.col(a) == first, F.col(b) == second).select(F.col(axis).cast("long").alias("i"), "v")
@@ -136,7 +140,10 @@ class Volume:
             return cells.join(side, cells[axis] == side["index"])
         if self.traces is not None:
             inside = [k for k in wanted if 0 <= k < self.meta.nz] or [0]
-            picked = F.transform(F.lit(inside).cast("array<int>"), lambda k: F.struct(k.cast("long").alias("z"), F.element_at("values", k + 1).alias("v")))
+            asked = F.lit(inside).cast("array<int>")
+            if self.meta.cells % self.meta.nz:
+                asked = F.filter(asked, lambda k: k < F.size("values"))
+            picked = F.transform(asked, lambda k: F.struct(k.cast("long").alias("z"), F.element_at("values", k + 1).alias("v")))
             cells = self.traces.select("x", "y", F.explode(picked).alias("c")).select("x", "y", "c.z", "c.v")
         else:
             leaves = sorted({k // self.meta.leaf[AXES.index(axis)] for k in wanted})
