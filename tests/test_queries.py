@@ -54,7 +54,7 @@ def test_the_rest_stands_without_the_text_operators(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
 
 
-@pytest.mark.parametrize("name", ["raw_restore_scan", "raw_line_z", "raw_slice_y"])
+@pytest.mark.parametrize("name", ["raw_restore_scan", "raw_line_z", "raw_slice_y", "raw_size_and_format"])
 def test_raw_files_of_tables_that_end_inside_a_plane(spark, tmp_path, name):
     con = duckdb.connect()
     for t, n in (("embeddings", 481), ("events", 9987)):

@@ -189,3 +189,12 @@ def test_slices_and_lines_where_the_last_plane_ends(spark, tmp_path):
     asked = spark.createDataFrame([("x", "random", 0, 5), ("y", "random", 0, 2), ("z", "random", 0, 8), ("z", "continuous", 0, 6)], "axis string, type string, seq int, index long")
     assert same(raw.batch(asked), v.batch(asked)) and raw.batch(asked.where("axis = 'z'")).count() == 27 + 28
     assert same(raw.sampled_planes([0, 5], [(5, 9)]), v.sampled_planes([0, 5], [(5, 9)]))
+
+
+def test_size_of_a_raw_file_that_ends_inside_the_last_plane(spark, tmp_path):
+    shape = (6, 5, 9)
+    meta = VolumeMeta(*shape, held=6 * 5 * 9 - 20)
+    block(shape).ravel()[: meta.held].tofile(f"{tmp_path}/a.raw")
+    sizes = lambda m: rawvol.sizes(spark, f"{tmp_path}/a.raw", m).first()[1:]
+    assert sizes(meta) == (1000, True) and sizes(VolumeMeta(*shape)) == (1000, False)
+    assert sizes(VolumeMeta(*shape, held=meta.held - 1)) == sizes(VolumeMeta(*shape, held=meta.held + 1)) == (1000, False)
