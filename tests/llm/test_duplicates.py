@@ -136,6 +136,23 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_few_edges_need_no_rounds(spark, monkeypatch):
+    r = random.Random(5)
+    edges = [(k, k + 1) for k in range(60)] + [(r.randrange(100, 700), r.randrange(100, 700)) for _ in range(400)] + [(9, 9)]
+    first, more = (spark.createDataFrame(x, "a long, b long") for x in (edges, [(0, 650), (900, 901), (60, 901)]))
+    write, found = common.written, []
+    for few in (1 << 17, 0):
+        made = []
+        monkeypatch.setattr(common, "written", lambda df: made.append(1) or write(df))
+        monkeypatch.setattr(common, "FEW_EDGES", few)
+        same = common.components(first)
+        assert (len(made) <= 2) == (few > 0)
+        assert common.tied(same, more.limit(0)) is same
+        found.append([sorted(map(tuple, x.collect())) for x in (same, common.tied(same, more), common.components(first.union(more)))])
+        assert found[-1][1] == found[-1][2] != found[-1][0]
+    assert found[0] == found[1]
+
+
 def test_word_hashes_tell_words_apart():
     data = b"One\ttwo  one\x0btwo three\ntwo"
     h, start, end = common.word_hashes(np.frombuffer(data, np.uint8))

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -262,14 +263,41 @@ def distinct_parts(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray,
     return (np.concatenate(parts) if parts else values[:0]), np.array([len(p) for p in parts], dtype=np.int64)
 
 
+#: Edges that the driver joins by itself, 16 bytes each; more are joined by rounds of shuffles.
+FEW_EDGES = 1 << 17
+
+
+def _joined(edges: pa.Table) -> pa.Table:
+    """Nodes (u) and the smallest node of their component (v) where that is another, of edges (u, v)."""
+    at: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while (up := at.get(c, c)) != c:
+            at[c] = c = at.get(up, up)
+        return c
+
+    for u, v in zip(*(edges.column(c).to_pylist() for c in "uv"), strict=True):
+        u, v = root(u), root(v)
+        if u != v:
+            at[max(u, v)] = min(u, v)
+    nodes = list(at)
+    return pa.table({"u": pa.array(nodes, pa.int64()), "v": pa.array(map(root, nodes), pa.int64())})
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): connected components of edges (a, b), component being the smallest node.
 
     Alternating large-star and small-star steps, each a grouped minimum and a join, until nothing moves.
-    Edges stay distributed; each round is written to the shared folder.
+    Edges stay distributed; each round is written to the shared folder. FEW_EDGES and less (counted) need no rounds:
+    most of their time would go into starting tasks, so the driver joins them.
     """
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     spark, mark = edges.sparkSession, None
+    if e.count() <= FEW_EDGES:
+        old = tables()[-1]
+        e = written(spark.createDataFrame(_joined(e.toArrow()), "u long, v long"))
+        discard(spark, [old])
+        return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     while True:
         old = tables()[-1]
         both = e.union(e.select("v", "u"))
@@ -283,3 +311,10 @@ def components(edges: DataFrame) -> DataFrame:
         if now == mark:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
         mark = now
+
+
+def tied(known: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, component) of edges that are known, with some more edges (a, b); without any, nothing is joined anew."""
+    if links.isEmpty():
+        return known
+    return components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links.select("a", "b")))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, components, discard, distinct_parts, in_blocks, mix, numbered, positional, shingles, stream, tables, words_of_many, written
+from .common import U64, chunks, components, discard, distinct_parts, in_blocks, mix, numbered, positional, shingles, stream, tables, tied, words_of_many, written
 
 TREES, DEPTH, MIN_DEPTH = 20, 6, 3
 #: Neighbours in an order that pair up, and as many in regions of more members than that.
@@ -257,22 +257,21 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     best = ends.groupBy("id").agg(F.max_by("o", F.struct("trees", -F.col("o"))).alias("o"))
     best = best.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
     full = written(shingle_sets(df, ends.select("id").distinct(), key, text))
-    linked = written(confirm(best, full))
-    same = components(linked)
+    same = components(written(confirm(best, full)))
     of = lambda c: same.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     apart = (
         pairs.join(best, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
         .where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     )
-    linked = written(linked.union(written(confirm(apart, full))))
-    linked = linked.union(written(crowded_links(reps, components(linked), full)))
+    same = tied(same, written(confirm(apart, full)))
+    linked = written(crowded_links(reps, same, full))
     # rows that repeat an id with another text are one node too: the id ties their sets together
     several = written(members.groupBy("id").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo <> hi").select("id"))
     if not several.isEmpty():
         own = members.join(several, "id").join(groups, sets).select("id", "rep").distinct()
         least = own.groupBy("id").agg(F.min("rep").alias("a"))
         linked = linked.union(own.join(least, "id").select("a", F.col("rep").alias("b")))
-    same = components(linked)
+    same = tied(same, linked)
     nodes = written(groups.join(same, F.col("rep") == F.col("node"), "left").select(*sets, F.coalesce("component", "rep").alias("_c")))
     # the result reads signatures and nodes only
     discard(df.sparkSession, [t for t in tables()[:-1] if t not in stay])
