@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -198,3 +200,14 @@ def test_size_of_a_raw_file_that_ends_inside_the_last_plane(spark, tmp_path):
     sizes = lambda m: rawvol.sizes(spark, f"{tmp_path}/a.raw", m).first()[1:]
     assert sizes(meta) == (1000, True) and sizes(VolumeMeta(*shape)) == (1000, False)
     assert sizes(VolumeMeta(*shape, held=meta.held - 1)) == sizes(VolumeMeta(*shape, held=meta.held + 1)) == (1000, False)
+
+
+def test_pieces_of_a_raw_file_are_written_once(spark, tmp_path):
+    v = generate.decimal(spark, VolumeMeta(6, 5, 9))
+    spark.sparkContext.setJobGroup("pieces", "")
+    paths = rawvol.write_raw(v, f"{tmp_path}/a", 4)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    told = spark.sparkContext.statusTracker()
+    # a sample of the cells for their ranges, the shuffle and one run of the writing tasks
+    assert len(paths) == 4 and len(told.getJobIdsForGroup("pieces")) == 3
+    assert sum(os.path.getsize(p) for p in paths) == v.meta.bytes
