@@ -84,3 +84,41 @@ def test_samples_follow_the_weights_of_all_segmentations(unit):
         p /= total
         assert abs(seen[s] / n - p) < 5 * (p * (1 - p) / n) ** 0.5 + 1e-4
     assert weights
+
+
+HELD = """
+import random, re, threading, time
+import pyarrow as pa
+from voxelspark.llm import pieces
+
+anon = lambda: int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+most, draw = [0.0], random.Random(5)
+word = lambda: "".join(draw.choices("etaoinshrdlucmfwyp", k=draw.randint(3, 9)))
+known = [word() for _ in range(60_000)]
+texts = [" ".join(draw.choices(known, k=500)) for _ in range(2_000)]
+batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.array(range(len(texts)))], names=["d", "t", "k"])
+del texts, known
+run = pieces._digests(pieces.MODEL, 1)
+list(run(iter([batch.slice(0, 1)])))
+pieces._Decode(0, pieces.MODEL)
+
+def look():
+    while True:
+        most[0] = max(most[0], anon())
+        time.sleep(0.002)
+
+before = anon()
+threading.Thread(target=look, daemon=True).start()
+rows = sum(b.num_rows for b in run(iter([batch])))
+print(rows, round(most[0] - before), round(anon() - before))
+"""
+
+
+def test_a_task_takes_little_memory_and_leaves_none():
+    """2,000 rows of 3,500 bytes of many different words, in a process of their own as in a worker."""
+    import subprocess
+    import sys
+
+    said = subprocess.run([sys.executable, "-c", HELD], capture_output=True, text=True, check=True).stdout
+    rows, most, left = map(int, said.split())
+    assert rows == 2_000 and most < 65 and left < 20, said

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -118,6 +121,40 @@ def in_blocks(rows: DataFrame, size: int, reach: int) -> DataFrame:
     return rows.withColumn("_b", F.explode(F.array_compact(near))).withColumn("_own", F.col("_b") == own)
 
 
+def tidy() -> None:
+    """Give memory that is free, but still held by the allocators of this process, back to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def tidied(run: Callable) -> Callable:
+    """A function of batches (a generator) or of a table for Spark's Python workers; what it freed leaves the process when it ends.
+
+    A worker outlives its tasks, and others run beside it in the executor's memory.
+    """
+    if inspect.isgeneratorfunction(run):
+
+        @functools.wraps(run)
+        def whole(batches):
+            try:
+                yield from run(batches)
+            finally:
+                tidy()
+
+    else:
+
+        @functools.wraps(run)
+        def whole(t):
+            try:
+                return run(t)
+            finally:
+                tidy()
+
+    return whole
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64), element by element; wraps on overflow."""
     x = x ^ (x >> U64(30))

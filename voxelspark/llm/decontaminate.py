@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, U64, chunks, mix, positional, stream
+from .common import _BYTE, U64, chunks, mix, positional, stream, tidied
 
 #: Edits allowed per 100 bytes of the item's normalised text.
 EDITS_PER_100 = 6
@@ -326,7 +326,7 @@ def find_items(df: DataFrame, items: DataFrame, text: str = "text", item: str =
                 new = pa.array([sorted({*a, *b}) for a, b in zip(before, found, strict=True)], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(columns))), new], names=batch.schema.names)
 
-        return find
+        return tidied(find)
 
     block: list[tuple[int, str | None]] = []
     held = 0

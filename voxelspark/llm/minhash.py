@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, components, discard, distinct_parts, in_blocks, mix, numbered, positional, shingles, stream, tables, tied, words_of_many, written
+from .common import U64, chunks, components, discard, distinct_parts, in_blocks, mix, numbered, positional, shingles, stream, tables, tidied, tied, words_of_many, written
 
 TREES, DEPTH, MIN_DEPTH = 20, 6, 3
 #: Neighbours in an order that pair up, and as many in regions of more members than that.
@@ -64,7 +64,7 @@ def signatures(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
                     names=["id", "n_shingles", "k1", "k2", "sig"],
                 )
 
-    return df.select(F.col(key).cast("long"), text).mapInArrow(sign, "id long, n_shingles long, k1 long, k2 long, sig binary")
+    return df.select(F.col(key).cast("long"), text).mapInArrow(tidied(sign), "id long, n_shingles long, k1 long, k2 long, sig binary")
 
 
 def _pairs(keys: np.ndarray, ids: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +109,7 @@ def candidates(reps: DataFrame) -> DataFrame:
         return pa.table({"a": a, "b": b})
 
     # one row more than the reach, so that a block sees whether a region at its edge is crowded
-    found = in_blocks(numbered(rows, "key", "id"), ORDER_BLOCK, REACH + 1).groupBy("_b").applyInArrow(near, "a long, b long")
+    found = in_blocks(numbered(rows, "key", "id"), ORDER_BLOCK, REACH + 1).groupBy("_b").applyInArrow(tidied(near), "a long, b long")
     return found.groupBy("a", "b").agg(F.count("*").alias("trees"))
 
 
@@ -128,7 +128,7 @@ def shingle_sets(df: DataFrame, ids: DataFrame, key: str = "doc_id", text: str =
 
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
     # a shuffle join at every size: the ids are a share of the corpus
-    return rows.join(ids.hint("merge"), "id", "left_semi").mapInArrow(pack, schema)
+    return rows.join(ids.hint("merge"), "id", "left_semi").mapInArrow(tidied(pack), schema)
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(100 * both >= SIMILARITY * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return rows.mapInArrow(check, "a long, b long")
+    return rows.mapInArrow(tidied(check), "a long, b long")
 
 
 def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -229,7 +229,7 @@ def crowded_links(reps: DataFrame, same: DataFrame, full: DataFrame) -> DataFram
                 out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
-    return wanted.select("r", "p", "side", "id", "c", "set").groupBy("r", "p").applyInArrow(compare, "a long, b long")
+    return wanted.select("r", "p", "side", "id", "c", "set").groupBy("r", "p").applyInArrow(tidied(compare), "a long, b long")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, positional
+from .common import U64, mix, positional, tidied
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED = 17
@@ -31,6 +31,8 @@ MAX_NODES = 1_500_000
 SEEN = 17
 #: Weight of a byte; longest unit that is filtered together with others and remembered.
 RARE, SHORT = 1e-5, 40
+#: Bytes of text that are encoded together, and new units filtered together: memory of a task, no result.
+RUN, NEW_UNITS = 1 << 19, 5000
 UNIT = re.compile(r"\n| *[^ \n]+| +")
 
 
@@ -221,8 +223,8 @@ class Lattice:
         if len(missing):
             new = list(dict.fromkeys(units[k] for k in missing.tolist()))
             found: dict[str, int] = {}
-            for low in range(0, len(new), 20_000):
-                some = new[low : low + 20_000]
+            for low in range(0, len(new), NEW_UNITS):
+                some = new[low : low + NEW_UNITS]
                 found.update(zip(some, self.add(some), strict=True))
             node[missing] = np.fromiter((found[units[k]] for k in missing.tolist()), np.int64, len(missing))
             self.last.update((u, at) for u, at in found.items() if len(u) <= SHORT)
@@ -270,7 +272,7 @@ def _with(df: DataFrame, column: str, kind: str, make) -> DataFrame:
         finally:
             step.close()
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)
 
 
 class _Encode:
@@ -282,10 +284,10 @@ class _Encode:
         self.lattice.clear()
 
     def cuts(self, batch: pa.RecordBatch) -> list[tuple[int, int]]:
-        """Runs of rows of about a megabyte of text."""
+        """Runs of rows of about RUN bytes of text."""
         out, low, held = [], 0, 0
         for k, n in enumerate(pc.binary_length(batch.column(self.text)).to_pylist()):
-            if held > 1 << 20:
+            if held > RUN:
                 out.append((low, k))
                 low, held = k, 0
             held += n or 0
@@ -351,13 +353,8 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", model: str = M
     return _with(df, out, "string", functools.partial(_Decode, place.index(ids), model))
 
 
-def round_trip(df: DataFrame, key: str = "doc_id", text: str = "text", model: str = MODEL, seed: int = SEED) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, ids_hash, lossless) of every row, after encoding and decoding.
-
-    Both steps of a batch run one after the other in one Python process, and only the digest leaves it.
-    ids_hash is that of the ids as little-endian 32 bits; a null text counts as empty.
-    """
-    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.xxhash64(F.col(key)).alias("_key"))
+def _digests(model: str, seed: int):
+    """Batches (doc_id, text, key) to the rows of round_trip."""
     names = ["doc_id", "n_bytes", "n_tokens", "ids_hash", "lossless"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,4 +374,14 @@ def round_trip(df: DataFrame, key: str = "doc_id", text: str = "text", model: st
         finally:
             encoder.close()
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, ids_hash long, lossless boolean")
+    return tidied(run)
+
+
+def round_trip(df: DataFrame, key: str = "doc_id", text: str = "text", model: str = MODEL, seed: int = SEED) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens, ids_hash, lossless) of every row, after encoding and decoding.
+
+    Both steps of a batch run one after the other in one Python process, and only the digest leaves it.
+    ids_hash is that of the ids as little-endian 32 bits; a null text counts as empty.
+    """
+    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.xxhash64(F.col(key)).alias("_key"))
+    return rows.mapInArrow(_digests(model, seed), "doc_id long, n_bytes long, n_tokens long, ids_hash long, lossless boolean")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, U64, chunks, discard, mix, positional, stream, tables, written
+from .common import _BYTE, U64, chunks, discard, mix, positional, stream, tables, tidied, written
 
 LENGTH = 200
 GRAM = 32
@@ -256,7 +256,7 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
                             names=["k", "r", "at", "n", "h", "a"],
                         )
 
-    return docs.mapInArrow(run, "k long, r long, at long, n int, h long, a short")
+    return docs.mapInArrow(tidied(run), "k long, r long, at long, n int, h long, a short")
 
 
 def _segments(rows: DataFrame) -> DataFrame:
@@ -292,7 +292,7 @@ def _segments(rows: DataFrame) -> DataFrame:
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
 
-    return rows.mapInArrow(cut, "h long, s long, a short, k long, r long, at long, seen byte, segment binary")
+    return rows.mapInArrow(tidied(cut), "h long, s long, a short, k long, r long, at long, seen byte, segment binary")
 
 
 def _shard_spans(sent: DataFrame) -> DataFrame:
@@ -325,7 +325,7 @@ def _shard_spans(sent: DataFrame) -> DataFrame:
         if out:
             yield _frame(out)
 
-    return sent.select("h", "s", "twice", "segment").repartition("h").sortWithinPartitions("h").mapInArrow(sort, schema)
+    return sent.select("h", "s", "twice", "segment").repartition("h").sortWithinPartitions("h").mapInArrow(tidied(sort), schema)
 
 
 def _frame(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
@@ -371,7 +371,7 @@ def _spans(sent: DataFrame, rest: int = LENGTH - GRAM) -> DataFrame:
     if not rest or crowded.isEmpty():
         return _shard_spans(sent)
     one = sent.join(crowded, "h").groupBy("h", "s").agg(*(F.first(c).alias(c) for c in ("a", "l")), (F.max("twice") | (F.count("*") > 1)).alias("twice"), F.max("segment").alias("segment"))
-    parts = written(one.select("h", "s", "a", "l", "twice", "segment").mapInArrow(_divide(rest), "h long, s long, a short, l short, twice boolean, segment binary, of long, part long, base int"))
+    parts = written(one.select("h", "s", "a", "l", "twice", "segment").mapInArrow(tidied(_divide(rest)), "h long, s long, a short, l short, twice boolean, segment binary, of long, part long, base int"))
     # a segment sent twice by a task stands there once without its bytes: all that is left here has them
     found = written(_spans(parts.select("h", "s", "a", "l", "twice", "segment"), rest - -(-rest // 2)))
     back = parts.select("h", "s", "of", "part", "base").join(found, ["h", "s"])
@@ -430,7 +430,7 @@ def _apply(df: DataFrame, key: str, text: str, schema: str, row) -> DataFrame:
                 made.append(row(t, b"".join(parts), cuts))
             yield from row.batches(batch, made)
 
-    return joined.mapInArrow(make, schema)
+    return joined.mapInArrow(tidied(make), schema)
 
 
 class _Digest:
